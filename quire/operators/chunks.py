@@ -70,7 +70,11 @@ def plan_splits(df: DataFrame, max_chunk, text_col: str = "text", keep_chunk: bo
     planned = staged.withColumn(
         "__splits", _fold(F.col(lens), F.length(F.col(text_col)), max_chunk)).drop(lens)
     keep = [c for c in df.columns if keep_chunk or c != text_col]
-    out = planned.select(*keep, F.posexplode("__splits").alias(index_col, "__s"))
+    # outer explode + null filter: a plain explode makes Catalyst infer a
+    # size(...) > 0 filter and push it below the projections, which inlines
+    # the whole upstream expression tree into one predicate
+    out = (planned.select(*keep, F.posexplode_outer("__splits").alias(index_col, "__s"))
+           .filter(F.col("__s").isNotNull()))
     out = out.select(*keep, F.col(index_col).cast("bigint").alias(index_col),
                      F.col("__s.initial_pos").alias("initial_pos"), F.col("__s.end_pos").alias("end_pos"))
     if keep_chunk:

@@ -94,5 +94,5 @@ def block_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.arrays_zip(F.transform(F.col(tmp_f), lambda x: x["b"]).alias("block"),
                      F.transform(F.col(tmp_f), lambda x, i: _rule(F.col(tmp_f), x, i)).alias("rule")))
     return ruled.select(*[c for c in df.columns if c != text_col],
-                        F.posexplode("__rules").alias("pos", "r")).select(
+                        F.posexplode_outer("__rules").alias("pos", "r")).filter(F.col("r").isNotNull()).select(
         "*", F.col("r.block").alias("block"), F.col("r.rule").alias("rule")).drop("r")

@@ -105,3 +105,58 @@ def splits_sql(source: str, key: str, text: str, max_chunk: str) -> str:
     )
     SELECT k AS {key}, idx AS split_index, st AS initial_pos, en AS end_pos FROM s
     """
+
+
+def extractive_sql(source: str, keys: str, chunk: str, target: str) -> str:
+    """Native extractive digest per chunk: ``keys..., abstract``."""
+    kl = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"x.{k} = y.{k}" for k in kl)
+    return f"""
+    WITH c AS (SELECT {keys}, {chunk} AS chunk, {target} AS target FROM {source}),
+    s0 AS (SELECT {keys}, target, {sentences('chunk')} AS sl FROM c),
+    s AS (SELECT {keys}, target, unnest(sl) AS sent, generate_subscripts(sl, 1) - 1 AS spos FROM s0),
+    t0 AS (SELECT {keys}, spos, {word_tokens('sent')} AS tl FROM s),
+    t AS (SELECT {keys}, spos, unnest(tl) AS tok FROM t0),
+    tf AS (SELECT {keys}, tok, count(*) AS n FROM t GROUP BY ALL),
+    tt AS (SELECT t.*, tf.n FROM t JOIN tf USING ({keys}, tok)),
+    sc0 AS (SELECT {keys}, spos, avg(n) AS score FROM tt GROUP BY ALL),
+    sc AS (SELECT s.*, coalesce(sc0.score, 0.0) AS score FROM s LEFT JOIN sc0 USING ({keys}, spos)),
+    rk AS (SELECT *, row_number() OVER w AS rnk,
+                  sum(length(sent) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS run
+           FROM sc WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC, spos ASC)),
+    dg AS (SELECT {keys}, string_agg(sent, ' ' ORDER BY spos) AS joined, max(target) AS target
+           FROM rk WHERE rnk = 1 OR run <= target GROUP BY ALL)
+    SELECT {", ".join(f"x.{k}" for k in kl)},
+           coalesce(substr(y.joined, 1, greatest(y.target, 1)), '') AS abstract
+    FROM c x LEFT JOIN dg y ON {on}
+    """
+
+
+def interleave_sql(expr: str, pattern: str, repl_lambda: str) -> str:
+    """Replace each match of ``pattern`` (dot-all, any case) in ``expr`` by
+    ``repl_lambda`` applied to the match (DuckDB lambda text over ``d``)."""
+    pieces = f"string_split_regex({expr}, '(?is){pattern}')"
+    reps = f"list_transform(regexp_extract_all({expr}, '(?is)({pattern})', 1), lambda d: {repl_lambda})"
+    return (f"array_to_string(list_transform(range(1, len({pieces}) + 1), "
+            f"lambda i: {pieces}[i] || coalesce({reps}[i], '')), '')")
+
+
+DIV_RE = "<div[^>]*>.*?</div>"
+
+
+def divs_sql(expr: str) -> str:
+    alt = "regexp_extract(d, '(?i)alt=\"([^\"]+)\"', 1)"
+    return interleave_sql(expr, DIV_RE, f"CASE WHEN {alt} <> '' THEN '[' || upper({alt}) || ']' ELSE '' END")
+
+
+def tables_sql(expr: str) -> str:
+    """Markdown pipe tables for each ``<table>`` (same rule as Spark)."""
+    cell = (f"replace({strip(f'''regexp_replace(regexp_replace(cc, '<[^>]+>', '', 'g'), '[{WS_RE2}]+', ' ', 'g')''')}, "
+            f"'|', '\\|')")
+    rows = (f"list_transform(regexp_extract_all(d, '(?is)<tr[^>]*>(.*?)</tr>', 1), "
+            f"lambda rr: list_transform(regexp_extract_all(rr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), lambda cc: {cell}))")
+    line = "'| ' || array_to_string({r}, ' | ') || ' |'"
+    md = (f"CASE WHEN len({rows}) > 0 THEN array_to_string("
+          f"[{line.format(r=f'({rows})[1]')}, '|' || array_to_string(list_transform(({rows})[1], lambda hx: ' --- '), '|') || '|'] "
+          f"|| list_transform(({rows})[2:], lambda br: {line.format(r='br')}), chr(10)) ELSE '' END")
+    return interleave_sql(expr, "<table[^>]*>.*?</table>", md)

@@ -12,12 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import fixed
 from quire import oracle as O
+from quire.functions import prompts as P
+from quire.functions.text import replace_divs as _replace_divs
 from quire.operators.chunks import plan_splits as _plan_splits, target_size
 from quire.operators.repair import repair_blocks as _repair
-from quire.session import table_path
+from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
+from quire.plans.compress import adaptive_compress, compress_round as _compress_round
+from quire.session import shared_dir, table_path
 
 MAX_CHUNK = 2000
+# context window (characters) for the adaptive compression query
+WINDOW = 2000
+RESUME_TEMPLATE = P.load_template("resume", 1)
+RESUME_KEYS = P.PROMPT_KEYS["resume"]
+RESUME_OVERHEAD = P.overhead(RESUME_TEMPLATE, RESUME_KEYS)
+ADAPTIVE_MAX_CHUNK = WINDOW - RESUME_OVERHEAD
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,14 +77,178 @@ FROM s JOIN documents d USING (doc_id)
 """
 
 
+def _contents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return _repair(docs).select("doc_id", "lang", "content")
+
+
+_SQL_CONTENTS = f"WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}) SELECT * FROM r"
+
+
+# --- G4 + I3/I4: one compression round -------------------------------------
+
+def compress_round(spark, sf_dir):
+    out = _compress_round(_contents(spark, sf_dir), ["doc_id"], MAX_CHUNK)
+    return out.select("doc_id", "split_index", "target_size", "abstract", "status")
+
+
+def _round_sql(src: str, max_chunk: int) -> str:
+    """One native round over ``src(doc_id, content)`` in DuckDB SQL."""
+    return f"""
+    WITH c AS (
+      SELECT s.doc_id, s.split_index,
+             substr(x.content, s.initial_pos + 1, s.end_pos - s.initial_pos) AS chunk,
+             ((s.end_pos - s.initial_pos) // {fixed.TARGET_DIVISOR})::BIGINT AS target_size
+      FROM ({O.splits_sql(src, 'doc_id', 'content', str(max_chunk))}) s JOIN {src} x USING (doc_id))
+    SELECT c.doc_id, c.split_index, c.target_size, a.abstract,
+           CASE WHEN {O.strip('a.abstract')} <> '' THEN 'ok' ELSE 'failed' END AS status
+    FROM c JOIN ({O.extractive_sql('c', 'doc_id, split_index', 'chunk', 'target_size')}) a
+    USING (doc_id, split_index)
+    """
+
+
+SQL_COMPRESS_ROUND = f"""
+WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
+a AS ({_round_sql('r', MAX_CHUNK)})
+SELECT * FROM a
+"""
+
+
+# --- I1/I5/I6: adaptive compression, two rounds at most ---------------------
+
+def adaptive_compress_k2(spark, sf_dir):
+    out = adaptive_compress(spark, _contents(spark, sf_dir), ["doc_id"], WINDOW, ADAPTIVE_MAX_CHUNK,
+                            max_rounds=2, workdir=shared_dir(spark, "adaptive_k2"))
+    return out.select("doc_id", "rounds", "status", "abstract_contents",
+                      F.length("abstract_contents").cast("bigint").alias("n_chars"))
+
+
+def _joined_sql(rnd: str, prev: str, last: bool) -> str:
+    keep = f"{O.strip('abstract')} <> ''"
+    cont = "'unfinished'" if last else "'continue'"
+    return f"""
+    SELECT p.doc_id,
+           coalesce(j.joined, '') AS joined,
+           CASE WHEN coalesce(j.n_ok, 0) = 0 THEN 'failed'
+                WHEN length(j.joined) <= {WINDOW} THEN 'done'
+                WHEN length(j.joined) >= length(p.content) THEN 'stalled'
+                ELSE {cont} END AS status
+    FROM {prev} p LEFT JOIN (
+      SELECT doc_id, string_agg(abstract, chr(10) || chr(10) ORDER BY split_index) FILTER (WHERE {keep}) AS joined,
+             count(*) FILTER (WHERE {keep}) AS n_ok
+      FROM {rnd} GROUP BY doc_id) j USING (doc_id)
+    """
+
+
+SQL_ADAPTIVE_K2 = f"""
+WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
+a1 AS ({_round_sql('r', ADAPTIVE_MAX_CHUNK)}),
+st1 AS ({_joined_sql('a1', 'r', False)}),
+p2 AS (SELECT doc_id, joined AS content FROM st1 WHERE status = 'continue'),
+a2 AS ({_round_sql('p2', ADAPTIVE_MAX_CHUNK)}),
+st2 AS ({_joined_sql('a2', 'p2', True)})
+SELECT doc_id, 1::BIGINT AS rounds, status, joined AS abstract_contents, length(joined)::BIGINT AS n_chars
+FROM st1 WHERE status <> 'continue'
+UNION ALL
+SELECT doc_id, 2::BIGINT, status, joined, length(joined)::BIGINT FROM st2
+"""
+
+
+# --- S8 / T4: pages of a book -------------------------------------------------
+
+def _conv_pages(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("book"), F.col("turn").alias("page_id"), "text")
+
+
+def merge_pages(spark, sf_dir):
+    m = _merge_pages(_conv_pages(spark, sf_dir), ["book"])
+    return m.select(F.col("book").alias("conv_id"), "content", "n_pages")
+
+
+SQL_MERGE_PAGES = """
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS content, count(*)::BIGINT AS n_pages
+FROM conversations WHERE text <> '' GROUP BY conv_id
+"""
+
+
+def cleanup_book(spark, sf_dir):
+    out = clean_pages(_conv_pages(spark, sf_dir), ["book"])
+    return out.select(F.col("book").alias("conv_id"), "content")
+
+
+SQL_CLEANUP_BOOK = f"""
+WITH m AS (SELECT conv_id, {O.divs_sql("string_agg(text, chr(10) || chr(10) ORDER BY turn, text)")} AS merged
+           FROM conversations WHERE text <> '' GROUP BY conv_id),
+r AS ({O.repair_sql('m', 'conv_id', 'merged')})
+SELECT conv_id, {O.tables_sql('content')} AS content FROM r
+"""
+
+
+# --- T1 -----------------------------------------------------------------------
+
+def replace_divs(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", "html")
+    return p.select("page_id", _replace_divs("html").alias("text"))
+
+
+SQL_REPLACE_DIVS = f"SELECT page_id, {O.divs_sql('html')} AS text FROM pages"
+
+
+# --- C4/C5 ----------------------------------------------------------------------
+
+def render_prompt(spark, sf_dir):
+    s = _plan_splits(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ADAPTIVE_MAX_CHUNK)
+    values = {"TARGET_SIZE": target_size("chunk"), "TEXT": F.col("chunk"), "LANGUAGE": F.col("lang")}
+    return s.select("doc_id", "split_index",
+                    F.lit(RESUME_OVERHEAD).cast("bigint").alias("overhead"),
+                    P.render(RESUME_TEMPLATE, RESUME_KEYS, values).alias("prompt"))
+
+
+def _render_sql() -> str:
+    t = O.sql_str(RESUME_TEMPLATE)
+    keys = "[" + ", ".join(O.sql_str(k) for k in RESUME_KEYS) + "]"
+    overhead = f"(length({t}) - list_sum(list_transform({keys}, lambda k: length(k) + 2)))"
+    return f"""
+    WITH s AS ({O.splits_sql('documents', 'doc_id', 'text', str(ADAPTIVE_MAX_CHUNK))}),
+    c AS (SELECT s.doc_id, s.split_index, d.lang,
+                 substr(d.text, s.initial_pos + 1, s.end_pos - s.initial_pos) AS chunk
+          FROM s JOIN documents d USING (doc_id))
+    SELECT doc_id, split_index, {overhead}::BIGINT AS overhead,
+           replace(replace(replace({t}, '{{TARGET_SIZE}}', CAST(length(chunk) // 10 AS VARCHAR)),
+                   '{{TEXT}}', chunk), '{{LANGUAGE}}', lang) AS prompt
+    FROM c
+    """
+
+
+SQL_RENDER_PROMPT = _render_sql()
+
+
 QUERIES = {
     "repair_blocks": repair_blocks,
     "plan_splits": plan_splits,
     "chunk_targets": chunk_targets,
+    "compress_round": compress_round,
+    "adaptive_compress_k2": adaptive_compress_k2,
+    "merge_pages": merge_pages,
+    "cleanup_book": cleanup_book,
+    "replace_divs": replace_divs,
+    "render_prompt": render_prompt,
 }
 
 ORACLES = {
     "repair_blocks": SQL_REPAIR_BLOCKS,
     "plan_splits": SQL_PLAN_SPLITS,
     "chunk_targets": SQL_CHUNK_TARGETS,
+    "compress_round": SQL_COMPRESS_ROUND,
+    "adaptive_compress_k2": SQL_ADAPTIVE_K2,
+    "merge_pages": SQL_MERGE_PAGES,
+    "cleanup_book": SQL_CLEANUP_BOOK,
+    "replace_divs": SQL_REPLACE_DIVS,
+    "render_prompt": SQL_RENDER_PROMPT,
 }
+
+
+def flagship(spark, sf_dir):
+    """documents -> repair -> chunk plan -> native compression, one round."""
+    return compress_round(spark, sf_dir)
