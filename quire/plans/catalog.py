@@ -18,6 +18,10 @@ from quire.functions import prompts as P
 from quire.functions.text import replace_divs as _replace_divs
 from quire.operators.chunks import plan_splits as _plan_splits, target_size
 from quire.operators.repair import repair_blocks as _repair
+from quire.functions.text import clean_summary as _clean_summary
+from quire.operators import evaluate as EV
+from quire.operators import gating as G
+from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round
 from quire.session import shared_dir, table_path
@@ -224,6 +228,297 @@ def _render_sql() -> str:
 SQL_RENDER_PROMPT = _render_sql()
 
 
+# --- E1 / E3-E5: conversations as reference (user) vs candidate (assistant) -------
+
+def _conv_summaries(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    provider = F.when(F.col("role") == "user", F.lit(fixed.REFERENCE_PROVIDER)).otherwise(F.col("role"))
+    pages = c.select("conv_id", provider.alias("provider"), F.col("turn").alias("page_id"), "text")
+    return _merge_pages(pages, ["conv_id", "provider"]).withColumnRenamed("content", "summary")
+
+
+def _pairs(spark, sf_dir):
+    pairs, _ = EV.pair_with_reference(_conv_summaries(spark, sf_dir), ["conv_id"])
+    return pairs
+
+
+def pair_reference(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "provider", "candidate", "reference")
+
+
+_SQL_PAIRS = f"""
+WITH s AS (
+  SELECT conv_id, CASE WHEN role = 'user' THEN '{fixed.REFERENCE_PROVIDER}' ELSE role END AS provider,
+         {O.strip("string_agg(text, chr(10) || chr(10) ORDER BY turn, text)")} AS t
+  FROM conversations WHERE text <> '' GROUP BY ALL)
+SELECT c.conv_id, c.provider, c.t AS candidate, r.t AS reference
+FROM s c JOIN s r ON c.conv_id = r.conv_id AND r.provider = '{fixed.REFERENCE_PROVIDER}'
+WHERE c.provider <> '{fixed.REFERENCE_PROVIDER}' AND c.t <> '' AND r.t <> ''
+"""
+SQL_PAIR_REFERENCE = _SQL_PAIRS
+
+
+def _rouge(n):
+    def q(spark, sf_dir):
+        return EV.rouge_n(_pairs(spark, sf_dir), ["conv_id", "provider"], n)
+    q.__name__ = f"rouge_{n}"
+    return q
+
+
+def _rouge_sql(n: int) -> str:
+    def grams(col):
+        tk = O.rouge_tokens(col)
+        return f"list_transform(range(1, len({tk}) - {n} + 2), lambda i: array_to_string(({tk})[i:i + {n - 1}], ' '))"
+    return f"""
+    WITH p AS ({_SQL_PAIRS}),
+    g AS (SELECT conv_id, provider, unnest({grams('candidate')}) AS g, 1 AS c, 0 AS r FROM p
+          UNION ALL
+          SELECT conv_id, provider, unnest({grams('reference')}), 0, 1 FROM p),
+    pg AS (SELECT conv_id, provider, g, sum(c) AS c, sum(r) AS r FROM g GROUP BY ALL),
+    pp AS (SELECT conv_id, provider, sum(least(c, r)) AS o, sum(c) AS nc, sum(r) AS nr FROM pg GROUP BY ALL),
+    x AS (SELECT p.conv_id, p.provider, coalesce(o, 0) AS o, coalesce(nc, 0) AS nc, coalesce(nr, 0) AS nr
+          FROM p LEFT JOIN pp USING (conv_id, provider)),
+    y AS (SELECT *, CASE WHEN nc > 0 THEN o / nc ELSE 0.0 END AS pr, CASE WHEN nr > 0 THEN o / nr ELSE 0.0 END AS rc FROM x)
+    SELECT conv_id, provider, round(pr, 6) AS rouge{n}_p, round(rc, 6) AS rouge{n}_r,
+           round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS rouge{n}_f
+    FROM y
+    """
+
+
+def rouge_l(spark, sf_dir):
+    return EV.rouge_l(_pairs(spark, sf_dir), ["conv_id", "provider"])
+
+
+# --- E6 ---------------------------------------------------------------------------
+
+def embedding_match(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int"))
+    return EV.embedding_match(e, "label", "side").withColumnRenamed("book", "label")
+
+
+SQL_EMBEDDING_MATCH = """
+WITH v AS (SELECT label::BIGINT AS book, vec_id % 2 AS side, vec_id, embedding AS e,
+                  sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+pr AS (SELECT c.book, c.vec_id AS cid, r.vec_id AS rid,
+              list_sum(list_transform(range(1, len(c.e) + 1), lambda i: c.e[i]::DOUBLE * r.e[i]::DOUBLE)) / (c.n * r.n) AS cs
+       FROM v c JOIN v r ON c.book = r.book AND c.side = 0 AND r.side = 1),
+p AS (SELECT book, avg(m) AS p FROM (SELECT book, cid, max(cs) AS m FROM pr GROUP BY ALL) GROUP BY book),
+r AS (SELECT book, avg(m) AS r FROM (SELECT book, rid, max(cs) AS m FROM pr GROUP BY ALL) GROUP BY book)
+SELECT book AS label, round(p, 6) AS bert_precision, round(r, 6) AS bert_recall,
+       round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS bert_f1
+FROM p JOIN r USING (book)
+"""
+
+
+# --- E9 / E11: coherence per provider (documents: provider = source) ------------
+
+def coherence(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("provider"), "doc_id", "text")
+    flags = EV.sentence_flags(d, ["provider", "doc_id"], "text")
+    return EV.coherence(flags, "provider", ["doc_id"])
+
+
+SQL_COHERENCE = f"""
+WITH s0 AS (SELECT source AS provider, doc_id, {O.sentences('text')} AS sl FROM documents),
+s AS (SELECT provider, doc_id, unnest(sl) AS sentence, generate_subscripts(sl, 1) - 1 AS sentence_no FROM s0),
+f AS (SELECT *, (sentence_no > min(sentence_no) OVER (PARTITION BY provider, doc_id, sentence))
+                OR NOT regexp_matches(sentence, '[.!?…][{O.SENT_QUOTES}]?\\z') AS confusing FROM s),
+b AS (SELECT provider, doc_id, avg(CASE WHEN confusing THEN 0.0 ELSE 1.0 END) AS score FROM f GROUP BY ALL)
+SELECT provider, count(*)::BIGINT AS n_books, round(avg(score), 6) AS coherence FROM b GROUP BY provider
+"""
+
+
+# --- E8 + T5 ------------------------------------------------------------------------
+
+def collect_summaries(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("provider"), "lang", "doc_id", _clean_summary("text").alias("summary"))
+
+
+def _clean_summary_sql(col: str) -> str:
+    t = col
+    for h in fixed.SUMMARY_HEADINGS:
+        t = f"replace({t}, {O.sql_str(h)}, '')"
+    a, b = (O.sql_str(m) for m in fixed.KEYWORD_MARKERS)
+    k = f"(CASE WHEN strpos({t}, {a}) > 0 THEN strpos({t}, {a}) ELSE strpos({t}, {b}) END)"
+    return O.strip(f"CASE WHEN {k} > 0 THEN substr({t}, 1, {k} - 1) ELSE {t} END")
+
+
+SQL_COLLECT_SUMMARIES = f"SELECT source AS provider, lang, doc_id, {_clean_summary_sql('text')} AS summary FROM documents"
+
+
+# --- S7 -------------------------------------------------------------------------------
+
+def providers_first_wins(spark, sf_dir):
+    from quire.sources.summaries import discover_providers
+    d = read(spark, sf_dir, "documents").select(
+        F.col("lang").alias("language"), F.col("doc_id").alias("book"),
+        F.col("source").alias("entry"), F.col("lang").alias("sub"))
+    return discover_providers(d)
+
+
+SQL_PROVIDERS_FIRST_WINS = """
+SELECT source AS provider, first(source || '/' || lang ORDER BY lang, doc_id, source, lang) AS relpath
+FROM documents GROUP BY source
+"""
+
+
+# --- G6 / G7 / G8 -------------------------------------------------------------------------
+
+def book_keywords(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return TK.keywords(spark, d, "doc_id", "lang", "text")
+
+
+def _values(rows, cols):
+    body = ", ".join("(" + ", ".join(O.sql_str(v) if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) v({', '.join(cols)}))"
+
+
+_STOP_SQL = _values([(lang, w) for lang, ws in TK.STOP_WORDS.items() for w in ws], ["lang", "term"])
+
+SQL_BOOK_KEYWORDS = f"""
+WITH t AS (SELECT doc_id, lang, unnest({O.word_tokens('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM t
+       WHERE length(term) >= {TK.MIN_KEYWORD_LEN} AND NOT regexp_matches(term, '^[0-9]+$')
+         AND NOT EXISTS (SELECT 1 FROM {_STOP_SQL} sw WHERE sw.lang = t.lang AND sw.term = t.term)
+       GROUP BY ALL),
+df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+s AS (SELECT tf.doc_id, tf.term, tf.tf * ln(n.n / df.df) AS score FROM tf JOIN df USING (lang, term) JOIN n USING (lang)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS rank FROM s)
+SELECT doc_id, rank::BIGINT AS rank, term AS keyword, round(score, 6) AS score FROM r WHERE rank <= {TK.TOP_KEYWORDS}
+"""
+
+
+def book_categories(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return TK.categories(spark, d, "doc_id", "text")
+
+
+SQL_BOOK_CATEGORIES = f"""
+WITH t AS (SELECT doc_id, unnest({O.word_tokens('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT doc_id, category, sum(weight * tf) AS score
+      FROM tf JOIN {_values(TK.DEFAULT_LEXICON, ['category', 'term', 'weight'])} l USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rank
+      FROM s WHERE score >= {TK.CATEGORY_THRESHOLD})
+SELECT doc_id, rank::BIGINT AS rank, category, round(score, 6) AS score FROM r WHERE rank <= {TK.TOP_CATEGORIES}
+"""
+
+
+def keyword_lines(spark, sf_dir):
+    """G8 over the keyword answers (one keyword per line) of every book."""
+    kw = book_keywords(spark, sf_dir)
+    answers = TK.as_answer(kw, "doc_id", "keyword")
+    return TK.answer_lines(answers, ["doc_id"]).select("doc_id", "line_no", "item")
+
+
+SQL_KEYWORD_LINES = f"""
+WITH k AS ({SQL_BOOK_KEYWORDS}),
+a AS (SELECT doc_id, string_agg(keyword, chr(10) ORDER BY rank) AS text FROM k GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {O.strip('x')}), lambda x: x <> '') AS ls FROM a)
+SELECT doc_id, (generate_subscripts(ls, 1) - 1)::BIGINT AS line_no, unnest(ls) AS item FROM l
+"""
+
+
+# --- G5: two summary variants per book ---------------------------------------------------
+
+def book_summaries(spark, sf_dir):
+    rnd = _compress_round(_contents(spark, sf_dir), ["doc_id"], MAX_CHUNK)
+    inputs = TK.summary_inputs(rnd, ["doc_id"])
+    out = TK.native_summaries(inputs, ["doc_id"])
+    return out.select("doc_id", "kind", "summary",
+                      F.when(F.length(F.btrim("summary")) > 0, "ok").otherwise("failed").alias("status"))
+
+
+SQL_BOOK_SUMMARIES = f"""
+WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
+a AS ({_round_sql('r', MAX_CHUNK)}),
+ok AS (SELECT doc_id, split_index, abstract, row_number() OVER (PARTITION BY doc_id ORDER BY split_index, abstract) AS rn
+       FROM a WHERE status = 'ok'),
+books AS (SELECT DISTINCT doc_id FROM a),
+v AS (SELECT b.doc_id, '{fixed.KIND_SUMMARY}' AS kind,
+             coalesce((SELECT string_agg(abstract, chr(10) || chr(10) ORDER BY rn) FROM ok WHERE ok.doc_id = b.doc_id), '') AS input
+      FROM books b
+      UNION ALL
+      SELECT b.doc_id, '{fixed.KIND_SUMMARY_NO_INTRO}',
+             coalesce((SELECT string_agg(abstract, chr(10) || chr(10) ORDER BY rn) FROM ok WHERE ok.doc_id = b.doc_id AND rn > 1), '')
+      FROM books b),
+vi AS (SELECT *, (length(input) // {fixed.TARGET_DIVISOR})::BIGINT AS target_size FROM v),
+e AS ({O.extractive_sql('vi', 'doc_id, kind', 'input', 'target_size')})
+SELECT doc_id, kind, abstract AS summary, CASE WHEN length(trim(abstract)) > 0 THEN 'ok' ELSE 'failed' END AS status FROM e
+"""
+
+
+# --- F1-F4: gating against existing outputs (labels = books already processed) ----------
+
+def _state_tables(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = read(spark, sf_dir, "labels")
+    j = lab.join(d, "doc_id")
+    outputs = (j.select("doc_id", F.lit(fixed.KIND_ABSTRACTS).alias("kind"),
+                        F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("text")).alias("text"))
+               .unionByName(j.filter(F.col("quality") == 1).select("doc_id", F.lit(fixed.KIND_SUMMARY).alias("kind"), "text"))
+               .unionByName(j.filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+                            .select("doc_id", F.lit(fixed.KIND_SUMMARY_NO_INTRO).alias("kind"), "text"))
+               .unionByName(j.filter(F.col("quality") == 0).select("doc_id", F.lit(fixed.KIND_KEYWORDS).alias("kind"), "text")))
+    return d, lab.select("doc_id"), outputs
+
+
+_SQL_OUTPUTS = f"""
+SELECT l.doc_id, '{fixed.KIND_ABSTRACTS}' AS kind, CASE WHEN toxic = 1 THEN '' ELSE d.text END AS text
+FROM labels l JOIN documents d USING (doc_id)
+UNION ALL SELECT l.doc_id, '{fixed.KIND_SUMMARY}', d.text FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1
+UNION ALL SELECT l.doc_id, '{fixed.KIND_SUMMARY_NO_INTRO}', d.text FROM labels l JOIN documents d USING (doc_id)
+          WHERE quality = 1 AND toxic = 0
+UNION ALL SELECT l.doc_id, '{fixed.KIND_KEYWORDS}', d.text FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0
+"""
+
+
+def eligibility(spark, sf_dir):
+    d, state, outputs = _state_tables(spark, sf_dir)
+    return G.eligibility(d, state, outputs, ["doc_id"], "text")
+
+
+SQL_ELIGIBILITY = f"""
+WITH o AS (SELECT DISTINCT doc_id, kind FROM ({_SQL_OUTPUTS}) WHERE length(text) > 0),
+f AS (SELECT doc_id,
+             bool_or(kind = '{fixed.KIND_ABSTRACTS}') AS has_abs,
+             count(DISTINCT kind) FILTER (WHERE kind IN ('{fixed.KIND_SUMMARY}', '{fixed.KIND_SUMMARY_NO_INTRO}')) = 2 AS done_abstract,
+             bool_or(kind = '{fixed.KIND_KEYWORDS}') AS done_keywords,
+             bool_or(kind = '{fixed.KIND_CATEGORIES}') AS done_categories
+      FROM o GROUP BY doc_id),
+st AS (SELECT DISTINCT doc_id FROM labels),
+b AS (SELECT d.doc_id, length(d.text) > 0 AS has_content, st.doc_id IS NOT NULL AS has_state,
+             coalesce(f.has_abs, false) AS has_abs, coalesce(f.done_abstract, false) AS done_abstract,
+             coalesce(f.done_keywords, false) AS done_keywords, coalesce(f.done_categories, false) AS done_categories
+      FROM documents d LEFT JOIN st USING (doc_id) LEFT JOIN f USING (doc_id)),
+t AS (SELECT b.*, unnest(['resume', 'abstract', 'keywords', 'categories']) AS task FROM b),
+r AS (SELECT doc_id, task,
+        CASE WHEN task = 'resume' THEN (CASE WHEN NOT has_content THEN 'no_content' WHEN has_abs THEN 'already_done' ELSE 'run' END)
+             WHEN NOT has_state THEN 'no_state'
+             WHEN NOT has_abs THEN 'no_abstracts'
+             WHEN (task = 'abstract' AND done_abstract) OR (task = 'keywords' AND done_keywords)
+                  OR (task = 'categories' AND done_categories) THEN 'already_done'
+             ELSE 'run' END AS reason FROM t)
+SELECT doc_id, task, reason = 'run' AS eligible, reason FROM r
+"""
+
+
+def todo_outputs(spark, sf_dir):
+    d, _, outputs = _state_tables(spark, sf_dir)
+    return G.missing_outputs(d, outputs, ["doc_id"]).select("doc_id", "kind")
+
+
+SQL_TODO_OUTPUTS = f"""
+WITH o AS (SELECT DISTINCT doc_id, kind FROM ({_SQL_OUTPUTS}) WHERE length(text) > 0),
+ready AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM o WHERE kind = '{fixed.KIND_ABSTRACTS}')),
+need AS (SELECT doc_id, unnest(['{fixed.KIND_SUMMARY}', '{fixed.KIND_SUMMARY_NO_INTRO}', '{fixed.KIND_KEYWORDS}', '{fixed.KIND_CATEGORIES}']) AS kind FROM ready)
+SELECT doc_id, kind FROM need n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = n.doc_id AND o.kind = n.kind)
+"""
+
+
 QUERIES = {
     "repair_blocks": repair_blocks,
     "plan_splits": plan_splits,
@@ -234,6 +529,20 @@ QUERIES = {
     "cleanup_book": cleanup_book,
     "replace_divs": replace_divs,
     "render_prompt": render_prompt,
+    "pair_reference": pair_reference,
+    "rouge_1": _rouge(1),
+    "rouge_2": _rouge(2),
+    "rouge_l": rouge_l,
+    "embedding_match": embedding_match,
+    "coherence": coherence,
+    "collect_summaries": collect_summaries,
+    "providers_first_wins": providers_first_wins,
+    "book_keywords": book_keywords,
+    "book_categories": book_categories,
+    "keyword_lines": keyword_lines,
+    "book_summaries": book_summaries,
+    "eligibility": eligibility,
+    "todo_outputs": todo_outputs,
 }
 
 ORACLES = {
@@ -246,6 +555,19 @@ ORACLES = {
     "cleanup_book": SQL_CLEANUP_BOOK,
     "replace_divs": SQL_REPLACE_DIVS,
     "render_prompt": SQL_RENDER_PROMPT,
+    "pair_reference": SQL_PAIR_REFERENCE,
+    "rouge_1": _rouge_sql(1),
+    "rouge_2": _rouge_sql(2),
+    "embedding_match": SQL_EMBEDDING_MATCH,
+    "coherence": SQL_COHERENCE,
+    "collect_summaries": SQL_COLLECT_SUMMARIES,
+    "providers_first_wins": SQL_PROVIDERS_FIRST_WINS,
+    "book_keywords": SQL_BOOK_KEYWORDS,
+    "book_categories": SQL_BOOK_CATEGORIES,
+    "keyword_lines": SQL_KEYWORD_LINES,
+    "book_summaries": SQL_BOOK_SUMMARIES,
+    "eligibility": SQL_ELIGIBILITY,
+    "todo_outputs": SQL_TODO_OUTPUTS,
 }
 
 
