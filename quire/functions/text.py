@@ -109,7 +109,10 @@ def first_word(c) -> Column:
 
 
 def last_word(c) -> Column:
-    return F.regexp_extract(col_of(c), f"([{WORD}]+)[^{WORD}]*\\z", 1)
+    """The last run of word characters: the first word of the reversed text,
+    reversed back (an anchored-at-end regex would restart at every position
+    of every word; the class is per code point, so reversal is exact)."""
+    return F.reverse(F.regexp_extract(F.reverse(col_of(c)), f"[{WORD}]+", 0))
 
 
 def sentences(c) -> Column:

@@ -76,10 +76,12 @@ def rouge_n(pairs: DataFrame, keys: list[str], n: int, cand_col: str = "candidat
     """Clipped n-gram overlap; precision over candidate n-grams, recall
     over reference n-grams (reference is the first argument in the original
     scorer, candidate the second)."""
-    base = pairs.repartition(*keys)
+    # token arrays get their own projection: inside the n-gram lambda they
+    # would otherwise be re-derived from the text for every position
+    base = pairs.repartition(*keys).select(*keys, tokens(cand_col).alias("__ct"), tokens(ref_col).alias("__rt"))
     tagged = F.concat(
-        F.transform(ngrams(tokens(cand_col), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r"))),
-        F.transform(ngrams(tokens(ref_col), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r"))))
+        F.transform(ngrams(F.col("__ct"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r"))),
+        F.transform(ngrams(F.col("__rt"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r"))))
     grams = base.select(*keys, F.explode_outer(tagged).alias("x"))
     per_gram = grams.groupBy(*keys, F.col("x.g").alias("g")).agg(
         F.coalesce(F.sum("x.c"), F.lit(0)).alias("c"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("r"))

@@ -37,7 +37,8 @@ def _features(b: Column) -> Column:
         last_word(b).alias("lw"),
         b.rlike(_HEADING).alias("head"),
         b.rlike(_LOWER_START).alias("lower_start"),
-        b.rlike(_SENTENCE_END).alias("sent_end"),
+        # only the last two characters can decide the sentence-end pattern
+        F.substring(b, -2, 2).rlike(_SENTENCE_END).alias("sent_end"),
     )
 
 
