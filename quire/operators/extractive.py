@@ -26,16 +26,23 @@ from quire.functions.text import sentences, word_tokens
 def extractive_abstracts(splits: DataFrame, keys: list[str], chunk_col: str = "chunk",
                          target_col: str = "target_size", out_col: str = "abstract",
                          num_partitions: int | None = None) -> DataFrame:
-    """Add ``out_col`` (empty string when the chunk has no sentence)."""
+    """Add ``out_col`` (empty string when the chunk has no sentence).
+
+    The result keeps every input column except the chunk text itself (the
+    small per-chunk columns ride along through the aggregates), so the chunk
+    pipeline is computed once and never joined back to itself.
+    """
     base = splits.repartition(num_partitions, *keys) if num_partitions else splits.repartition(*keys)
     k = [F.col(c) for c in keys]
-    sent = base.select(*k, F.col(target_col).alias("__target"),
+    carry = [c for c in splits.columns if c not in keys and c != chunk_col]
+    sent = base.select(*k, *carry, F.col(target_col).alias("__target"),
                        F.posexplode_outer(sentences(chunk_col)).alias("__spos", "__sent"))
     tok = sent.select("*", F.explode_outer(word_tokens("__sent")).alias("__tok"))
     tf = F.when(F.col("__tok").isNotNull(), F.count("__tok").over(Window.partitionBy(*k, F.col("__tok"))))
     scored = (tok.withColumn("__tf", tf)
               .groupBy(*k, "__spos")
               .agg(F.first("__sent").alias("__sent"), F.first("__target").alias("__target"),
+                   *[F.first(c).alias(c) for c in carry],
                    F.coalesce(F.avg("__tf"), F.lit(0.0)).alias("__score")))
     w = Window.partitionBy(*k).orderBy(F.col("__score").desc(), F.col("__spos").asc_nulls_last())
     ranked = (scored
@@ -45,8 +52,7 @@ def extractive_abstracts(splits: DataFrame, keys: list[str], chunk_col: str = "c
     kept = ranked.filter((F.col("__rank") == 1) | (F.col("__run") <= F.col("__target")))
     digest = kept.groupBy(*k).agg(
         F.array_sort(F.collect_list(F.struct("__spos", "__sent"))).alias("__kept"),
-        F.first("__target").alias("__target"))
+        F.first("__target").alias("__target"), *[F.first(c).alias(c) for c in carry])
     text = F.array_join(F.transform("__kept", lambda x: x["__sent"]), " ")
-    digest = digest.select(*k, text.substr(F.lit(1), F.greatest(F.col("__target"), F.lit(1)).cast("int"))
-                           .alias(out_col))
-    return base.join(digest, keys, "left")
+    return digest.select(*k, *carry, text.substr(F.lit(1), F.greatest(F.col("__target"), F.lit(1)).cast("int"))
+                         .alias(out_col))

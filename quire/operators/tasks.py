@@ -49,8 +49,9 @@ def lexicon_df(spark: SparkSession, lexicon=None) -> DataFrame:
 
 
 def term_counts(books: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, term, tf) after one exchange on the book key (explode after it)."""
-    base = books.repartition(*keys)
+    """(keys, term, tf) after one exchange on the first key (the book; the
+    explode happens after it, and later per-book windows reuse it)."""
+    base = books.repartition(keys[0])
     t = base.select(*keys, F.explode_outer(word_tokens(text_col)).alias("term")).filter(F.col("term").isNotNull())
     return t.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 

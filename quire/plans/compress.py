@@ -39,7 +39,9 @@ def with_split_status(df: DataFrame, col: str = "abstract") -> DataFrame:
 
 def compress_round(contents: DataFrame, keys: list[str], max_chunk: int, text_col: str = "content",
                    model: ChunkModel = native_model) -> DataFrame:
-    """One round (C1-C3, G4, I3, I4): one row per split with its abstract."""
+    """One round (C1-C3, G4, I3, I4): one row per split with its abstract.
+    The chunk text is not kept: the round's input text is stored and the
+    offsets reproduce any chunk."""
     splits = plan_splits(contents.select(*keys, text_col), max_chunk, text_col=text_col)
     splits = splits.drop(text_col).withColumn("target_size", target_size("chunk"))
     return with_split_status(model(splits, keys))
