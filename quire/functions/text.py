@@ -137,3 +137,15 @@ def rouge_tokens(c) -> Column:
 def parse_lines(c) -> Column:
     """ARRAY<STRING>: the non-blank stripped lines of a keyword/category answer."""
     return F.filter(F.transform(F.split(col_of(c), "\n", -1), strip), lambda x: x != "")
+
+
+def explode_table_cells(df, keys: list, text_col: str):
+    """One row per table cell: ``keys, table_no, row_no, col_no,
+    is_header, cell`` (first row of a table is the header)."""
+    tables = F.regexp_extract_all(F.col(text_col), F.lit(f"(?is)({TABLE_PATTERN})"), 1)
+    t = df.select(*keys, F.posexplode_outer(tables).alias("table_no", "t")).filter(F.col("t").isNotNull())
+    r = t.select(*keys, "table_no", F.posexplode_outer(table_rows(F.col("t"))).alias("row_no", "cells")).filter(
+        F.col("cells").isNotNull())
+    c = r.select(*keys, "table_no", "row_no", F.posexplode_outer("cells").alias("col_no", "cell")).filter(
+        F.col("cell").isNotNull())
+    return c.withColumn("is_header", F.col("row_no") == 0)
