@@ -289,6 +289,12 @@ def rouge_l(spark, sf_dir):
     return EV.rouge_l(_pairs(spark, sf_dir), ["conv_id", "provider"])
 
 
+def rouge_1_stemmed(spark, sf_dir):
+    """E3 with the Porter stemmer on (rows-only check: no stemmer in the oracle engine)."""
+    from quire.functions.stem import stemmed_rouge_tokens
+    return EV.rouge_n(_pairs(spark, sf_dir), ["conv_id", "provider"], 1, tokens=stemmed_rouge_tokens)
+
+
 # --- E6 ---------------------------------------------------------------------------
 
 def embedding_match(spark, sf_dir):
@@ -533,6 +539,7 @@ QUERIES = {
     "rouge_1": _rouge(1),
     "rouge_2": _rouge(2),
     "rouge_l": rouge_l,
+    "rouge_1_stemmed": rouge_1_stemmed,
     "embedding_match": embedding_match,
     "coherence": coherence,
     "collect_summaries": collect_summaries,
