@@ -1,11 +1,13 @@
 """Compress every book round by round until its text fits the window.
 
-State lives in tables, not files: each round appends its splits (with the
-abstract, status and error of every split) to ``<workdir>/splits`` partitioned
-by ``batch`` and the per-book outcome to ``<workdir>/books``.  Writing and
+State lives in tables, not files: each round writes its splits (with the
+abstract, status and error of every split) to ``<workdir>/splits/batch=<r>``
+and the per-book outcome to ``<workdir>/books/round=<r>``.  Writing and
 reading back each round cuts the lineage, so a lost executor re-runs at most
 one round's tasks and a model stage is never recomputed by a later action.
-Only unfinished books enter the next round; all books of a round are one job.
+A run restarted on the same ``workdir`` resumes after the last completed
+round and reuses model answers already written.  Only unfinished books enter
+the next round; all books of a round are one job.
 """
 
 from __future__ import annotations
@@ -93,13 +95,18 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
     pending = contents.select(*keys, F.col(text_col).alias("content"))
     round_no = 1
     while True:
-        splits = compress_round(pending, keys, max_chunk, "content", model)
-        (splits.withColumn("batch", F.lit(round_no))
-         .write.mode("append").partitionBy("batch").parquet(f"{workdir}/splits"))
-        written = spark.read.parquet(f"{workdir}/splits").filter(F.col("batch") == round_no)
-        outcome = classify(join_abstracts(written, keys), pending, keys, window, round_no, max_rounds, on_error)
-        outcome.write.mode("append").parquet(f"{workdir}/books/round={round_no}")
-        state = spark.read.parquet(f"{workdir}/books/round={round_no}")
+        books_path = f"{workdir}/books/round={round_no}"
+        splits_path = f"{workdir}/splits/batch={round_no}"
+        if not _exists(spark, books_path):
+            # a round whose splits were written but whose outcome was not (a
+            # restart) reuses the written model answers instead of re-running
+            if not _exists(spark, splits_path):
+                splits = compress_round(pending, keys, max_chunk, "content", model)
+                splits.write.mode("overwrite").parquet(splits_path)
+            written = spark.read.parquet(splits_path)
+            outcome = classify(join_abstracts(written, keys), pending, keys, window, round_no, max_rounds, on_error)
+            outcome.write.mode("overwrite").parquet(books_path)
+        state = spark.read.parquet(books_path)
         pending = state.filter(F.col("status") == "continue").select(
             *keys, F.col("abstract_contents").alias("content"))
         if pending.isEmpty():
@@ -107,3 +114,10 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
         round_no += 1
     books = spark.read.parquet(f"{workdir}/books")
     return books.filter(F.col("status") != "continue").drop("round")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """True when a completed Spark write (its _SUCCESS marker) is at ``path``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -65,3 +65,29 @@ def test_provider_subset(spark):
         raise AssertionError("unknown provider accepted")
     except ValueError:
         pass
+
+
+def test_restart_resumes_and_matches(spark, tmp_path):
+    text = "\n".join(f"Sentence {i} about item {i % 5}. More words here." for i in range(600))
+    books = spark.createDataFrame([(1, text), (2, "Tiny.")], "book long, content string")
+    full = {r.book: (r.rounds, r.status, r.abstract_contents)
+            for r in adaptive_compress(spark, books, ["book"], 600, 400, workdir=str(tmp_path / "a")).collect()}
+    assert full[1][0] >= 2
+    # interrupted run: only round 1 completed, round 2 splits written but not classified
+    w = str(tmp_path / "b")
+    calls = {"n": 0}
+
+    from quire.plans.compress import native_model
+
+    def counting(splits, keys):
+        calls["n"] += 1
+        return native_model(splits, keys)
+
+    adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, max_rounds=None, model=counting)
+    import shutil
+    shutil.rmtree(f"{w}/books/round=2")
+    calls["n"] = 0
+    again = {r.book: (r.rounds, r.status, r.abstract_contents)
+             for r in adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, model=counting).collect()}
+    assert again == full
+    assert calls["n"] == full[1][0] - 2      # rounds 1 and 2 were not sent to the model again
