@@ -24,7 +24,7 @@ from quire.operators import gating as G
 from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round
-from quire.session import shared_dir, table_path
+from quire.session import ship_package, shared_dir, table_path
 
 MAX_CHUNK = 2000
 # context window (characters) for the adaptive compression query
@@ -36,6 +36,7 @@ ADAPTIVE_MAX_CHUNK = WINDOW - RESUME_OVERHEAD
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 

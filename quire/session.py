@@ -61,3 +61,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable on executors (for the pandas UDFs and
+    ``mapInPandas`` stages): zip the package once per context and add it with
+    ``addPyFile``, the programmatic form of ``--py-files``.  Local mode
+    already shares the driver's interpreter path, so nothing is shipped there."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or id(sc) in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="quire-pkg-"), "quire.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith((".py", ".txt")):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
