@@ -82,3 +82,12 @@ def test_generate_over_dataframe(spark):
     assert len(out) == 20
     assert out[5].text == "P5" and out[5].status == "ok" and out[5].attempts == 1
     assert out[3].status == "failed" and out[3].text is None
+
+
+def test_registry():
+    import pytest
+    from quire.operators.generate import build_model, register_model
+    register_model("echo", lambda: (lambda ps: list(ps)))
+    assert build_model("echo")(["a"]) == ["a"]
+    with pytest.raises(ValueError):
+        build_model("nope")

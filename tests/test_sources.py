@@ -78,3 +78,23 @@ def test_summary_discovery(spark):
     assert provs == [("b0", "meta/zeta"), ("b1", "human"), ("b1", "meta/llama"), ("b1", "meta/qwen"), ("b1", "org")]
     first = {r.provider: r.relpath for r in discover_providers(paths).collect()}
     assert first["meta"] == "meta/llama" and first["org"] == "org" and "x" not in first
+
+
+def test_single_file_branch(spark, tmp_path):
+    root = str(tmp_path / "books")
+    write(f"{root}/en/b1/out.md", 'Line one\nline two <div alt="fig">x</div>\n<table><tr><th>A</th></tr></table>')
+    write(f"{root}/en/b2/book_content.md", "cached wins")
+    write(f"{root}/en/b2/out.md", "ignored")
+    contents, issues = corpus.book_contents(spark, root, ocr_dir="out.md")
+    c = {r.book: (r.content, r.origin) for r in contents.collect()}
+    # single file: divs and tables only, no block repair (the line break stays)
+    assert c["b1"] == ("Line one\nline two [FIG]\n| A |\n| --- |", "single_file")
+    assert c["b2"] == ("cached wins", "cached")
+    assert issues.count() == 0
+
+
+def test_prompt_table(spark):
+    from quire.functions.prompts import PROMPTS_DIR
+    t = corpus.latest_prompts(corpus.prompt_table(spark, PROMPTS_DIR))
+    got = {r.name: (r.versions, r.version) for r in t.collect()}
+    assert got["resume"] == ([1], 1) and set(got) == {"resume", "abstract", "keywords", "categories"}
