@@ -37,11 +37,14 @@ def extractive_abstracts(splits: DataFrame, keys: list[str], chunk_col: str = "c
     carry = [c for c in splits.columns if c not in keys and c != chunk_col]
     sent = base.select(*k, *carry, F.col(target_col).alias("__target"),
                        F.posexplode_outer(sentences(chunk_col)).alias("__spos", "__sent"))
-    tok = sent.select("*", F.explode_outer(word_tokens("__sent")).alias("__tok"))
+    # the sentence text rides only on the first token row of its sentence, so
+    # the token sort below moves ids and tokens, not copies of the sentence
+    tok = sent.select("*", F.posexplode_outer(word_tokens("__sent")).alias("__tpos", "__tok"))
+    tok = tok.withColumn("__sent", F.when(F.coalesce(F.col("__tpos"), F.lit(0)) == 0, F.col("__sent")))
     tf = F.when(F.col("__tok").isNotNull(), F.count("__tok").over(Window.partitionBy(*k, F.col("__tok"))))
     scored = (tok.withColumn("__tf", tf)
               .groupBy(*k, "__spos")
-              .agg(F.first("__sent").alias("__sent"), F.first("__target").alias("__target"),
+              .agg(F.first("__sent", ignorenulls=True).alias("__sent"), F.first("__target").alias("__target"),
                    *[F.first(c).alias(c) for c in carry],
                    F.coalesce(F.avg("__tf"), F.lit(0.0)).alias("__score")))
     w = Window.partitionBy(*k).orderBy(F.col("__score").desc(), F.col("__spos").asc_nulls_last())
