@@ -120,18 +120,21 @@ def sentences(c) -> Column:
     of ``. ! ? …`` followed by spaces/tabs, or at a line break."""
     t = F.regexp_replace(col_of(c), r"([.!?…])[ \t]+", "$1" + SENTENCE_MARK)
     t = F.regexp_replace(t, r"[ \t]*\n[ \t\n]*", SENTENCE_MARK)
-    return F.filter(F.transform(F.split(t, SENTENCE_MARK, -1), strip), lambda s: s != "")
+    # splitting on the marker together with the whitespace around it, after
+    # stripping the ends, yields stripped pieces without a per-piece lambda
+    pieces = F.split(strip(t), f"[{WS_CLASS}]*{SENTENCE_MARK}[{WS_CLASS}]*", -1)
+    return F.array_remove(pieces, "")
 
 
 def word_tokens(c) -> Column:
     """ARRAY<STRING>: lower-cased Unicode word tokens."""
-    return F.filter(F.split(F.lower(col_of(c)), f"[^{WORD}]+", -1), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(col_of(c)), f"[^{WORD}]+", -1), "")
 
 
 def rouge_tokens(c) -> Column:
     """ARRAY<STRING>: ROUGE tokenisation: lower-case, every run outside
     ``a-z0-9`` separates tokens (accented letters split words)."""
-    return F.filter(F.split(F.lower(col_of(c)), r"[^a-z0-9]+", -1), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(col_of(c)), r"[^a-z0-9]+", -1), "")
 
 
 def parse_lines(c) -> Column:
