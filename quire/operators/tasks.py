@@ -36,6 +36,8 @@ DEFAULT_LEXICON = [
     ("science", "er", 0.5), ("science", "ie", 0.5), ("science", "st", 0.5), ("science", "ar", 0.5),
 ]
 CATEGORY_THRESHOLD = 2.0
+# a lexicon is broadcast only up to this many rows; beyond it Spark plans the join
+MAX_BROADCAST_LEXICON = 200_000
 TOP_CATEGORIES = 5
 
 
@@ -78,10 +80,14 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
 
 def categories(spark: SparkSession, books: DataFrame, book_col: str, text_col: str, lexicon=None,
                threshold: float = CATEGORY_THRESHOLD, top: int = TOP_CATEGORIES) -> DataFrame:
-    """G7 native: weighted lexicon match.  The lexicon is a fixed, small
-    table, so it is broadcast; book terms never shuffle for it."""
+    """G7 native: weighted lexicon match.  The lexicon's row count is known on
+    the driver: up to ``MAX_BROADCAST_LEXICON`` rows it is broadcast and book
+    terms never shuffle for it; a larger one is left to a planned join."""
     tf = term_counts(books.select(book_col, text_col), [book_col], text_col)
-    lex = F.broadcast(lexicon_df(spark, lexicon))
+    rows = lexicon or DEFAULT_LEXICON
+    lex = lexicon_df(spark, rows)
+    if len(rows) <= MAX_BROADCAST_LEXICON:          # size known on the driver
+        lex = F.broadcast(lex)
     s = tf.join(lex, "term").groupBy(book_col, "category").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
     s = s.filter(F.col("score") >= threshold)
     w = Window.partitionBy(book_col).orderBy(F.col("score").desc(), F.col("category"))

@@ -92,7 +92,13 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
     if on_error not in ("drop", "hold"):
         raise ValueError("on_error must be 'drop' or 'hold'")
     workdir = workdir or shared_dir(spark, "compress")
-    pending = contents.select(*keys, F.col(text_col).alias("content"))
+    # round 1's input is written once: cleanup upstream of it is not
+    # recomputed by later actions, and every round's offsets refer to a
+    # stored text (a restart cuts the same chunks)
+    input_path = f"{workdir}/input"
+    if not _exists(spark, input_path):
+        contents.select(*keys, F.col(text_col).alias("content")).write.mode("overwrite").parquet(input_path)
+    pending = spark.read.parquet(input_path)
     round_no = 1
     while True:
         books_path = f"{workdir}/books/round={round_no}"
