@@ -121,13 +121,15 @@ def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output"
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Sparse-header CSV where the language is given on the first row of
-    each group only; fill it down in file order (single-file scan)."""
+    each group only; fill it down in file order.  A multi-line CSV file is
+    read by one task, so the row id follows file order within a file; the
+    window is partitioned by file, so many catalogue files fill in parallel."""
     df = spark.read.option("header", True).option("multiLine", True).csv(path)
     lang = df.columns[0]
-    df = df.withColumn("__order", F.monotonically_increasing_id())
-    w = Window.orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("__file", F.input_file_name()).withColumn("__order", F.monotonically_increasing_id())
+    w = Window.partitionBy("__file").orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = F.last(F.when(F.trim(F.col(lang)) != "", F.col(lang)), ignorenulls=True).over(w)
-    return df.withColumn(lang, filled).drop("__order")
+    return df.withColumn(lang, filled).drop("__order", "__file")
 
 
 def prompt_table(spark: SparkSession, prompts_dir: str) -> DataFrame:
