@@ -90,3 +90,11 @@ def test_prompt_versions(tmp_path):
     assert P.available_versions("resume", str(tmp_path)) == [2, 10]
     assert P.load_template("resume", None, str(tmp_path)) == "v10.txt"
     assert P.available_versions("missing", str(tmp_path)) == []
+
+
+def test_overhead_over_prompt_table(spark):
+    from pyspark.sql import functions as F
+    rows = [("{A}{B}", ["A", "B"]), ("no keys", []), ("x {A}", ["A", "MISSING"])]
+    df = spark.createDataFrame(rows, "template string, keys array<string>")
+    got = [r.o for r in df.select(P.overhead_col(F.col("template"), F.col("keys")).alias("o")).collect()]
+    assert got == [P.overhead(t, k) for t, k in rows]

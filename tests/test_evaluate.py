@@ -113,3 +113,12 @@ def test_pairing_and_language_codes(spark):
     codes = spark.createDataFrame([("English",), ("italian",), ("klingon",)], "l string").select(
         EV.language_code("l").alias("c")).collect()
     assert [r.c for r in codes] == ["en", "it", "en"]
+
+
+def test_pending_annotations(spark):
+    s = spark.createDataFrame([("m", "judge", "b1"), ("m", "judge", "b2"), ("n", "judge", "b1")],
+                              "provider string, evaluator string, book string")
+    a = spark.createDataFrame([("m", "judge", "b1", 0, True)],
+                              "provider string, evaluator string, book string, sentence_no int, confusing boolean")
+    todo = sorted((r.provider, r.book) for r in EV.pending_annotations(s, a, ["provider", "evaluator", "book"]).collect())
+    assert todo == [("m", "b2"), ("n", "b1")]
