@@ -69,10 +69,11 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``quire`` importable on executors (for the pandas UDFs and
     ``mapInPandas`` stages): zip the package once per context and add it with
-    ``addPyFile``, the programmatic form of ``--py-files``.  Local mode
-    already shares the driver's interpreter path, so nothing is shipped there."""
+    ``addPyFile``, the programmatic form of ``--py-files``.  Python workers
+    do not inherit the driver's ``sys.path``, so this is needed in local mode
+    too whenever the driver was not started from the repository root."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or id(sc) in _SHIPPED:
+    if id(sc) in _SHIPPED:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
