@@ -12,10 +12,10 @@ WS_CLASS = fixed.java_class_body(WS)
 WORD = fixed.WORD_CLASS
 
 DIV_PATTERN = r"<div[^>]*>.*?</div>"
-ALT_PATTERN = r'(?i)alt="([^"]+)"'
+ALT_PATTERN = r'(?iu)alt="([^"]+)"'
 TABLE_PATTERN = r"<table[^>]*>.*?</table>"
-ROW_PATTERN = r"(?is)<tr[^>]*>(.*?)</tr>"
-CELL_PATTERN = r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"
+ROW_PATTERN = r"(?isu)<tr[^>]*>(.*?)</tr>"
+CELL_PATTERN = r"(?isu)<t[hd][^>]*>(.*?)</t[hd]>"
 # sentence marker used to split text into sentences in both engines
 SENTENCE_MARK = "\u0001"
 
@@ -40,8 +40,9 @@ def _interleave(text: Column, pattern: str, replace_fn) -> Column:
     ``regexp_replace`` cannot transform a capture, so the text is split on the
     pattern and the transformed matches are put back between the pieces.
     """
-    pieces = F.split(text, f"(?is){pattern}", -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(f"(?is)({pattern})"), 1), replace_fn)
+    # (?u): case-insensitive matching is Unicode-aware, as in the original
+    pieces = F.split(text, f"(?isu){pattern}", -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(f"(?isu)({pattern})"), 1), replace_fn)
     return F.array_join(
         F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(matches, i), F.lit("")))), "")
 
@@ -145,7 +146,7 @@ def parse_lines(c) -> Column:
 def explode_table_cells(df, keys: list, text_col: str):
     """One row per table cell: ``keys, table_no, row_no, col_no,
     is_header, cell`` (first row of a table is the header)."""
-    tables = F.regexp_extract_all(F.col(text_col), F.lit(f"(?is)({TABLE_PATTERN})"), 1)
+    tables = F.regexp_extract_all(F.col(text_col), F.lit(f"(?isu)({TABLE_PATTERN})"), 1)
     t = df.select(*keys, F.posexplode_outer(tables).alias("table_no", "t")).filter(F.col("t").isNotNull())
     r = t.select(*keys, "table_no", F.posexplode_outer(table_rows(F.col("t"))).alias("row_no", "cells")).filter(
         F.col("cells").isNotNull())

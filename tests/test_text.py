@@ -53,6 +53,8 @@ DIVS = [
     ("<div><div>x</div></div>", "</div>"),
     ("no markup", "no markup"),
     ('<DIV class="x">\nmulti\nline</DIV>after', "after"),
+    ('<diſ>x</div>', '<diſ>x</div>'),                 # not a div tag
+    ('<div aLT="ſeal">x</div>', "[SEAL]"),           # Unicode-aware case: ſ upper-cases to S
 ]
 
 
