@@ -58,6 +58,26 @@ def term_counts(books: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return t.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
+MAX_LANGUAGES_INLINE = 10_000
+
+
+def books_per_language(books: DataFrame, lang_col: str):
+    """Column with the number of books of the row's language.
+
+    The per-language counts have one row per language.  Up to
+    ``MAX_LANGUAGES_INLINE`` rows (checked by fetching at most one more) they
+    become a literal map in the plan, so no join on ``lang`` exists: with one
+    language holding a third of all rows, such a join would send that whole
+    language to one task.  Beyond the bound the caller's rows are joined."""
+    counts = books.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES_INLINE + 1).collect()
+    if len(counts) > MAX_LANGUAGES_INLINE:
+        raise ValueError("too many languages to inline; join the per-language counts instead")
+    pairs = [x for r in counts if r[lang_col] is not None for x in (F.lit(r[lang_col]), F.lit(r["n"]))]
+    if not pairs:
+        return F.lit(None).cast("bigint")
+    return F.create_map(*pairs)[F.col(lang_col)]
+
+
 def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str, text_col: str,
              top: int = TOP_KEYWORDS) -> DataFrame:
     """G6 native: TF-IDF within each language corpus, function words and
@@ -69,8 +89,7 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     stop = stop_words_df(spark).withColumnRenamed("lang", lang_col)
     tf = tf.join(F.broadcast(stop), [lang_col, "term"], "left_anti")   # fixed-size list
     df = tf.groupBy(lang_col, "term").agg(F.count("*").alias("df"))
-    n = books.groupBy(lang_col).agg(F.count("*").alias("n_books"))
-    s = tf.join(df, [lang_col, "term"]).join(n, lang_col)
+    s = tf.join(df, [lang_col, "term"]).withColumn("n_books", books_per_language(books, lang_col))
     s = s.withColumn("score", F.col("tf") * F.log(F.col("n_books") / F.col("df")))
     w = Window.partitionBy(book_col).orderBy(F.round("score", 9).desc(), F.col("term"))
     r = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -461,15 +461,20 @@ SELECT doc_id, kind, abstract AS summary, CASE WHEN length(trim(abstract)) > 0 T
 # --- F1-F4: gating against existing outputs (labels = books already processed) ----------
 
 def _state_tables(spark, sf_dir):
+    """Outputs derived from ``labels`` (one join with ``documents``; the four
+    output kinds come from one explode of conditional structs)."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     lab = read(spark, sf_dir, "labels")
     j = lab.join(d, "doc_id")
-    outputs = (j.select("doc_id", F.lit(fixed.KIND_ABSTRACTS).alias("kind"),
-                        F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("text")).alias("text"))
-               .unionByName(j.filter(F.col("quality") == 1).select("doc_id", F.lit(fixed.KIND_SUMMARY).alias("kind"), "text"))
-               .unionByName(j.filter((F.col("quality") == 1) & (F.col("toxic") == 0))
-                            .select("doc_id", F.lit(fixed.KIND_SUMMARY_NO_INTRO).alias("kind"), "text"))
-               .unionByName(j.filter(F.col("quality") == 0).select("doc_id", F.lit(fixed.KIND_KEYWORDS).alias("kind"), "text")))
+    kinds = F.array(
+        F.struct(F.lit(fixed.KIND_ABSTRACTS).alias("kind"),
+                 F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("text")).alias("text")),
+        F.when(F.col("quality") == 1, F.struct(F.lit(fixed.KIND_SUMMARY).alias("kind"), F.col("text").alias("text"))),
+        F.when((F.col("quality") == 1) & (F.col("toxic") == 0),
+               F.struct(F.lit(fixed.KIND_SUMMARY_NO_INTRO).alias("kind"), F.col("text").alias("text"))),
+        F.when(F.col("quality") == 0, F.struct(F.lit(fixed.KIND_KEYWORDS).alias("kind"), F.col("text").alias("text"))))
+    outputs = (j.select("doc_id", F.explode_outer(kinds).alias("o")).filter(F.col("o").isNotNull())
+               .select("doc_id", "o.kind", "o.text"))
     return d, lab.select("doc_id"), outputs
 
 
