@@ -25,14 +25,21 @@ from quire.functions.text import sentences, word_tokens
 
 def extractive_abstracts(splits: DataFrame, keys: list[str], chunk_col: str = "chunk",
                          target_col: str = "target_size", out_col: str = "abstract",
-                         num_partitions: int | None = None) -> DataFrame:
+                         num_partitions: int | None = None, prepartitioned: bool = False) -> DataFrame:
     """Add ``out_col`` (empty string when the chunk has no sentence).
 
+    ``prepartitioned=True`` skips the exchange when the caller's rows are
+    already hash-partitioned by a prefix of ``keys`` (e.g. straight out of a
+    ``groupBy`` on the book): every later step only needs that clustering.
+
     The result keeps every input column except the chunk text itself (the
     small per-chunk columns ride along through the aggregates), so the chunk
     pipeline is computed once and never joined back to itself.
     """
-    base = splits.repartition(num_partitions, *keys) if num_partitions else splits.repartition(*keys)
+    if prepartitioned:
+        base = splits
+    else:
+        base = splits.repartition(num_partitions, *keys) if num_partitions else splits.repartition(*keys)
     k = [F.col(c) for c in keys]
     carry = [c for c in splits.columns if c not in keys and c != chunk_col]
     sent = base.select(*k, *carry, F.col(target_col).alias("__target"),
