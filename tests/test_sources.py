@@ -98,3 +98,15 @@ def test_prompt_table(spark):
     t = corpus.latest_prompts(corpus.prompt_table(spark, PROMPTS_DIR))
     got = {r.name: (r.versions, r.version) for r in t.collect()}
     assert got["resume"] == ([1], 1) and set(got) == {"resume", "abstract", "keywords", "categories"}
+
+
+def test_read_summaries_from_folders(spark, tmp_path):
+    from quire.sources.summaries import read_summaries
+    root = str(tmp_path / "results")
+    write(f"{root}/english/b1/providers/human/summary.txt", "Reference text.")
+    write(f"{root}/english/b1/providers/meta/llama/summary.txt", "Llama text.")
+    write(f"{root}/english/b1/providers/org/summary.txt", "Org text.")
+    write(f"{root}/english/b1/providers/org/sub/summary.txt", "shadowed")
+    write(f"{root}/do_not_use/b9/providers/x/summary.txt", "skipped")
+    got = sorted((r.book, r.provider, r.summary) for r in read_summaries(spark, root).collect())
+    assert got == [("b1", "human", "Reference text."), ("b1", "meta/llama", "Llama text."), ("b1", "org", "Org text.")]
