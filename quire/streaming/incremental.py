@@ -1,11 +1,14 @@
 """Incremental corpus cleanup with Structured Streaming.
 
 New page files are picked up by a file-source stream; each micro-batch
-re-cleans only the books it touched (all of their pages are re-read from the
-table of pages, so a book whose pages arrive over several batches is rebuilt
-whole) and writes the contents with dynamic partition overwrite.  The
-checkpoint gives exactly-once batches; ``foreachBatch`` runs the same batch
-plan as the offline job.
+appends them to a pages table partitioned by a hash bucket of the book, then
+re-cleans only the books it touched: their pages are re-read with a semi-join
+on (language, book, bucket), so dynamic partition pruning limits the scan to
+the touched buckets, and a book whose pages arrive over several batches is
+rebuilt whole.  Contents are appended with the batch id as ``version`` (no
+per-book partitions, no rewrite of untouched books); :func:`latest_contents`
+resolves the newest version per book.  A replayed batch writes identical
+rows, so the result is idempotent.
 """
 
 from __future__ import annotations
@@ -17,12 +20,26 @@ from quire.plans.cleanup import clean_pages
 from quire.sources.corpus import local_path, page_id
 
 PAGE_SCHEMA = "value string"
+BUCKETS = 1024
+
+
+def book_bucket(lang="language", book="book"):
+    return F.pmod(F.xxhash64(F.col(lang), F.col(book)), F.lit(BUCKETS)).cast("int")
+
+
+def latest_contents(spark: SparkSession, contents_path: str) -> DataFrame:
+    """The newest cleaned content of every book."""
+    c = spark.read.parquet(contents_path)
+    return c.groupBy("language", "book").agg(F.max_by("content", "version").alias("content"))
 
 
 def start_cleanup_stream(spark: SparkSession, root: str, pages_table: str, contents_path: str,
-                         checkpoint: str, ocr_dir: str = "paddle_output", trigger_once: bool = True):
-    """Start the stream; returns the ``StreamingQuery``."""
+                         checkpoint: str, ocr_dir: str = "paddle_output", trigger_once: bool = True,
+                         max_files_per_trigger: int = 10_000):
+    """Start the stream; returns the ``StreamingQuery``.  ``max_files_per_trigger``
+    bounds a micro-batch, which bounds the broadcast list of touched books."""
     src = (spark.readStream.format("text").option("wholetext", True)
+           .option("maxFilesPerTrigger", max_files_per_trigger)
            .option("recursiveFileLookup", "false")
            .load(f"{root.rstrip('/')}/*/*/{ocr_dir}/"))
     rel = F.regexp_replace(local_path(F.input_file_name()), "^" + root.rstrip("/") + "/", "")
@@ -34,13 +51,13 @@ def start_cleanup_stream(spark: SparkSession, root: str, pages_table: str, conte
     pages = pages.withColumn("page_id", page_id("file"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("append").parquet(pages_table)
-        touched = df.select("language", "book").distinct()
-        allp = spark.read.parquet(pages_table).join(touched, ["language", "book"], "left_semi")
+        df = df.withColumn("bucket", book_bucket())
+        df.write.mode("append").partitionBy("bucket").parquet(pages_table)
+        touched = F.broadcast(df.select("language", "book", "bucket").distinct())
+        allp = spark.read.parquet(pages_table).join(touched, ["language", "book", "bucket"], "left_semi")
         allp = allp.dropDuplicates(["language", "book", "file"]).filter(F.col("page_id").isNotNull())
-        out = clean_pages(allp, ["language", "book"])
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("language", "book").parquet(contents_path))
+        out = clean_pages(allp, ["language", "book"]).withColumn("version", F.lit(epoch).cast("bigint"))
+        out.write.mode("append").parquet(contents_path)
 
     w = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w

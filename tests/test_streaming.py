@@ -2,7 +2,7 @@
 
 import os
 
-from quire.streaming.incremental import start_cleanup_stream
+from quire.streaming.incremental import latest_contents, start_cleanup_stream
 
 
 def write(p, text):
@@ -17,11 +17,11 @@ def test_incremental_cleanup(spark, tmp_path):
     write(f"{root}/pt/b1/paddle_output/page_1.md", "Primeira linha")
     q = start_cleanup_stream(spark, root, pages, out, ck)
     q.awaitTermination(120)
-    first = {r.book: r.content for r in spark.read.parquet(out).collect()}
+    first = {r.book: r.content for r in latest_contents(spark, out).collect()}
     assert first == {"b1": "Primeira linha"}
     write(f"{root}/pt/b1/paddle_output/page_2.md", "continua aqui")
     write(f"{root}/pt/b2/paddle_output/page_1.md", "Outro livro.")
     q = start_cleanup_stream(spark, root, pages, out, ck)
     q.awaitTermination(120)
-    second = {r.book: r.content for r in spark.read.parquet(out).collect()}
+    second = {r.book: r.content for r in latest_contents(spark, out).collect()}
     assert second == {"b1": "Primeira linha continua aqui", "b2": "Outro livro."}
