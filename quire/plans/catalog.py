@@ -87,9 +87,6 @@ def _contents(spark, sf_dir):
     return _repair(docs).select("doc_id", "lang", "content")
 
 
-_SQL_CONTENTS = f"WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}) SELECT * FROM r"
-
-
 # --- G4 + I3/I4: one compression round -------------------------------------
 
 def compress_round(spark, sf_dir):
