@@ -264,14 +264,14 @@ def _rouge(n):
 
 
 def _rouge_sql(n: int) -> str:
-    def grams(col):
-        tk = O.rouge_tokens(col)
-        return f"list_transform(range(1, len({tk}) - {n} + 2), lambda i: array_to_string(({tk})[i:i + {n - 1}], ' '))"
+    def grams(tk):
+        return f"list_transform(range(1, len({tk}) - {n} + 2), lambda i: array_to_string({tk}[i:i + {n - 1}], ' '))"
     return f"""
     WITH p AS ({_SQL_PAIRS}),
-    g AS (SELECT conv_id, provider, unnest({grams('candidate')}) AS g, 1 AS c, 0 AS r FROM p
+    t AS (SELECT conv_id, provider, {O.rouge_tokens('candidate')} AS ct, {O.rouge_tokens('reference')} AS rt FROM p),
+    g AS (SELECT conv_id, provider, unnest({grams('ct')}) AS g, 1 AS c, 0 AS r FROM t
           UNION ALL
-          SELECT conv_id, provider, unnest({grams('reference')}), 0, 1 FROM p),
+          SELECT conv_id, provider, unnest({grams('rt')}), 0, 1 FROM t),
     pg AS (SELECT conv_id, provider, g, sum(c) AS c, sum(r) AS r FROM g GROUP BY ALL),
     pp AS (SELECT conv_id, provider, sum(least(c, r)) AS o, sum(c) AS nc, sum(r) AS nr FROM pg GROUP BY ALL),
     x AS (SELECT p.conv_id, p.provider, coalesce(o, 0) AS o, coalesce(nc, 0) AS nc, coalesce(nr, 0) AS nr
