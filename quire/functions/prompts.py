@@ -16,6 +16,7 @@ PROMPT_KEYS = {
     "abstract": ["ABSTRACT_CONTENTS", "LANGUAGE"],
     "keywords": ["ABSTRACT_CONTENTS", "LANGUAGE"],
     "categories": ["ABSTRACT_CONTENTS", "LANGUAGE"],
+    "annotate": ["CONTEXT", "SENTENCE"],
 }
 
 _VERSION_FILE = re.compile(r"^v(\d+)\.txt$")

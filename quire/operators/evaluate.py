@@ -211,3 +211,35 @@ def coherence(flags: DataFrame, provider_col: str, book_keys: list[str]) -> Data
 def pending_annotations(summaries: DataFrame, annotations: DataFrame, keys: list[str]) -> DataFrame:
     """Books not yet annotated for (provider, evaluator)."""
     return summaries.join(annotations.select(*keys).distinct(), keys, "left_anti")
+
+
+ANNOTATE_KEYS = ["CONTEXT", "SENTENCE"]   # declared keys of the annotate prompt
+
+
+def annotate_with_model(summaries: DataFrame, keys: list[str], model_fn, evaluator: str,
+                        annotations: DataFrame | None = None, text_col: str = "summary",
+                        template: str | None = None, **gen) -> DataFrame:
+    """E9 with a model as annotator (E10: books already annotated by
+    ``evaluator`` are not sent again).  One prompt per sentence with the
+    sentences before it as context; an answer starting with "yes" flags it.
+    Returns ``keys, evaluator, sentence_no, sentence, confusing, status``; a
+    failed call counts as not confusing and is reported in ``status``."""
+    from quire.functions.prompts import load_template, render
+    from quire.operators.generate import generate
+
+    if template is None:
+        template = load_template("annotate")
+    todo = summaries
+    if annotations is not None:
+        done = annotations.filter(F.col("evaluator") == evaluator).select(*keys).distinct()
+        todo = summaries.join(done, keys, "left_anti")
+    arr = todo.select(*keys, sentences(text_col).alias("__s"))
+    rows = arr.select(*keys, "__s", F.posexplode_outer("__s").alias("sentence_no", "sentence")).filter(
+        F.col("sentence").isNotNull())
+    ctx = F.array_join(F.slice("__s", 1, F.col("sentence_no")), "\n")
+    prompts = rows.select(*keys, "sentence_no", "sentence",
+                          render(template, ANNOTATE_KEYS, {"CONTEXT": ctx, "SENTENCE": F.col("sentence")}).alias("prompt"))
+    out = generate(prompts, model_fn, keys + ["sentence_no"], **gen)
+    yes = F.lower(F.coalesce(strip("text"), F.lit(""))).startswith("yes")
+    return out.select(*keys, F.lit(evaluator).alias("evaluator"), "sentence_no", "sentence",
+                      (yes & (F.col("status") == "ok")).alias("confusing"), "status")

@@ -122,3 +122,18 @@ def test_pending_annotations(spark):
                               "provider string, evaluator string, book string, sentence_no int, confusing boolean")
     todo = sorted((r.provider, r.book) for r in EV.pending_annotations(s, a, ["provider", "evaluator", "book"]).collect())
     assert todo == [("m", "b2"), ("n", "b1")]
+
+
+def test_annotate_with_model(spark):
+    rows = [("m", "b1", "He went home. It was blue."), ("m", "b2", "Done."), ("m", "b3", "Skip me.")]
+    s = spark.createDataFrame(rows, "provider string, book string, summary string")
+    done = spark.createDataFrame([("m", "b3", "judge")], "provider string, book string, evaluator string")
+
+    def model(prompts):
+        return ["yes" if p.rstrip().endswith("It was blue.") else "no" for p in prompts]
+
+    flags = EV.annotate_with_model(s, ["provider", "book"], model, "judge", annotations=done, sleep=lambda x: None)
+    got = sorted((r.book, r.sentence_no, r.confusing) for r in flags.collect())
+    assert got == [("b1", 0, False), ("b1", 1, True), ("b2", 0, False)]
+    rep = {r.provider: r.coherence for r in EV.coherence(flags, "provider", ["book"]).collect()}
+    assert rep["m"] == round((0.5 + 1.0) / 2, 6)

@@ -97,7 +97,7 @@ def test_prompt_table(spark):
     from quire.functions.prompts import PROMPTS_DIR
     t = corpus.latest_prompts(corpus.prompt_table(spark, PROMPTS_DIR))
     got = {r.name: (r.versions, r.version) for r in t.collect()}
-    assert got["resume"] == ([1], 1) and set(got) == {"resume", "abstract", "keywords", "categories"}
+    assert got["resume"] == ([1], 1) and set(got) == {"resume", "abstract", "keywords", "categories", "annotate"}
 
 
 def test_read_summaries_from_folders(spark, tmp_path):
