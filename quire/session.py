@@ -53,8 +53,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3)")
         base = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
+        try:  # some sessions refuse runtime changes of core settings
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:
+            pass
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
