@@ -72,15 +72,18 @@ def prf(overlap: Column, n_cand: Column, n_ref: Column, prefix: str) -> list[Col
 
 
 def rouge_n(pairs: DataFrame, keys: list[str], n: int, cand_col: str = "candidate",
-            ref_col: str = "reference", tokens=rouge_tokens) -> DataFrame:
+            ref_col: str = "reference", tokens=rouge_tokens, prepartitioned: bool = False) -> DataFrame:
     """Clipped n-gram overlap; precision over candidate n-grams, recall
     over reference n-grams (reference is the first argument in the original
-    scorer, candidate the second)."""
+    scorer, candidate the second).  ``prepartitioned=True`` skips the exchange
+    when ``pairs`` are already hash-partitioned by a prefix of ``keys``."""
     # token arrays are computed before the one exchange on the pair key (a
     # Python tokenizer stage would otherwise hide the partitioning from the
     # aggregates) and get their own projection, so the n-gram lambda does not
     # re-derive them for every position
-    base = pairs.select(*keys, tokens(cand_col).alias("__ct"), tokens(ref_col).alias("__rt")).repartition(*keys)
+    base = pairs.select(*keys, tokens(cand_col).alias("__ct"), tokens(ref_col).alias("__rt"))
+    if not prepartitioned:
+        base = base.repartition(*keys)
     tagged = F.concat(
         F.transform(ngrams(F.col("__ct"), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r"))),
         F.transform(ngrams(F.col("__rt"), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r"))))
