@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.simhash_dedup import simhash_groups
+from quire.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def op5_toxicity(spark, sf_dir):
+    """Every document with its toxicity; learned outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
+    model = fit_toxicity(docs, labels.where(fold(labels["doc_id"]) != 0))
+    scored = score_toxicity(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("clauses").alias("n_clauses"))
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
@@ -21,6 +33,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
