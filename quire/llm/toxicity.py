@@ -8,9 +8,10 @@ next words, reported speech lowers the rest of the clause.  They are composed
 once into a single table.  A document's score is a logistic function of its
 clause scores, so an isolated word in a negated quotation weighs little.
 
-What the insults are is learned from labelled rows: words (and word beginnings)
-whose documents are labelled toxic far more often than chance, by the lower
-confidence bound of their log odds ratio.  Learning reads at most
+What the insults are is learned from labelled rows: words (and beginnings
+shared by three words or more) whose documents are labelled toxic more often
+than chance allows among all words tried; the weight is the lower confidence
+bound of the log odds ratio.  Learning reads at most
 ``max_train`` labelled rows (a hash sample above that) and keeps at most
 ``max_lexicon`` entries; scoring reads every whole text.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import drop_stash, stash
+
 # bounds of the learning sample, of the learned lexicon
 MAX_TRAIN = 30_000
 MAX_LEXICON = 5_000
@@ -240,19 +243,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 
     counts = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # words met in a single toxic document carry no evidence; the rest is ranked by its lower bound
-    from quire.llm.common import drop_stash, stash
-    counts = stash(counts.where((F.col("toxic") >= 2) | (F.col("term") == "")), "toxicity-counts")
+    counts = stash(counts.where(F.col("toxic") > 0), "toxicity-counts")
     totals = counts.where(F.col("term") == "").first()
-    if totals is None or not totals.clean or not totals.toxic:
+    if totals is None or not totals.clean:
         drop_stash(counts)
         return ToxicityModel()
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    tox, n = F.col("toxic"), F.col("toxic") + F.col("clean")
+    a, b = tox + 0.5, F.col("clean") + 0.5
     ratio = F.log(a / (totals.toxic + 1.0)) - F.log(b / (totals.clean + 1.0))
-    bound = ratio - 1.64 * F.sqrt(1 / a + 1 / b)
+    base = totals.toxic / (totals.toxic + totals.clean)
+    # n * KL(share of toxic || base rate) against the number of terms tried (a Bonferroni bound)
+    surprise = tox * F.log(tox / n / base) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - base))).otherwise(0.0)
     prefix = F.startswith(F.col("term"), F.lit("^"))
-    best = (counts.where(F.col("term") != "").select("term", bound.alias("w"), "toxic")
-            .where(F.when(prefix, (F.col("w") > 3) & (F.col("toxic") >= 8)).otherwise(F.col("w") > 1))
+    # a word beginning stands for a family: three words of it at least, not one word's own letters
+    kinds = (counts.where(~prefix & (F.length("term") > min(PREFIXES)))
+             .select("term", F.explode(F.array(*[F.lit(k) for k in PREFIXES])).alias("k"))
+             .where(F.length("term") > F.col("k"))
+             .groupBy(F.concat(F.lit("^"), F.expr("substring(term, 1, k)")).alias("term")).agg(F.count("*").alias("kinds")))
+    best = (counts.where((F.col("term") != "") & (tox / n > base) & (surprise > F.log(F.lit(float(counts.count())))))
+            .select("term", (ratio - 1.64 * F.sqrt(1 / a + 1 / b)).alias("w"))
+            .join(kinds, "term", "left").where((F.col("w") > 0) & (~prefix | (F.col("kinds") >= 3)))
             .orderBy(F.desc("w"), "term").limit(max_lexicon).collect())
     drop_stash(counts)
     model = ToxicityModel({r.term: r.w for r in best if r.term[0] != "^"},
