@@ -9,10 +9,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.decontamination import contaminated_pairs
+from quire.llm.mixing import mix
+from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import simhash_groups
 from quire.llm.toxicity import fit_toxicity, score_toxicity
 
 
+SHARDS = 40
+
+
+def op1_mixing(spark, sf_dir):
+    """Every document with the words that the mixture takes of it."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                        (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+
+
+def op6_sharding(spark, sf_dir):
+    """Every document with its shard and slot, and its shard if one is added."""
+    placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op7_decontamination(spark, sf_dir):
+    """Every document and benchmark item whose tiles cover 80 % of the item."""
+    pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "matched_words",
+                        (F.col("matched_words") / F.col("item_words")).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
 def op5_toxicity(spark, sf_dir):
     """Every document with its toxicity; learned outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -33,7 +59,10 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
+    "op7_decontamination": op7_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
