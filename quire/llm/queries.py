@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.decontamination import contaminated_pairs
+from quire.llm.embedding_dedup import near_vectors
 from quire.llm.mixing import mix
 from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import simhash_groups
@@ -26,6 +27,13 @@ def op1_mixing(spark, sf_dir):
                         (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    """Every vector with its links at cosine 0.9 and its component."""
+    near = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                       F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def op6_sharding(spark, sf_dir):
     """Every document with its shard and slot, and its shard if one is added."""
     placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
@@ -60,6 +68,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
