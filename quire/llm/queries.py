@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import stash, table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
 from quire.llm.mixing import mix
 from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import simhash_groups
 from quire.llm.toxicity import fit_toxicity, score_toxicity
+from quire.llm.warc import read_archives, resolved_pages, write_archives
+from quire.session import shared_dir
 
 
 SHARDS = 40
@@ -66,12 +68,22 @@ def op9_simhash_near_dedup(spark, sf_dir):
                          F.col("component").alias("component_id"))
 
 
+def op8_warc(spark, sf_dir):
+    """Every page as it comes back from the archives it was written to."""
+    path = shared_dir(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    # parsed once: the answer joins revisits with their responses
+    records = stash(read_archives(spark, path), "warc-records")
+    return resolved_pages(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
