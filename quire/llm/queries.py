@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stash, table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
+from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
 from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import simhash_groups
@@ -36,6 +37,17 @@ def op3_embedding_near_dedup(spark, sf_dir):
                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    """Every document's log10 probability; learned outside of fold 1."""
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
+    held_out = lambda c: F.coalesce(fold(c) == 1, F.lit(False))
+    model, counts = fit_language_model(docs.where(~held_out(docs["doc_id"])).select("text"))
+    scored = score_texts(docs, model, counts)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_sharding(spark, sf_dir):
     """Every document with its shard and slot, and its shard if one is added."""
     placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
@@ -80,6 +92,7 @@ def op8_warc(spark, sf_dir):
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
