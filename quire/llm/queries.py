@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stash, table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
+from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
 from quire.llm.sharding import assign_shards
@@ -89,6 +90,11 @@ def op8_warc(spark, sf_dir):
     return resolved_pages(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_line_dedup(spark, sf_dir):
+    """Every document with the lines that earlier lines make redundant."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_lines", "removed", "n_links")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
@@ -98,6 +104,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
