@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stash, table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
+from quire.llm import license_scan
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
@@ -31,6 +32,23 @@ def op1_mixing(spark, sf_dir):
                         (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
 
 
+# A tree of files out of documents: documents lie in the folder of their
+# source and language or, two of three, one level below; every fifth document
+# that says "licensed", "released" or "reserved" is its folder's licence file.
+LICENSE_TREE = """
+SELECT doc_id, concat(source, '/', lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('/', doc_id % 97) END, '/',
+       CASE WHEN doc_id % 5 = 0 AND regexp_like(text, '[Ll]icensed|[Rr]eleased|reserved') THEN 'LICENSE' ELSE 'file' END, '.', doc_id) AS path, text
+FROM documents
+"""
+
+
+def op2_license_scan(spark, sf_dir):
+    """Every document with the license it declares or inherits."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.selectExpr("doc_id", LICENSE_TREE.split("doc_id, ", 1)[1].split(" AS path")[0] + " AS path", "text")
+    return license_scan.scan_licenses(files).withColumnRenamed("id", "doc_id")
+
+
 def op3_embedding_near_dedup(spark, sf_dir):
     """Every vector with its links at cosine 0.9 and its component."""
     near = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -97,6 +115,7 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_license_scan": op2_license_scan,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
@@ -107,4 +126,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(LICENSE_TREE.replace("regexp_like", "regexp_matches")),
+}
