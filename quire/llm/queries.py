@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import stash, table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
-from quire.llm import license_scan
+from quire.llm import license_scan, sharding
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
-from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import simhash_groups
 from quire.llm.toxicity import fit_toxicity, score_toxicity
 from quire.llm.warc import read_archives, resolved_pages, write_archives
@@ -69,7 +68,7 @@ def op4_lm_scoring(spark, sf_dir):
 
 def op6_sharding(spark, sf_dir):
     """Every document with its shard and slot, and its shard if one is added."""
-    placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -127,5 +126,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_sharding": sharding.oracle_sql("SELECT doc_id, text FROM documents", SHARDS),
     "op2_license_scan": license_scan.oracle_sql(LICENSE_TREE.replace("regexp_like", "regexp_matches")),
 }

@@ -80,7 +80,8 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     rows = rows.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
     rows = rows.withColumn("__at", jump_shard(stable_key(F.col("id")), shards)).select(
         "id", "size", "text_crc32", "n", "__at.shard", "__at.grown_shard",
-        F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(parts)).alias("part"))
+        (F.conv(F.substring(F.md5(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "text_crc32", "size")]).cast("binary")), 1, 8),
+                16, 10).cast("long") % parts).alias("part"))
     order = "PARTITION BY shard, part ORDER BY id, text_crc32, size"
     rows = rows.withColumn("before", F.expr(f"sum(n) OVER ({order} ROWS UNBOUNDED PRECEDING) - n"))
     # shards x parts rows
@@ -95,3 +96,38 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     rows = rows.select("id", "size", "text_crc32", "shard", "grown_shard", (first + F.col("n")).alias("end"), chunk.alias("lo"))
     slot = F.explode(F.sequence("lo", F.least(F.col("lo") + 4096, F.col("end")) - 1))
     return rows.select("id", "size", "text_crc32", "shard", "grown_shard", slot.alias("slot"))
+
+
+# --- the same in DuckDB ------------------------------------------------------
+
+def _crc_table() -> list[int]:
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+def oracle_sql(docs: str, shards: int, parts: int = PARTS) -> str:
+    """The assignment over a SQL expression ``docs`` with doc_id and text."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + {OVERHEAD_BYTES} AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM ({docs})),
+ c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+         lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d),
+ walk AS (
+  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::HUGEINT AS k, 0::DOUBLE AS b, 0::DOUBLE AS last
+  FROM (SELECT DISTINCT doc_id FROM c)
+  UNION ALL
+  SELECT doc_id, nk, floor((b + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592) + 1)::DOUBLE)), b
+  FROM (SELECT *, (k * {MULTIPLIER}::HUGEINT + 1) % {MODULUS}::HUGEINT AS nk FROM walk WHERE b <= {shards})),
+ placed AS (SELECT doc_id, max(b) FILTER (WHERE b < {shards}) AS shard, max(b) FILTER (WHERE b <= {shards}) AS grown FROM walk GROUP BY doc_id)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY
+         ('0x' || substr(md5(coalesce(c.doc_id::VARCHAR, '') || '/' || text_crc32 || '/' || size), 1, 8))::BIGINT % {parts},
+         c.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard
+FROM c JOIN placed ON c.doc_id IS NOT DISTINCT FROM placed.doc_id
+"""
