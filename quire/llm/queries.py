@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm.common import stash, table
+from quire.llm.common import table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
 from quire.llm import license_scan, sharding
@@ -102,9 +102,7 @@ def op8_warc(spark, sf_dir):
     """Every page as it comes back from the archives it was written to."""
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    # parsed once: the answer joins revisits with their responses
-    records = stash(read_archives(spark, path), "warc-records")
-    return resolved_pages(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolved_pages(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_line_dedup(spark, sf_dir):

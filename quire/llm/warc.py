@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if_small
+from quire.llm.common import broadcast_if_small, stash
 
 VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
@@ -250,6 +250,7 @@ def resolved_pages(records: DataFrame) -> DataFrame:
                          F.length("payload").cast("long").alias("n"), "refers_to", "error")
     # a payload must have the digest that its record states
     own = own.withColumn("error", F.coalesce("error", F.when(F.col("payload_digest") != F.col("said"), "digest differs")))
+    own = stash(own, "warc-own")  # read three times below; payloads stay where they are
     target = own.where("type = 'response'").join(
         own.where("type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi").select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("target_page"), F.col("n").alias("target_n"))
