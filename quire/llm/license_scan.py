@@ -127,7 +127,7 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD, id_col: str =
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
     scanned = declared_licenses(rows, threshold).select(
         "id", "path", "declared", F.when(F.col("path").isNotNull(), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")).alias("dir"),
-        F.coalesce(F.rlike(F.element_at(parts, -1), F.lit(LICENSE_FILE)), F.lit(False)).alias("names_license"))
+        F.coalesce(F.rlike(F.try_element_at(parts, F.lit(-1)), F.lit(LICENSE_FILE)), F.lit(False)).alias("names_license"))
     scanned = stash(scanned, "license-rows")
     found = scanned.where("names_license and declared is not null and dir is not null").groupBy("dir").agg(
         F.max_by(F.struct(F.col("declared.license").alias("license"), "path"), F.col("declared.score")).alias("x"),

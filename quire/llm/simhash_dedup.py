@@ -95,6 +95,10 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def segments(max_bits: int) -> list[tuple[int, int]]:
     """(shift, mask) of the ring's ``max_bits + 1`` segments, low bits first."""
     m = max_bits + 1
@@ -150,7 +154,7 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, bucket_rows: int = BU
     segs = segments(max_bits)
     keyed = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("seg"),
-                 F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)).alias("val"))
+                 F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed(mask))).alias("val"))
         for i, (shift, mask) in enumerate(segs)])).alias("k")).select("fp", "k.seg", "k.val")
     hot = keyed.groupBy("seg", "val").count().where(F.col("count") > bucket_rows).select("seg", "val")
     hot = stash(hot, "simhash-hot")
@@ -171,7 +175,7 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, bucket_rows: int = BU
     links = buckets.select("seg", "fps").mapInArrow(forest, "a long, b long")
     if has_hot:
         flips = [0] + [sum(1 << p for p in c) for n in range(1, max_bits + 1) for c in combinations(range(BITS), n)]
-        flips = F.array(*[F.lit(f - (1 << 64) if f >= 1 << 63 else f) for f in flips[1:]])
+        flips = F.array(*[F.lit(_signed(f)) for f in flips[1:]])
         probe = (keyed.join(hot, ["seg", "val"], "left_semi").select("fp").distinct()
                  .select(F.col("fp").alias("a"), F.explode(flips).alias("x"))
                  .select("a", F.col("a").bitwiseXOR(F.col("x")).alias("b")))
