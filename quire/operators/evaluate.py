@@ -169,7 +169,7 @@ def embedding_match(vectors: DataFrame, book_col: str, side_col: str, id_col: st
                        F.col(id_col).cast("bigint").alias("vid"), F.col(vec_col).alias("vec"))
     v = v.withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).withColumn(
         "__n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
-    v = v.withColumn("vec", F.transform("vec", lambda x: x / F.col("__n"))).drop("__n")
+    v = v.withColumn("vec", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("__n")), F.lit(0.0)))).drop("__n")
     counts = v.groupBy("book", "side").agg(F.count("*").alias("__cnt"))
     v = v.join(counts, ["book", "side"]).withColumn(
         "blk", F.pmod(F.xxhash64("vid"), F.ceil(F.col("__cnt") / F.lit(block))))

@@ -21,14 +21,24 @@ def present_outputs(outputs: DataFrame, keys: list[str]) -> DataFrame:
     return outputs.filter(F.col("text").isNotNull() & (F.length("text") > 0)).select(*keys, "kind").distinct()
 
 
+def of_provider(outputs: DataFrame, provider: str) -> DataFrame:
+    """the outputs of one provider.  A table without a provider column
+    belongs to the provider that reads it."""
+    if "provider" not in outputs.columns:
+        return outputs
+    return outputs.filter(F.col("provider") == provider)
+
+
 def output_flags(outputs: DataFrame, keys: list[str]) -> DataFrame:
     """Per book: has_abstracts and done_<task> (F1, F2: the summary needs
     both variants)."""
     p = present_outputs(outputs, keys)
-    aggs = [F.max(F.col("kind") == fixed.KIND_ABSTRACTS).alias("has_abstracts")]
+    aggs = [F.bool_or(F.col("kind") == fixed.KIND_ABSTRACTS).alias("has_abstracts")]
     for task, kinds in TASK_OUTPUTS.items():
-        aggs.append((F.count_distinct(F.when(F.col("kind").isin(kinds), F.col("kind"))) == len(kinds))
-                    .alias(f"done_{task}"))
+        done = F.lit(True)
+        for kind in kinds:
+            done = done & F.bool_or(F.col("kind") == kind)
+        aggs.append(done.alias(f"done_{task}"))
     return p.groupBy(*keys).agg(*aggs)
 
 

@@ -6,8 +6,8 @@ key, then ``mapInPandas`` calls the model once per Arrow batch inside each
 task, with the retry policy applied per prompt.  Errors become data
 (``status``, ``error``, ``attempts``) and never fail the job; the caller writes
 the result immediately so a later action never re-runs the model, and a
-re-run only sends prompts whose key is missing from the written answers
-(anti-join).
+re-run sends only what has no usable answer yet (the callers anti-join the
+written answers before they call).
 """
 
 from __future__ import annotations
@@ -65,17 +65,22 @@ def call_with_retry(call: Callable[[], str], max_attempts: int = DEFAULT_MAX_ATT
 
 
 # Registry of named models (one place, so names cannot drift apart).
-_REGISTRY: dict[str, Callable[[], ModelFn]] = {}
+class Registry(dict):
+    """Model factories by name; an unknown name is an error that lists them."""
+
+    def __missing__(self, name: str):
+        raise ValueError(f"model {name!r} not registered; choose from {sorted(self)}")
+
+
+MODELS: Registry = Registry()
 
 
 def register_model(name: str, factory: Callable[[], ModelFn]) -> None:
-    _REGISTRY[name] = factory
+    MODELS[name] = factory
 
 
 def build_model(name: str) -> ModelFn:
-    if name not in _REGISTRY:
-        raise ValueError(f"model {name!r} not registered; choose from {sorted(_REGISTRY)}")
-    return _REGISTRY[name]()
+    return MODELS[name]()
 
 
 def generate(prompts: DataFrame, model: ModelFn | Callable[[], ModelFn], key_cols: list[str],
@@ -104,8 +109,11 @@ def generate(prompts: DataFrame, model: ModelFn | Callable[[], ModelFn], key_col
             pdf["attempts"] = pd.Series([r[3] for r in res], dtype="int32")
             yield pdf
 
-    spread = (prompts.repartition(num_partitions, *key_cols) if num_partitions
-              else prompts.repartition(*key_cols))
+    # an explicit count, which adaptive execution leaves alone: latency of the
+    # model, not bytes, decides how many tasks there should be
+    n = num_partitions or max(prompts.sparkSession.sparkContext.defaultParallelism,
+                              int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = prompts.repartition(n, *key_cols)
     return spread.mapInPandas(run, out_schema)
 
 

@@ -19,14 +19,14 @@ def layout_issues(files: DataFrame) -> DataFrame:
     f = files.select(F.col("parts")[0].alias("language"), F.size("parts").alias("depth"), "parts")
     is_pdf = F.lower(F.element_at("parts", -1)).endswith(".pdf")
     loose = f.filter((F.col("depth") == 2) & is_pdf).select(
-        "language", F.col("parts")[1].alias("item"), F.lit("PDF outside book folder").alias("issue"))
+        "language", F.col("parts")[1].alias("item"), F.lit("loose_pdf").alias("issue"))
     inner = f.filter(F.col("depth") >= 3).select(
         "language", F.col("parts")[1].alias("folder"),
         F.when((F.col("depth") == 3) & is_pdf, F.col("parts")[2]).alias("pdf"))
     per = inner.groupBy("language", "folder").agg(F.count("pdf").alias("n_pdf"), F.max("pdf").alias("pdf"))
-    issue = (F.when(F.col("n_pdf") == 0, "No PDF found in book folder")
-             .when(F.col("n_pdf") > 1, "Multiple PDFs in book folder")
-             .when(_stem(F.col("pdf")) != F.col("folder"), "PDF name does not match folder name"))
+    issue = (F.when(F.col("n_pdf") == 0, "folder_without_pdf")
+             .when(F.col("n_pdf") > 1, "folder_with_several_pdfs")
+             .when(_stem(F.col("pdf")) != F.col("folder"), "pdf_not_named_after_folder"))
     item = F.when(F.col("n_pdf") == 1, F.concat_ws("/", "folder", "pdf")).otherwise(F.col("folder"))
     books = per.select("language", item.alias("item"), issue.alias("issue")).filter(F.col("issue").isNotNull())
     return loose.unionByName(books)

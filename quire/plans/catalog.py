@@ -116,25 +116,29 @@ SELECT * FROM a
 """
 
 
-# --- I1/I5/I6: adaptive compression, two rounds at most ---------------------
+# --- I1/I5/I6: adaptive compression to the end --------------------------------
 
-def adaptive_compress_k2(spark, sf_dir):
+def adaptive_compress_all(spark, sf_dir):
     out = adaptive_compress(spark, _contents(spark, sf_dir), ["doc_id"], WINDOW, ADAPTIVE_MAX_CHUNK,
-                            max_rounds=2, workdir=shared_dir(spark, "adaptive_k2"))
+                            workdir=shared_dir(spark, "adaptive"))
     return out.select("doc_id", "rounds", "status", "abstract_contents",
                       F.length("abstract_contents").cast("bigint").alias("n_chars"))
 
 
-def _joined_sql(rnd: str, prev: str, last: bool) -> str:
+# rounds that the oracle unrolls; a book still open after them would show up
+# as a row with status 'open', which the query never returns
+ORACLE_ROUNDS = 4
+
+
+def _joined_sql(rnd: str, prev: str) -> str:
     keep = f"{O.strip('abstract')} <> ''"
-    cont = "'unfinished'" if last else "'continue'"
     return f"""
     SELECT p.doc_id,
            coalesce(j.joined, '') AS joined,
            CASE WHEN coalesce(j.n_ok, 0) = 0 THEN 'failed'
                 WHEN length(j.joined) <= {WINDOW} THEN 'done'
                 WHEN length(j.joined) >= length(p.content) THEN 'stalled'
-                ELSE {cont} END AS status
+                ELSE 'continue' END AS status
     FROM {prev} p LEFT JOIN (
       SELECT doc_id, string_agg(abstract, chr(10) || chr(10) ORDER BY split_index) FILTER (WHERE {keep}) AS joined,
              count(*) FILTER (WHERE {keep}) AS n_ok
@@ -142,18 +146,18 @@ def _joined_sql(rnd: str, prev: str, last: bool) -> str:
     """
 
 
-SQL_ADAPTIVE_K2 = f"""
-WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
-a1 AS ({_round_sql('r', ADAPTIVE_MAX_CHUNK)}),
-st1 AS ({_joined_sql('a1', 'r', False)}),
-p2 AS (SELECT doc_id, joined AS content FROM st1 WHERE status = 'continue'),
-a2 AS ({_round_sql('p2', ADAPTIVE_MAX_CHUNK)}),
-st2 AS ({_joined_sql('a2', 'p2', True)})
-SELECT doc_id, 1::BIGINT AS rounds, status, joined AS abstract_contents, length(joined)::BIGINT AS n_chars
-FROM st1 WHERE status <> 'continue'
-UNION ALL
-SELECT doc_id, 2::BIGINT, status, joined, length(joined)::BIGINT FROM st2
-"""
+def _adaptive_sql() -> str:
+    parts = [f"r1 AS ({O.repair_sql('documents', 'doc_id', 'text')})"]
+    for k in range(1, ORACLE_ROUNDS + 1):
+        parts += [f"a{k} AS ({_round_sql(f'r{k}', ADAPTIVE_MAX_CHUNK)})", f"st{k} AS ({_joined_sql(f'a{k}', f'r{k}')})",
+                  f"r{k + 1} AS (SELECT doc_id, joined AS content FROM st{k} WHERE status = 'continue')"]
+    outcomes = [f"SELECT doc_id, {k}::BIGINT AS rounds, status, joined AS abstract_contents, length(joined)::BIGINT AS n_chars "
+                f"FROM st{k} WHERE status <> 'continue'" for k in range(1, ORACLE_ROUNDS + 1)]
+    outcomes.append(f"SELECT doc_id, {ORACLE_ROUNDS}::BIGINT, 'open', content, length(content)::BIGINT FROM r{ORACLE_ROUNDS + 1}")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + " UNION ALL ".join(outcomes)
+
+
+SQL_ADAPTIVE = _adaptive_sql()
 
 
 # --- S8 / T4: pages of a book -------------------------------------------------
@@ -534,7 +538,7 @@ QUERIES = {
     "plan_splits": plan_splits,
     "chunk_targets": chunk_targets,
     "compress_round": compress_round,
-    "adaptive_compress_k2": adaptive_compress_k2,
+    "adaptive_compress": adaptive_compress_all,
     "merge_pages": merge_pages,
     "cleanup_book": cleanup_book,
     "replace_divs": replace_divs,
@@ -561,7 +565,7 @@ ORACLES = {
     "plan_splits": SQL_PLAN_SPLITS,
     "chunk_targets": SQL_CHUNK_TARGETS,
     "compress_round": SQL_COMPRESS_ROUND,
-    "adaptive_compress_k2": SQL_ADAPTIVE_K2,
+    "adaptive_compress": SQL_ADAPTIVE,
     "merge_pages": SQL_MERGE_PAGES,
     "cleanup_book": SQL_CLEANUP_BOOK,
     "replace_divs": SQL_REPLACE_DIVS,

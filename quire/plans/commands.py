@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import prompts as P
 from quire.operators import evaluate as EV
+from quire.operators.gating import of_provider
+from quire.operators.generate import MODELS
 from quire.operators.layout import layout_issues, plan_layout
 from quire.plans.compress import adaptive_compress
 from quire.plans.reports import provider_report, score_table, write_score_table
@@ -47,19 +49,23 @@ def post_process(spark: SparkSession, books_root: str, contents_path: str,
 
 def resume(spark: SparkSession, contents: DataFrame, provider: str, window: int, outputs_path: str,
            model_fn=None, existing_outputs: DataFrame | None = None, workdir: str | None = None,
-           max_rounds: int | None = 20, on_error: str = "drop", **gen) -> DataFrame:
+           max_rounds: int | None = None, on_error: str = "hold", **gen) -> DataFrame:
     """Compress every book without non-empty abstracts of ``provider`` until it
-    fits ``window``; append ``abstract_contents`` outputs.  ``model_fn=None``
-    uses the native extractive model."""
+    fits ``window``; append ``abstract_contents`` outputs.  ``model_fn`` is a
+    callable or the name of a registered model; ``None`` uses the native
+    extractive model.  Only books that fit are written as finished."""
     max_chunk = window - P.overhead(P.load_template("resume"), P.PROMPT_KEYS["resume"])
     todo = contents
     if existing_outputs is not None:
-        done = existing_outputs.filter((F.col("kind") == fixed.KIND_ABSTRACTS) & (F.length("text") > 0))
+        done = of_provider(existing_outputs, provider).filter(
+            (F.col("kind") == fixed.KIND_ABSTRACTS) & (F.length("text") > 0))
         todo = contents.join(done.select(*KEYS), KEYS, "left_anti")
+    if isinstance(model_fn, str):
+        model_fn, gen = MODELS[model_fn], {**gen, "factory": True}
     kw = {} if model_fn is None else {"model": prompted_chunk_model(model_fn, **gen)}
     books = adaptive_compress(spark, todo, KEYS, window, max_chunk, max_rounds=max_rounds, on_error=on_error,
-                              workdir=workdir, **kw)
-    out = books.filter(F.col("status").isin("done", "unfinished", "stalled")).select(
+                              workdir=workdir, provider=provider, **kw)
+    out = books.filter(F.col("status") == "done").select(
         *KEYS, F.lit(provider).alias("provider"), F.lit(fixed.KIND_ABSTRACTS).alias("kind"),
         F.col("abstract_contents").alias("text"))
     append_missing_outputs(out, existing_outputs, outputs_path, KEYS)

@@ -1,18 +1,24 @@
 """Compress every book round by round until its text fits the window.
 
-State lives in tables, not files: each round writes its splits (with the
-abstract, status and error of every split) to ``<workdir>/splits/batch=<r>``
-and the per-book outcome to ``<workdir>/books/round=<r>``.  Writing and
-reading back each round cuts the lineage, so a lost executor re-runs at most
-one round's tasks and a model stage is never recomputed by a later action.
-A run restarted on the same ``workdir`` resumes after the last completed
-round and reuses model answers already written.  Only unfinished books enter
-the next round; all books of a round are one job.
+State lives in tables, ``input`` (the text of every book, appended as books
+arrive) and ``splits`` (one row per answer, append-only), both partitioned by
+``provider`` and ``config`` (a digest of window, chunk size and keys), splits
+also by ``batch``.  Providers and settings never see each other's state.
+In each round the open splits, those without a usable answer, are found by an
+anti-join and only they are sent to the model; answers are appended a part at
+a time, so a crash loses one part at most.  Outcomes per book are derived from
+the splits in every run: a ``held`` book is driven on by the next run, and a
+book added later joins in.  All books of a round are one job.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +39,12 @@ def native_model(splits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_split_status(df: DataFrame, col: str = "abstract") -> DataFrame:
-    """I4: a blank or missing answer leaves the split open (status failed)."""
+    """I4: a blank or missing answer leaves the split open (status failed);
+    the model stage's own error is kept."""
     ok = F.col(col).isNotNull() & (strip(col) != "")
-    return (df.withColumn("status", F.when(ok, "ok").otherwise("failed"))
-              .withColumn("error", F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("blank answer"))))
+    told = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    return (df.withColumn("error", F.when(~ok, F.coalesce(told, F.lit("blank answer"))))
+              .withColumn("status", F.when(ok, "ok").otherwise("failed")))
 
 
 def compress_round(contents: DataFrame, keys: list[str], max_chunk: int, text_col: str = "content",
@@ -77,49 +85,84 @@ def classify(joined: DataFrame, before: DataFrame, keys: list[str], window: int,
                     F.coalesce(F.col("joined"), F.lit("")).alias("abstract_contents"))
 
 
+def open_splits(planned: DataFrame, answered: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The planned splits of a batch without a usable answer yet."""
+    if answered is None:
+        return planned
+    good = answered.filter(F.col("status") == "ok").select(*keys, "split_index").distinct()
+    return planned.join(good, keys + ["split_index"], "left_anti")
+
+
+def latest_answers(planned: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per planned split: its usable answer, else its last failure."""
+    at = keys + ["split_index"]
+    best = answered.groupBy(*at).agg(F.max_by(F.struct("abstract", "status", "error"),
+                                              F.struct((F.col("status") == "ok").alias("ok"), "run")).alias("__a"))
+    return planned.select(*at).join(best, at, "left").select(
+        *at, F.col("__a.abstract").alias("abstract"), F.coalesce("__a.status", F.lit("open")).alias("status"),
+        F.col("__a.error").alias("error"))
+
+
 def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str], window: int,
                       max_chunk: int, text_col: str = "content", model: ChunkModel = native_model,
-                      max_rounds: int | None = 20, on_error: str = "drop",
-                      workdir: str | None = None) -> DataFrame:
+                      max_rounds: int | None = None, on_error: str = "hold",
+                      workdir: str | None = None, provider: str = "native", parts: int = 1) -> DataFrame:
     """Rounds until every book's joined abstracts fit ``window``.
 
-    ``max_chunk`` is ``window - prompt overhead``.  Always at least one round.
-    ``on_error='drop'`` skips failed splits like the original tool; ``'hold'``
-    keeps such a book out of the result (status ``held``) for a later re-run.
-    Returns ``keys, rounds, status, abstract_contents`` per book.
+    ``max_chunk`` is ``window - prompt overhead``.  Always at least one round,
+    and no limit by default: a book that no longer shrinks ends ``stalled``.
+    ``on_error='hold'`` leaves a book with failed splits open (``held``), and a
+    later run on the same ``workdir`` sends only those splits again; ``'drop'``
+    goes on without them like the original tool.  ``parts`` cuts a round's
+    open splits into that many model jobs, each written before the next.
+    Returns ``keys, rounds, status, abstract_contents`` per book of
+    ``contents``.
     """
     check_max_chunk(max_chunk)
     if on_error not in ("drop", "hold"):
         raise ValueError("on_error must be 'drop' or 'hold'")
     workdir = workdir or shared_dir(spark, "compress")
-    # round 1's input is written once: cleanup upstream of it is not
-    # recomputed by later actions, and every round's offsets refer to a
-    # stored text (a restart cuts the same chunks)
-    input_path = f"{workdir}/input"
-    if not _exists(spark, input_path):
-        contents.select(*keys, F.col(text_col).alias("content")).write.mode("overwrite").parquet(input_path)
-    pending = spark.read.parquet(input_path)
-    round_no = 1
+    config = hashlib.sha1(repr((window, max_chunk, list(keys))).encode()).hexdigest()[:12]
+    mine = f"provider={quote(provider, safe='')}/config={config}"
+    run = uuid.uuid4().hex[:12]
+    # every book's text is stored once: all rounds cut the same stored text
+    input_path = f"{workdir}/input/{mine}"
+    new = contents.select(*keys, F.col(text_col).alias("content"))
+    if _exists(spark, input_path):
+        new = new.join(spark.read.parquet(input_path).select(*keys), keys, "left_anti")
+    new.write.mode("append").parquet(input_path)
+    pending = spark.read.parquet(input_path).join(contents.select(*keys), keys, "left_semi")
+    round_no, outcomes = 1, []
     while True:
-        books_path = f"{workdir}/books/round={round_no}"
-        splits_path = f"{workdir}/splits/batch={round_no}"
-        if not _exists(spark, books_path):
-            # a round whose splits were written but whose outcome was not (a
-            # restart) reuses the written model answers instead of re-running
-            if not _exists(spark, splits_path):
-                splits = compress_round(pending, keys, max_chunk, "content", model)
-                splits.write.mode("overwrite").parquet(splits_path)
-            written = spark.read.parquet(splits_path)
-            outcome = classify(join_abstracts(written, keys), pending, keys, window, round_no, max_rounds, on_error)
-            outcome.write.mode("overwrite").parquet(books_path)
-        state = spark.read.parquet(books_path)
+        splits_path = f"{workdir}/splits/{mine}/batch={round_no}"
+        planned = plan_splits(pending.select(*keys, "content"), max_chunk, text_col="content").drop("content").withColumn(
+            "target_size", target_size("chunk"))
+        for part in range(parts):
+            todo = planned
+            if parts > 1:
+                todo = todo.filter(F.pmod(F.xxhash64(*keys, "split_index"), F.lit(parts)) == part)
+            done = spark.read.parquet(splits_path) if _exists(spark, splits_path) else None
+            todo = open_splits(todo, done, keys)
+            if done is not None and todo.isEmpty():
+                continue
+            answers = with_split_status(model(todo, keys))
+            answers = answers.select(*keys, "split_index", "abstract", "status", "error", F.lit(_now()).alias("run"))
+            answers.write.mode("append").parquet(splits_path)
+        written = latest_answers(planned, spark.read.parquet(splits_path), keys)
+        outcome_path = f"{workdir}/runs/{run}/round={round_no}"
+        classify(join_abstracts(written, keys), pending, keys, window, round_no, max_rounds, on_error).write.parquet(outcome_path)
+        state = spark.read.parquet(outcome_path)
+        outcomes.append(state.filter(F.col("status") != "continue"))
         pending = state.filter(F.col("status") == "continue").select(
             *keys, F.col("abstract_contents").alias("content"))
         if pending.isEmpty():
             break
         round_no += 1
-    books = spark.read.parquet(f"{workdir}/books")
-    return books.filter(F.col("status") != "continue").drop("round")
+    return reduce(DataFrame.unionByName, outcomes)
+
+
+def _now() -> int:
+    return time.time_ns()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.stem import stemmed_rouge_tokens
 from quire.functions.text import clean_summary
 from quire.operators import evaluate as EV
 from quire.sinks import write_scores_csv, write_summary_maps
@@ -23,9 +24,12 @@ def score_table(summaries: DataFrame, vectors: DataFrame | None, keys: list[str]
     keys = list(keys)
     pairs, skipped = EV.pair_with_reference(summaries, keys, provider_col)
     pk = keys + [provider_col]
-    r1 = EV.rouge_n(pairs, pk, 1)
-    r2 = EV.rouge_n(pairs, pk, 2)
-    rl = EV.rouge_l(pairs, pk)
+    # stemmed tokens of both sides, made once per pair for all three scores
+    stemmed = pairs.select(*pk, stemmed_rouge_tokens("candidate").alias("candidate"), stemmed_rouge_tokens("reference").alias("reference"))
+    as_is = {"tokens": F.col}
+    r1 = EV.rouge_n(stemmed, pk, 1, **as_is)
+    r2 = EV.rouge_n(stemmed, pk, 2, **as_is)
+    rl = EV.rouge_l(stemmed, pk, **as_is)
     scores = r1.join(r2, pk).join(rl, pk)
     if vectors is not None:
         # candidate vectors (side 0) of each pair meet the reference vectors (side 1) of its book

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions import prompts as P
-from quire.operators.gating import eligibility
+from quire.operators.gating import eligibility, of_provider
 from quire.operators.generate import DEFAULT_MAX_ATTEMPTS, generate, prompt_id
 from quire.operators.tasks import summary_inputs
 from quire.session import shared_dir
@@ -33,7 +33,10 @@ def prompted_chunk_model(model_fn, language_col: str = "language", template: str
         values = {"TARGET_SIZE": F.col("target_size"), "TEXT": F.col("chunk"), "LANGUAGE": F.col(language_col)}
         prompts = splits.withColumn("prompt", P.render(tpl, keys_order, values))
         out = generate(prompts, model_fn, keys + ["split_index"], max_attempts=max_attempts, factory=factory, **gen)
-        return out.withColumnRenamed("text", "abstract").drop("prompt", "status", "error", "attempts")
+        # the error and the attempts stay with the split
+        return out.withColumnRenamed("text", "abstract").withColumn(
+            "error", F.when(F.col("error").isNotNull(), F.concat_ws("", "error", F.lit(" (attempts: "), "attempts", F.lit(")")))
+        ).drop("prompt", "status", "attempts")
     return stage
 
 
@@ -58,8 +61,9 @@ def run_book_task(spark: SparkSession, task: str, books: DataFrame, splits: Data
         raise ValueError(f"unknown task {task!r}")
     tpl = template if template is not None else P.load_template(task)
     key_order = P.PROMPT_KEYS[task]
-    existing = outputs if outputs is not None else spark.createDataFrame(
+    existing = of_provider(outputs, provider) if outputs is not None else spark.createDataFrame(
         [], ", ".join(f"{k} string" for k in keys) + ", kind string, text string")
+    splits = of_provider(splits, provider)
     # The last batch of each book
     last = splits.groupBy(*keys).agg(F.max("batch").alias("batch"))
     cur = splits.join(last, keys + ["batch"])
@@ -84,6 +88,5 @@ def run_book_task(spark: SparkSession, task: str, books: DataFrame, splits: Data
     answers.withColumn("provider", F.lit(provider)).drop("prompt").write.parquet(done_path)
     answers = spark.read.parquet(done_path)
     good = answers.filter(F.col("status") == "ok").select(*keys, "provider", "kind", "text")
-    append_missing_outputs(good, existing.withColumn("provider", F.lit(provider)) if "provider" not in existing.columns
-                           else existing.filter(F.col("provider") == provider), outputs_path, keys)
+    append_missing_outputs(good, existing, outputs_path, keys)
     return answers.select(*keys, "provider", "kind", "text", "status", "error", "attempts")

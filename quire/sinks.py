@@ -10,9 +10,11 @@ from quire.operators.gating import present_outputs
 
 
 def append_missing_outputs(new: DataFrame, existing: DataFrame | None, path: str, keys: list[str]) -> DataFrame:
-    """K1: append only outputs whose (keys, kind) has no non-empty text yet;
-    a non-empty output is never overwritten.  Returns what was written."""
-    todo = new if existing is None else new.join(present_outputs(existing, keys), keys + ["kind"], "left_anti")
+    """K1: append only outputs whose (keys, provider, kind) has no non-empty
+    text yet; a non-empty output is never overwritten, and one provider's
+    outputs never hide another's.  Returns what was written."""
+    at = keys + ["provider"] if existing is not None and "provider" in existing.columns else keys
+    todo = new if existing is None else new.join(present_outputs(existing, at), at + ["kind"], "left_anti")
     todo = todo.filter(F.col("text").isNotNull() & (F.length("text") > 0))
     todo.write.mode("append").partitionBy("provider").parquet(path)
     return todo

@@ -16,6 +16,12 @@ from quire.functions.text import normalise_newlines
 from quire.plans.cleanup import PAGE_FOLDER_STEPS, SINGLE_FILE_STEPS, clean_text, merge_pages
 
 
+def decoded_path(c):
+    """The plain path of a file URI as Spark reports it (``%20`` -> blank);
+    a literal ``+`` in a name is no blank."""
+    return local_path(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))))
+
+
 def _rel(path_col: str, root: str):
     root = root.rstrip("/")
     return F.regexp_replace(local_path(F.col(path_col)), "^" + _re_escape(root) + "/", "")
@@ -48,9 +54,11 @@ def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     """Whole-file texts: ``path, text`` (newlines normalised); no match -> no rows."""
     try:
         t = spark.read.text(glob, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         t = spark.createDataFrame([], "value string")
-    return t.select(local_path(F.input_file_name()).alias("path"),
+    return t.select(decoded_path(F.input_file_name()).alias("path"),
                     normalise_newlines("value").alias("text"))
 
 
@@ -71,7 +79,8 @@ def page_id(file_col) -> F.Column:
     """S3: BIGINT id from ``..._<digits>.md``; null when the name is invalid."""
     c = F.col(file_col) if isinstance(file_col, str) else file_col
     d = F.regexp_extract(c, fixed.PAGE_ID_PATTERN, 1)
-    return F.when(d != "", d.cast("decimal(38,0)").cast("bigint"))
+    # a number beyond BIGINT is an invalid name, not a failure
+    return F.when(d != "", d.try_cast("bigint"))
 
 
 def bad_pages(pages: DataFrame) -> DataFrame:
@@ -115,7 +124,8 @@ def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output"
     missing = books.join(contents.select("language", "book"), ["language", "book"], "left_anti").join(
         broken, ["language", "book"], "left_anti").select(
         "language", "book", F.lit("content").alias("stage"), F.lit("no OCR output found").alias("reason"))
-    issues = bad_pages(pages).unionByName(missing)
+    # the pages of a cached book are never looked at
+    issues = bad_pages(pages.join(cached.select("language", "book"), ["language", "book"], "left_anti")).unionByName(missing)
     return contents, issues
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.cleanup import clean_pages
-from quire.sources.corpus import local_path, page_id
+from quire.sources.corpus import _re_escape, decoded_path, page_id
 
 PAGE_SCHEMA = "value string"
 BUCKETS = 1024
@@ -42,7 +42,7 @@ def start_cleanup_stream(spark: SparkSession, root: str, pages_table: str, conte
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .option("recursiveFileLookup", "false")
            .load(f"{root.rstrip('/')}/*/*/{ocr_dir}/"))
-    rel = F.regexp_replace(local_path(F.input_file_name()), "^" + root.rstrip("/") + "/", "")
+    rel = F.regexp_replace(decoded_path(F.input_file_name()), "^" + _re_escape(root.rstrip("/")) + "/", "")
     parts = F.split(rel, "/")
     pages = src.select(parts[0].alias("language"), parts[1].alias("book"),
                        F.element_at(parts, -1).alias("file"),
@@ -52,10 +52,14 @@ def start_cleanup_stream(spark: SparkSession, root: str, pages_table: str, conte
 
     def batch(df: DataFrame, epoch: int) -> None:
         df = df.withColumn("bucket", book_bucket())
-        df.write.mode("append").partitionBy("bucket").parquet(pages_table)
-        touched = F.broadcast(df.select("language", "book", "bucket").distinct())
+        # dealt by bucket first: one file per bucket and batch
+        df.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(pages_table)
+        touched = df.select("language", "book", "bucket").distinct()
         allp = spark.read.parquet(pages_table).join(touched, ["language", "book", "bucket"], "left_semi")
-        allp = allp.dropDuplicates(["language", "book", "file"]).filter(F.col("page_id").isNotNull())
+        allp = allp.dropDuplicates(["language", "book", "file"])
+        # a book with a badly named page is withheld, as in the batch path
+        broken = allp.filter(F.col("page_id").isNull()).select("language", "book").distinct()
+        allp = allp.join(broken, ["language", "book"], "left_anti")
         out = clean_pages(allp, ["language", "book"]).withColumn("version", F.lit(epoch).cast("bigint"))
         out.write.mode("append").parquet(contents_path)
 

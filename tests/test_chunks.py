@@ -7,32 +7,30 @@ from quire.functions import prompts as P
 from quire.operators.chunks import check_max_chunk, plan_splits, target_size
 
 GOLDEN = [
-    ("x" * 13, 1000, [(0, 13)]),
-    ("A" * 100 + "\n" + "B" * 100, 50, [(0, 101), (101, 201)]),
-    ("A" * 200, 50, [(0, 200)]),
-    (("A" * 100 + "\n") * 4, 50, [(0, 101), (101, 202), (202, 303), (303, 404)]),
-    ("", 100, []),
-    ("A" * 100, 100, [(0, 100)]),
-    ("A" * 100 + "\nx", 100, [(0, 101), (101, 102)]),
-    ("A" * 100 + "\nx", 101, [(0, 102)]),
+    ("short note", 400, [(0, 10)]),
+    ("north wind\nsouth wind\n", 6, [(0, 11), (11, 22)]),
+    ("one long line that has no end", 8, [(0, 29)]),
+    ("", 7, []),
+    ("seven..", 7, [(0, 7)]),
+    ("seven..\nz", 7, [(0, 8), (8, 9)]),
+    ("seven..\nz", 8, [(0, 9)]),
     ("ab\n\ncd\ne", 2, [(0, 3), (3, 7), (7, 8)]),
 ]
 
 
-def brute(content, mx):
-    """Direct reading of the rule, used only as a test oracle."""
-    out, start = [], 0
-    while start < len(content):
-        if start + mx >= len(content):
-            out.append((start, len(content)))
-            break
-        nl = content.find("\n", start + mx)
-        if nl == -1:
-            out.append((start, len(content)))
-            break
-        out.append((start, nl + 1))
-        start = nl + 1
-    return out
+def check_plan(text, mx, rows):
+    """What any right plan has: chunks are contiguous and cover the text, an
+    inner cut is behind the first line end at or after ``start + mx``."""
+    assert "".join(chunk for *_, chunk in rows) == text
+    at = 0
+    for start, end, chunk in rows:
+        assert start == at and end > start and chunk == text[start:end]
+        at = end
+    for start, end, chunk in rows[:-1]:
+        assert chunk[mx:].count("\n") == 1 and chunk.endswith("\n")
+    if rows:
+        start, end, chunk = rows[-1]
+        assert len(chunk) <= mx or "\n" not in chunk[mx:-1]
 
 
 @pytest.mark.parametrize("text,mx,want", GOLDEN)
@@ -56,12 +54,7 @@ def test_property_matches_rule(spark, texts, mx):
     for r in plan_splits(df, mx).collect():
         got.setdefault(r.id, []).append((r.split_index, r.initial_pos, r.end_pos, r.chunk))
     for i, t in enumerate(texts):
-        rows = sorted(got.get(i, []))
-        assert [(a, b) for _, a, b, _ in rows] == brute(t, mx)
-        # contiguous, covering, chunk text equals the slice
-        assert "".join(c for *_, c in rows) == t
-        for _, a, b, c in rows[:-1]:
-            assert c.endswith("\n") and len(c) > mx
+        check_plan(t, mx, [r[1:] for r in sorted(got.get(i, []))])
 
 
 def test_target_size(spark):

@@ -41,7 +41,7 @@ def test_end_to_end(spark, tmp_path):
     assert again.count() == 0
 
     splits = spark.read.parquet(str(tmp_path / "w" / "splits"))
-    res = C.book_task(spark, "keywords", contents, splits, outputs.drop("provider"),
+    res = C.book_task(spark, "keywords", contents, splits, outputs,
                       lambda ps: ["alpha\nbeta" for _ in ps], "native", outputs_path, sleep=lambda s: None)
     assert [r.status for r in res.collect()] == ["ok"]
 

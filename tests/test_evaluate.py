@@ -137,3 +137,11 @@ def test_annotate_with_model(spark):
     assert got == [("b1", 0, False), ("b1", 1, True), ("b2", 0, False)]
     rep = {r.provider: r.coherence for r in EV.coherence(flags, "provider", ["book"]).collect()}
     assert rep["m"] == round((0.5 + 1.0) / 2, 6)
+
+
+def test_zero_vector_matches_nothing(spark):
+    from quire.operators.evaluate import embedding_match
+    rows = [(1, 0, 0, [0.0, 0.0]), (1, 0, 1, [1.0, 0.0]), (1, 1, 2, [2.0, 0.0])]
+    v = spark.createDataFrame(rows, "book long, side int, vec_id long, embedding array<double>")
+    r = embedding_match(v, "book", "side").first()
+    assert (r.bert_precision, r.bert_recall) == (0.5, 1.0)

@@ -1,5 +1,7 @@
 """Retry policy and batch generation with a fake model."""
 
+from pyspark.sql import functions as F
+
 from quire.operators.generate import call_with_retry, generate, is_retryable, retry_wait
 
 
@@ -91,3 +93,9 @@ def test_registry():
     assert build_model("echo")(["a"]) == ["a"]
     with pytest.raises(ValueError):
         build_model("nope")
+
+
+def test_prompts_are_spread_although_they_are_small(spark):
+    prompts = spark.createDataFrame([(i, "x" * 2000) for i in range(200)], "k long, prompt string")
+    out = generate(prompts, lambda ps: ps, ["k"])
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() >= 4

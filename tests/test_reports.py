@@ -45,3 +45,12 @@ def test_table_cells(spark):
     cells = sorted((r.table_no, r.row_no, r.col_no, r.is_header, r.cell) for r in explode_table_cells(df, ["id"], "t").collect())
     assert cells == [(0, 0, 0, True, "A"), (0, 0, 1, True, "B"), (0, 1, 0, False, "1"), (0, 1, 1, False, "2"),
                      (1, 0, 0, True, "z")]
+
+
+def test_score_table_stems(spark):
+    rows = [("en", "b1", "human", "the runner run"), ("en", "b1", "m", "the runners running")]
+    s = spark.createDataFrame(rows, "language string, book string, provider string, summary string")
+    from quire.plans.reports import score_table
+    scores, _ = score_table(s, None)
+    r = scores.first()
+    assert (r.rouge1_f, r.rouge2_f, r.rougeL_f) == (1.0, 1.0, 1.0)

@@ -55,9 +55,9 @@ def test_layout(spark, tmp_path):
     write(f"{root}/en/wrong/other.pdf")
     files = corpus.list_files(spark, root)
     got = sorted((r.item, r.issue) for r in layout_issues(files).collect())
-    assert got == [("empty", "No PDF found in book folder"), ("loose.pdf", "PDF outside book folder"),
-                   ("two", "Multiple PDFs in book folder"),
-                   ("wrong/other.pdf", "PDF name does not match folder name")]
+    assert got == [("empty", "folder_without_pdf"), ("loose.pdf", "loose_pdf"),
+                   ("two", "folder_with_several_pdfs"),
+                   ("wrong/other.pdf", "pdf_not_named_after_folder")]
     plan = sorted((r.src, r.dst) for r in plan_layout(files).collect())
     assert ("en/loose.pdf", "en/loose/loose.pdf") in plan and ("en/good/good.pdf", "en/good/good/good.pdf") not in plan
 
@@ -110,3 +110,27 @@ def test_read_summaries_from_folders(spark, tmp_path):
     write(f"{root}/do_not_use/b9/providers/x/summary.txt", "skipped")
     got = sorted((r.book, r.provider, r.summary) for r in read_summaries(spark, root).collect())
     assert got == [("b1", "human", "Reference text."), ("b1", "meta/llama", "Llama text."), ("b1", "org", "Org text.")]
+
+
+def test_names_with_blanks_accents_and_signs(spark, tmp_path):
+    from quire.sources.summaries import read_summaries
+    root, results = str(tmp_path / "my books"), str(tmp_path / "res+ults")
+    names = ["Dom Casmurro", "São Bernardo", "100% real", "a+b", "x%20y"]
+    for n in names:
+        write(f"{root}/pt/{n}/paddle_output/page_1.md", f"text of {n}")
+        write(f"{results}/pt/{n}/providers/org/model 1/summary.txt", f"summary of {n}")
+    contents, issues = corpus.book_contents(spark, root)
+    assert {r.book: r.content for r in contents.collect()} == {n: f"text of {n}" for n in names}
+    assert issues.count() == 0
+    got = {r.book: (r.provider, r.summary) for r in read_summaries(spark, results).collect()}
+    assert got == {n: ("org/model 1", f"summary of {n}") for n in names}
+
+
+def test_page_number_beyond_bigint_is_an_issue(spark, tmp_path):
+    root = str(tmp_path / "books")
+    write(f"{root}/pt/b1/paddle_output/page_12345678901234567890.md", "x")
+    write(f"{root}/pt/b2/paddle_output/bad name.md", "not looked at")
+    write(f"{root}/pt/b2/book_content.md", "cached")
+    contents, issues = corpus.book_contents(spark, root)
+    assert [r.book for r in contents.collect()] == ["b2"]
+    assert [(r.book, r.stage) for r in issues.collect()] == [("b1", "pages")]

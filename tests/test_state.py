@@ -1,10 +1,11 @@
 """Round state, gating and restart behaviour."""
 
-from pyspark.sql import functions as F
+import pytest
 
 from quire import fixed
 from quire.operators import gating as G
-from quire.plans.compress import adaptive_compress, join_abstracts
+from quire.plans import commands
+from quire.plans.compress import adaptive_compress, join_abstracts, native_model
 
 
 def test_adaptive_terminates_and_fits(spark, tmp_path):
@@ -67,27 +68,90 @@ def test_provider_subset(spark):
         pass
 
 
-def test_restart_resumes_and_matches(spark, tmp_path):
-    text = "\n".join(f"Sentence {i} about item {i % 5}. More words here." for i in range(600))
-    books = spark.createDataFrame([(1, text), (2, "Tiny.")], "book long, content string")
-    full = {r.book: (r.rounds, r.status, r.abstract_contents)
-            for r in adaptive_compress(spark, books, ["book"], 600, 400, workdir=str(tmp_path / "a")).collect()}
-    assert full[1][0] >= 2
-    # interrupted run: only round 1 completed, round 2 splits written but not classified
+LONG = "\n".join(f"Sentence {i} about item {i % 5}. More words here." for i in range(600))
+
+
+def counting(log, fail=lambda text: False):
+    """Chunk model that logs the splits it is sent and fails on demand."""
+    def model(splits, keys):
+        rows = native_model(splits, keys).join(splits.select(*keys, "split_index", "chunk"), keys + ["split_index"]).collect()
+        log.extend((tuple(r[k] for k in keys), r.split_index) for r in rows)
+        data = [(*[r[k] for k in keys], r.split_index, None if fail(r.chunk) else r.abstract,
+                 "Timeout: slow" if fail(r.chunk) else None) for r in rows]
+        return splits.sparkSession.createDataFrame(data, "book long, split_index long, abstract string, error string")
+    return model
+
+
+def result(df):
+    return {r.book: (r.rounds, r.status, r.abstract_contents) for r in df.collect()}
+
+
+def test_rerun_sends_nothing_again(spark, tmp_path):
+    books = spark.createDataFrame([(1, LONG), (2, "Tiny.")], "book long, content string")
+    log = []
+    first = result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=str(tmp_path / "w"), model=counting(log)))
+    assert first[1][0] >= 2 and first[1][1] == "done" and log
+    log.clear()
+    again = result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=str(tmp_path / "w"), model=counting(log)))
+    assert again == first and log == []
+
+
+def test_held_book_is_released_by_a_rerun_of_its_open_splits(spark, tmp_path):
+    books = spark.createDataFrame([(1, LONG), (2, "Tiny.")], "book long, content string")
+    want = result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=str(tmp_path / "a")))
     w = str(tmp_path / "b")
-    calls = {"n": 0}
-
-    from quire.plans.compress import native_model
-
-    def counting(splits, keys):
-        calls["n"] += 1
-        return native_model(splits, keys)
-
-    adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, max_rounds=None, model=counting)
-    import shutil
-    shutil.rmtree(f"{w}/books/round=2")
-    calls["n"] = 0
-    again = {r.book: (r.rounds, r.status, r.abstract_contents)
-             for r in adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, model=counting).collect()}
-    assert again == full
-    assert calls["n"] == full[1][0] - 2      # rounds 1 and 2 were not sent to the model again
+    got = result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=w,
+                                   model=counting([], fail=lambda text: "Sentence 7 " in text)))
+    assert got[1][1] == "held" and got[2][1] == "done"
+    errors = spark.read.parquet(f"{w}/splits").filter("status = 'failed'").collect()
+    assert [r.error for r in errors] == ["Timeout: slow"] and errors[0].provider == "native"
+    log = []
+    assert result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, model=counting(log))) == want
+    assert [x for x in log if x[0] == (2,)] == [] and log.count(((1,), errors[0].split_index)) >= 1
+
+
+def test_books_added_later_join_in(spark, tmp_path):
+    one = spark.createDataFrame([(1, LONG)], "book long, content string")
+    two = spark.createDataFrame([(1, LONG), (2, "Tiny.")], "book long, content string")
+    w, log = str(tmp_path / "w"), []
+    adaptive_compress(spark, one, ["book"], 600, 400, workdir=w)
+    got = result(adaptive_compress(spark, two, ["book"], 600, 400, workdir=w, model=counting(log)))
+    assert set(got) == {1, 2} and {k for k, _ in log} == {(2,)}
+
+
+def test_a_crash_keeps_the_parts_already_answered(spark, tmp_path):
+    books = spark.createDataFrame([(1, LONG)], "book long, content string")
+    w, log, calls = str(tmp_path / "w"), [], []
+
+    def crashing(splits, keys):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return counting(log)(splits, keys)
+
+    with pytest.raises(RuntimeError):
+        adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, model=crashing, parts=4)
+    before = set(log)
+    log.clear()
+    got = result(adaptive_compress(spark, books, ["book"], 600, 400, workdir=w, model=counting(log), parts=4))
+    first_round = {r.split_index for r in spark.read.parquet(f"{w}/splits").filter("batch = 1").collect()}
+    assert got[1][1] == "done" and before and len(before) < len(first_round)
+    assert len(spark.read.parquet(f"{w}/splits").filter("batch = 1").collect()) == len(first_round)
+
+
+def test_providers_do_not_hide_each_other(spark, tmp_path):
+    books = spark.createDataFrame([("pt", "b 1", "Tiny text.")], "language string, book string, content string")
+    path = str(tmp_path / "outputs")
+    for name, existing in (("provA", None), ("org/provB", path)):
+        seen = spark.read.parquet(existing) if existing else None
+        got = commands.resume(spark, books, name, 5000, path, existing_outputs=seen, workdir=str(tmp_path / "w"))
+        assert got.count() == 1
+    outputs = spark.read.parquet(path)
+    assert sorted(r.provider for r in outputs.collect()) == ["org/provB", "provA"]
+    again = commands.resume(spark, books, "provA", 5000, path, existing_outputs=outputs, workdir=str(tmp_path / "w"))
+    assert again.count() == 0
+    splits = spark.read.parquet(str(tmp_path / "w" / "splits"))
+    for name in ("provA", "org/provB"):
+        res = commands.book_task(spark, "keywords", books, splits, spark.read.parquet(path), lambda ps: ["k" for _ in ps], name, path,
+                                 sleep=lambda s: None)
+        assert res.count() == 1

@@ -6,15 +6,15 @@ from quire.functions.text import clean_summary, replace_divs, replace_tables, se
 from quire.operators.repair import block_rules, repair_blocks
 
 REPAIR = [
-    ("word-\ncontinuation", "wordcontinuation"),
-    ("First line\nSecond line", "First line Second line"),
-    ("First sentence.\nNew paragraph", "First sentence.\n\nNew paragraph"),
-    ("Paris\nParis is beautiful", "Paris is beautiful"),
-    ("Some text\n## Heading", "Some text\n\n## Heading"),
+    ("moun-\ntain path", "mountain path"),
+    ("The rain fell\nOn every roof", "The rain fell On every roof"),
+    ("It stopped.\nThen we left", "It stopped.\n\nThen we left"),
+    ("Osaka\nOsaka was quiet", "Osaka was quiet"),
+    ("They rowed on\n## Part two", "They rowed on\n\n## Part two"),
     ("", ""),
     ("the cat\ncat sat", "the cat\n\ncat sat"),
-    ("X.\nParis\nParis is", "X.\n\n\n\nParis is"),
-    ("PARIS\nParis is", "PARIS\n\nParis is"),
+    ("Q.\nOsaka\nOsaka was", "Q.\n\n\n\nOsaka was"),
+    ("OSAKA\nOsaka was", "OSAKA\n\nOsaka was"),
     ("Él\nél dijo", "Él\n\nél dijo"),
     ("¿Él\n¿Él dijo", "¿Él dijo"),
     ("\nabc", "\n\nabc"),
@@ -25,7 +25,7 @@ REPAIR = [
     ("a--\nb", "a-b"),
     ("a\n[IMAGE]\nb", "a\n\n[IMAGE]\n\nb"),
     ("one;\ntwo", "one; two"),
-    ("Heading\n# Title", "Heading\n\n# Title"),
+    ("Harbour\n# Tide", "Harbour\n\n# Tide"),
     ("ends with quote.”\nnext", "ends with quote.”\n\nnext"),
     ("a\n\n\n\nb", "a b"),
 ]
@@ -39,17 +39,17 @@ def test_repair_golden(spark):
 
 
 def test_block_rules(spark):
-    df = spark.createDataFrame([(1, "Paris\nParis is\nword-\ncont")], "id int, text string")
+    df = spark.createDataFrame([(1, "Osaka\nOsaka was\nmoun-\ntain")], "id int, text string")
     rules = [r.rule for r in block_rules(df).orderBy("pos").collect()]
     assert rules == ["start", "pop", "space", "hyphen"]
 
 
 DIVS = [
-    ('<div alt="my image">content</div>', "[MY IMAGE]"),
-    ("<div>some content</div>", ""),
-    ('<div alt="fig1">a</div> text <div alt="fig2">b</div>', "[FIG1] text [FIG2]"),
-    ('<div ALT="Photo">img</div>', "[PHOTO]"),
-    ('<div><img alt="Image"></div>', "[IMAGE]"),
+    ('<div alt="old map">ink</div>', "[OLD MAP]"),
+    ("<div>margin note</div>", ""),
+    ('<div alt="oak">a</div> and <div alt="elm">b</div>', "[OAK] and [ELM]"),
+    ('<div ALT="Seal">wax</div>', "[SEAL]"),
+    ('<div><img alt="Tower"></div>', "[TOWER]"),
     ("<div><div>x</div></div>", "</div>"),
     ("no markup", "no markup"),
     ('<DIV class="x">\nmulti\nline</DIV>after', "after"),
