@@ -4,10 +4,13 @@ A line is the set of its words.  Tokens are ordered by rarity; two sets with
 Jaccard similarity of at least ``t`` must share a token among the first
 ``n - ceil(t * n) + 1`` of the larger and the first
 ``n - ceil(2 t / (1 + t) * n) + 1`` of the smaller set (prefix filter), their
-sizes must be within ``t`` of each other (length filter), and what is left
-behind the shared token must be enough to reach the overlap (positional
-filter).  Survivors are verified on their full sets.  A line goes if an
-earlier line, by (document, line number), links with it.
+sizes must be within ``t`` of each other (length filter), and what lies before
+and behind a shared token must be enough to reach the overlap (positional
+filter).  Two more exact bounds thin out what is left: 64-bit maps of the sets
+may not differ in more bits than the sets may in tokens, and the larger the
+sets, the more tokens their prefixes must share.  Survivors are verified on
+their full sets.  A line goes if an earlier line, by (document, line number),
+links with it.
 
 Rarity comes from ``COUNTERS`` hashed counters over all lines, a fixed 4 MB
 however large the vocabulary is.  Any fixed order of the tokens keeps the join
@@ -24,6 +27,7 @@ behind it, tells which).  Words and word sets are named by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,21 +47,75 @@ TASKS = 128  # partial counter tables at most
 _BLOCK = 16_384
 
 
-def split_lines(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
-
-
-def word_set(line: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the words of a line (A-Z lowered)."""
-    from xxhash import xxh3_64_intdigest as digest
-    ws = set(line.lower().split())
-    return np.unique(np.fromiter(map(digest, ws), np.uint64, len(ws)))
-
-
-def set_key(hashes: np.ndarray) -> int:
-    """64-bit key of a word set, signed."""
-    from xxhash import xxh3_64_intdigest as digest
-    return int(np.uint64(digest(hashes.tobytes())).astype(np.int64))
+class _Hashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxh3_64_intdigest(word)
+        return h
+
+
+@dataclass
+class LineSets:
+    """The word sets of the lines with words of some texts.  ``hashes`` holds
+    the sets one after the other, each sorted and distinct; set ``i`` has
+    ``n[i]`` of them from ``start[i]`` on."""
+
+    text: np.ndarray  # number of the text
+    line: np.ndarray  # number of the line in it
+    hashes: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    key: np.ndarray  # 64-bit key of the set, signed
+
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def line_sets(texts: Iterator, most: int = 1 << 18) -> Iterator[LineSets]:
+    """Word sets of all lines (A-Z lowered), about ``most`` words at a time."""
+    memo = _Hashes()
+
+    def pack() -> LineSets:
+        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        h, of = h[new], of[new]
+        n = np.bincount(of, minlength=len(sizes))
+        start = np.cumsum(n) - n
+        # a sum of mixed hashes, mixed again with the size
+        key = np.add.reduceat(_mix(h), start) if len(h) else np.zeros(0, np.uint64)
+        key = _mix(key + n.astype(np.uint64)).view(np.int64)
+        return LineSets(np.array(text_no, np.int64), np.array(line_no, np.int32), h, start, n, key)
+
+    words, sizes, text_no, line_no = [], [], [], []
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        for i, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
+            ws = line.split()
+            if ws:
+                words += ws
+                sizes.append(len(ws))
+                text_no.append(k)
+                line_no.append(i)
+        if len(words) >= most:
+            yield pack()
+            words, sizes, text_no, line_no = [], [], [], []
+    if words:
+        yield pack()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,17 +132,10 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, line, key = [], [], []
-            for k, text in enumerate(b.column(1)):
-                for i, raw in enumerate(split_lines(text.as_py())):
-                    h = word_set(raw)
-                    if len(h):
-                        at.append(k)
-                        line.append(i)
-                        key.append(set_key(h))
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take).cast(id_pa), b.column(2).take(take), pa.array(line, pa.int32()),
-                                              pa.array(key, pa.int64())], ["id", "th", "line", "key"])
+            for x in line_sets(t.as_py() for t in b.column(1)):
+                take = pa.array(x.text)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take).cast(id_pa), b.column(2).take(take), pa.array(x.line), pa.array(x.key)],
+                                                 ["id", "th", "line", "key"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()),
                            T.StructField("key", T.LongType())])
@@ -120,62 +171,64 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            for text in b.column(0):
-                sets = [word_set(line) for line in split_lines(text.as_py())]
-                if sets:
-                    np.add.at(table, (np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+            for x in line_sets(t.as_py() for t in b.column(0)):
+                table += np.bincount((x.hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         return table
 
     return _gathered(docs.select(docs[text_col]), run, COUNTERS, np.uint32, np.add)
 
 
-def prefixes(n: int, t: float) -> tuple[int, int]:
-    """Prefix lengths (as the larger, as the smaller set of a pair)."""
-    return n - int(np.ceil(t * n - 1e-9)) + 1, n - int(np.ceil(2 * t / (1 + t) * n - 1e-9)) + 1
+def prefix_length(n, t: float):
+    """Length of the probing prefix of a set of ``n`` tokens."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
 def postings(docs: DataFrame, counters: np.ndarray, t: float, text_col: str = "text") -> DataFrame:
-    """(token, node, n, pos): the probing prefix of every distinct word set."""
+    """(token, node, n, pos, bits): the probing prefix of every distinct word
+    set, dealt by token (a 32-bit hash here; sets are verified later)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[int] = set()
-            token, node, size, pos = [], [], [], []
-            for text in b.column(0):
-                for raw in split_lines(text.as_py()):
-                    h = word_set(raw)
-                    n = len(h)
-                    # below 1 / (1 - t) - 1 words no other set is similar enough
-                    if n < 2 or n < t / (1 - t) - 1e-9:
-                        continue
-                    key = set_key(h)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    rare = counters[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                    order = np.lexsort((h, rare))[:prefixes(n, t)[0]]
-                    keep = np.flatnonzero(rare[order] > 1)
-                    token.append(h[order[keep]])
-                    pos.append(keep)
-                    node.append(np.full(len(keep), key))
-                    size.append(np.full(len(keep), n))
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(token, np.uint64).view(np.int64)), pa.array(cat(node, np.int64)),
-                                              pa.array(cat(size, np.int32)), pa.array(cat(pos, np.int32))], ["token", "node", "n", "pos"])
-
-    return docs.select(docs[text_col]).mapInArrow(run, "token long, node long, n int, pos int").dropDuplicates(["token", "node"])
+            for x in line_sets(v.as_py() for v in b.column(0)):
+                # below 1 / (1 - t) - 1 words no other set is similar enough
+                able = (x.n >= 2) & (x.n >= t / (1 - t) - 1e-9)
+                first = np.zeros(len(x.n), bool)
+                first[np.unique(x.key, return_index=True)[1]] = True
+                of = x.of
+                here = (able & first)[of]
+                of, h = of[here], x.hashes[here]
+                bits = np.zeros(len(x.n), np.uint64)
+                np.bitwise_or.at(bits, of, np.uint64(1) << (h >> np.uint64(58)))
+                rare = counters[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((h, rare, of))
+                of, h, rare = of[order], h[order], rare[order]
+                pos = np.arange(len(of)) - np.searchsorted(of, of)
+                keep = (pos < prefix_length(x.n, t)[of]) & (rare > 1)
+                of, h, pos = of[keep], h[keep], pos[keep]
+                token = (h >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token), pa.array(x.key[of]), pa.array(x.n[of].astype(np.int32)), pa.array(pos.astype(np.int32)),
+                     pa.array(bits[of].view(np.int64))], ["token", "node", "n", "pos", "bits"])
+
+    made = docs.select(docs[text_col]).mapInArrow(run, "token int, node long, n int, pos int, bits long")
+    # one deal by token serves the duplicates and the join below
+    return made.repartition("token").dropDuplicates(["token", "node", "pos"])
 
 
 def candidate_pairs(post: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b), a the larger set, that pass all three filters."""
-    left = post.select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos")])
-    own = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1
-    right = post.where(F.col("pos") < own).select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos")])
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - 1e-9)
-    return left.join(right, "token").where(
+    """Distinct (a, b), a the larger set, that pass all filters."""
+    left = post.select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "bits")])
+    right = post.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "bits")])
+    both = F.col("n1") + F.col("n2")
+    need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)
+    reach = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
+    pairs = left.join(right, "token").where(
         ((F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2"))))
-        & (F.col("n2") >= F.ceil(t * F.col("n1") - 1e-9))
-        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
-    ).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        & (F.col("n2") >= F.ceil(t * F.col("n1") - 1e-9)) & (reach >= need) & (apart <= both - 2 * need))
+    # beyond the prefix that ends first no more than the rest of that set is shared
+    rest = lambda n: F.ceil(t * F.col(n) - 1e-9) - 1
+    shared = pairs.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b"), "n1", "n2").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") >= need - F.greatest(rest("n1"), rest("n2"))).select("a", "b")
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -199,16 +252,14 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[int, np.ndarray] = {}
-            for text in b.column(0):
-                hs = [h for h in map(word_set, split_lines(text.as_py())) if len(h)]
-                if hs:
-                    keys = np.array([set_key(h) for h in hs], np.int64)
-                    at = _slots(keys)
-                    for k in np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
-                        found[int(keys[k])] = hs[k].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))],
-                                             ["node", "tokens"])
+            for x in line_sets(t.as_py() for t in b.column(0)):
+                at = _slots(x.key)
+                hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                hit = hit[np.unique(x.key[hit], return_index=True)[1]]
+                hashes = x.hashes.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.key[hit]), pa.array([hashes[x.start[k]:x.start[k] + x.n[k]] for k in hit.tolist()], pa.list_(pa.int64()))],
+                    ["node", "tokens"])
 
     tokens = docs.select(docs[text_col]).mapInArrow(sets, "node long, tokens array<long>")
     tokens = stash(tokens.join(touched.distinct(), "node", "left_semi").dropDuplicates(["node"]), "line-sets")
