@@ -3,7 +3,7 @@
 The words of every source are dealt by a keyed hash into permuted blocks of
 about ``block_docs`` documents.  A source's target gives an exact quota of
 blocks: whole passes over all of its blocks, then blocks in permuted order up
-to the target, then documents of one boundary block, first fit in hash order.
+to the target, then documents of one boundary block, as many as fit.
 A binary tree over the output shards splits the quota vector: at each node the
 left half draws its share of all blocks without replacement, a multivariate
 hypergeometric draw over the sources, the right half keeps the rest.  A leaf
@@ -155,11 +155,17 @@ def plan_mixture(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         room = float(pdf["room"].iloc[0])
         pdf = pdf.sort_values(["order", "__id", "__size"], na_position="last")
-        take = []
-        for size, n in zip(pdf["__size"].tolist(), pdf["__n"].tolist()):
-            k = int(min(n, room // size)) if size else n
-            room -= k * size
-            take.append(k)
+        sizes, rows = pdf["__size"].tolist(), pdf["__n"].tolist()
+        take = [0] * len(sizes)
+        # in hash order until one does not fit, the rest by falling size, so that little room is left
+        stop = int(np.searchsorted(np.cumsum(np.array(sizes) * np.array(rows)), room, "right"))
+        for i in [*range(stop), *sorted(range(stop, len(sizes)), key=lambda i: -sizes[i])]:
+            take[i] = int(min(rows[i], room // sizes[i])) if sizes[i] else rows[i]
+            room -= take[i] * sizes[i]
+        # one more if that comes nearer to the target
+        over = min((i for i in range(len(sizes)) if take[i] < rows[i]), key=lambda i: sizes[i], default=None)
+        if over is not None and sizes[over] - room < room:
+            take[over] += 1
         return pdf.assign(take=take)[[*KEY, "__id", "__size", "__n", "take", "edge_shard", "passes"]]
 
     at_edge = units.select(*KEY, "block", "__id", "__size", "__n", F.xxhash64(F.lit(seed + 1), "__id", "__size").alias("order")).join(
