@@ -58,24 +58,19 @@ def term_counts(books: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return t.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-MAX_LANGUAGES_INLINE = 10_000
+# Languages counted as a broadcast table; more of them are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
+# A term is frequent if it stands in more than this share of its language's
+# books.  There are at most 1 / share times the mean number of distinct terms
+# of a book of those, whatever the number of books.
+FREQUENT_SHARE = 0.01
 
 
-def books_per_language(books: DataFrame, lang_col: str):
-    """Column with the number of books of the row's language.
-
-    The per-language counts have one row per language.  Up to
-    ``MAX_LANGUAGES_INLINE`` rows (checked by fetching at most one more) they
-    become a literal map in the plan, so no join on ``lang`` exists: with one
-    language holding a third of all rows, such a join would send that whole
-    language to one task.  Beyond the bound the caller's rows are joined."""
-    counts = books.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES_INLINE + 1).collect()
-    if len(counts) > MAX_LANGUAGES_INLINE:
-        raise ValueError("too many languages to inline; join the per-language counts instead")
-    pairs = [x for r in counts if r[lang_col] is not None for x in (F.lit(r[lang_col]), F.lit(r["n"]))]
-    if not pairs:
-        return F.lit(None).cast("bigint")
-    return F.create_map(*pairs)[F.col(lang_col)]
+def books_per_language(books: DataFrame, lang_col: str) -> DataFrame:
+    """(language, n_books), broadcast up to ``MAX_BROADCAST_LANGUAGES`` rows."""
+    counts = books.groupBy(lang_col).agg(F.count("*").alias("n_books"))
+    few = counts.limit(MAX_BROADCAST_LANGUAGES + 1).count() <= MAX_BROADCAST_LANGUAGES
+    return F.broadcast(counts) if few else counts
 
 
 def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str, text_col: str,
@@ -88,8 +83,16 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     tf = tf.filter((F.length("term") >= MIN_KEYWORD_LEN) & ~F.col("term").rlike("^[0-9]+$"))
     stop = stop_words_df(spark).withColumnRenamed("lang", lang_col)
     tf = tf.join(F.broadcast(stop), [lang_col, "term"], "left_anti")   # fixed-size list
+    per_lang = books_per_language(books, lang_col)
     df = tf.groupBy(lang_col, "term").agg(F.count("*").alias("df"))
-    s = tf.join(df, [lang_col, "term"]).withColumn("n_books", books_per_language(books, lang_col))
+    often = df.join(per_lang, lang_col).filter(F.col("df") > F.col("n_books") * FREQUENT_SHARE)
+    often = often.select(lang_col, "term", F.col("df").alias("__often"))
+    # rows of frequent terms take their df from the broadcast table and are dealt
+    # by book below, so no term gathers a language's books in one task
+    tf = tf.join(F.broadcast(often), [lang_col, "term"], "left")
+    by = F.when(F.col("__often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col(book_col).cast("string")))
+    s = tf.withColumn("__by", by).join(df.withColumnRenamed("term", "__by"), [lang_col, "__by"], "left")
+    s = s.withColumn("df", F.coalesce("__often", "df")).join(per_lang, lang_col)
     s = s.withColumn("score", F.col("tf") * F.log(F.col("n_books") / F.col("df")))
     w = Window.partitionBy(book_col).orderBy(F.round("score", 9).desc(), F.col("term"))
     r = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
