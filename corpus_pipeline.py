@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import stash, table
 from quire.llm.decontamination import drop_contaminated
 from quire.llm.mixing import mixed_documents
+from quire.llm.queries import training_labels
 from quire.llm.sharding import assign_shards
 from quire.llm.simhash_dedup import drop_near_copies
 from quire.llm.toxicity import fit_toxicity, reject_toxic
@@ -22,9 +23,10 @@ SHARDS = 40
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar does not call toxic."""
+    """Documents that the grammar does not call toxic; like op5 it learns
+    from the labels outside of the held-out fold."""
     ship_package(spark)
-    return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return reject_toxic(docs, fit_toxicity(docs, training_labels(table(spark, sf_dir, "labels"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,6 @@ def op3_embedding_near_dedup(spark, sf_dir):
 def op4_lm_scoring(spark, sf_dir):
     """Every document's log10 probability; learned outside of fold 1."""
     docs = table(spark, sf_dir, "documents")
-    fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
     held_out = lambda c: F.coalesce(fold(c) == 1, F.lit(False))
     model, counts = fit_language_model(docs.where(~held_out(docs["doc_id"])).select("text"))
     scored = score_texts(docs, model, counts)
@@ -79,11 +78,20 @@ def op7_decontamination(spark, sf_dir):
                         (F.col("matched_words") / F.col("item_words")).alias("coverage"), F.size("tiles").alias("n_tiles"))
 
 
+def fold(ids):
+    """0 to 4: CRC-32 of the id as text, mod 5; null for a null id."""
+    return F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(5))
+
+
+def training_labels(labels):
+    """Labels outside of the held-out fold 0."""
+    return labels.where(fold(labels["doc_id"]) != 0)
+
+
 def op5_toxicity(spark, sf_dir):
     """Every document with its toxicity; learned outside the held-out fold."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5))
-    model = fit_toxicity(docs, labels.where(fold(labels["doc_id"]) != 0))
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, training_labels(table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model)
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"),
                          "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),

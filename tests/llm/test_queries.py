@@ -122,7 +122,7 @@ def test_warc_query(spark):
 def test_pipeline_equals_brute_force_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    model = fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = fit_toxicity(docs, queries.training_labels(spark.read.parquet(f"{SF}/labels.parquet")))
     bench = BenchmarkIndex([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 5)
     want = sorted(i for i, t in texts.items() if model.score(t) < 0.5)
     for name, stage in corpus_pipeline.STAGES[:3]:
