@@ -157,8 +157,8 @@ def plan_mixture(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
         pdf = pdf.sort_values(["order", "__id", "__size"], na_position="last")
         sizes, rows = pdf["__size"].tolist(), pdf["__n"].tolist()
         take = [0] * len(sizes)
-        # in hash order until one does not fit, the rest by falling size, so that little room is left
-        stop = int(np.searchsorted(np.cumsum(np.array(sizes) * np.array(rows)), room, "right"))
+        # in hash order while any document still fits, the rest by falling size, so that little room is left
+        stop = int(np.searchsorted(np.cumsum(np.array(sizes) * np.array(rows)), room - max(sizes), "right"))
         for i in [*range(stop), *sorted(range(stop, len(sizes)), key=lambda i: -sizes[i])]:
             take[i] = int(min(rows[i], room // sizes[i])) if sizes[i] else rows[i]
             room -= take[i] * sizes[i]
