@@ -12,7 +12,7 @@ sets, the more tokens their prefixes must share.  Survivors are verified on
 their full sets.  A line goes if an earlier line, by (document, line number),
 links with it.
 
-Rarity comes from ``COUNTERS`` hashed counters over all lines, a fixed 4 MB
+Rarity comes from ``COUNTERS`` hashed counters over all lines, a fixed 16 MB
 however large the vocabulary is.  Any fixed order of the tokens keeps the join
 exact; a collision only moves a token within it.  A token whose counter is 1
 occurs in one line and needs no posting.
@@ -41,9 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quire.llm.common import stash
 
 THRESHOLD = 0.8
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 BITMAP_BYTES = 1 << 22
-TASKS = 128  # partial counter tables at most
+TASKS = 64  # partial counter tables at most
 _BLOCK = 16_384
 
 
