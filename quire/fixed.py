@@ -82,3 +82,12 @@ def re2_class_body(chars: str) -> str:
 
 # Word characters as Python's Unicode ``\w`` sees them (letters, numbers, _).
 WORD_CLASS = r"\p{L}\p{N}_"
+
+# Markup patterns (fixed values)
+DIV_PATTERN = r"<div[^>]*>.*?</div>"
+ALT_PATTERN = r'(?iu)alt="([^"]+)"'
+TABLE_PATTERN = r"<table[^>]*>.*?</table>"
+
+# Columns of the score table, in order (fixed values)
+SCORE_COLUMNS = ["bert_precision", "bert_recall", "bert_f1", "rouge1_p", "rouge1_r", "rouge1_f",
+                 "rouge2_p", "rouge2_r", "rouge2_f", "rougeL_p", "rougeL_r", "rougeL_f"]

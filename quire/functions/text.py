@@ -11,9 +11,7 @@ WS = fixed.WHITESPACE
 WS_CLASS = fixed.java_class_body(WS)
 WORD = fixed.WORD_CLASS
 
-DIV_PATTERN = r"<div[^>]*>.*?</div>"
-ALT_PATTERN = r'(?iu)alt="([^"]+)"'
-TABLE_PATTERN = r"<table[^>]*>.*?</table>"
+DIV_PATTERN, ALT_PATTERN, TABLE_PATTERN = fixed.DIV_PATTERN, fixed.ALT_PATTERN, fixed.TABLE_PATTERN
 ROW_PATTERN = r"(?isu)<tr[^>]*>(.*?)</tr>"
 CELL_PATTERN = r"(?isu)<t[hd][^>]*>(.*?)</t[hd]>"
 # sentence marker used to split text into sentences in both engines

@@ -11,8 +11,9 @@ Execution: the chunk rows are hash-partitioned on the chunk key once; the
 sentence/token explosion, the term counts (window on key+token), the sentence
 scores (aggregate on key+sentence), the ranking window and the final collect
 all require a clustering that this one partitioning already satisfies, so
-the token stream is never shuffled.  A chunk is bounded by the context window,
-so every group here is bounded too.
+the token stream is never shuffled.  A group is one chunk; chunks
+end at the first line end behind their limit, so a text without line ends is
+one chunk.
 """
 
 from __future__ import annotations

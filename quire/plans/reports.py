@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire import fixed
 from quire.functions.stem import stemmed_rouge_tokens
 from quire.functions.text import clean_summary
 from quire.operators import evaluate as EV
 from quire.sinks import write_scores_csv, write_summary_maps
 
-SCORE_COLUMNS = ["bert_precision", "bert_recall", "bert_f1", "rouge1_p", "rouge1_r", "rouge1_f",
-                 "rouge2_p", "rouge2_r", "rouge2_f", "rougeL_p", "rougeL_r", "rougeL_f"]
+SCORE_COLUMNS = fixed.SCORE_COLUMNS
 
 
 def score_table(summaries: DataFrame, vectors: DataFrame | None, keys: list[str] = ("language", "book"),
