@@ -23,7 +23,7 @@ from quire.operators import evaluate as EV
 from quire.operators import gating as G
 from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
-from quire.plans.compress import adaptive_compress, compress_round as _compress_round
+from quire.plans.compress import adaptive_compress, compress_round as _compress_round, last_abstracts
 from quire.session import ship_package, shared_dir, table_path
 
 MAX_CHUNK = 2000
@@ -434,13 +434,18 @@ SELECT doc_id, (generate_subscripts(ls, 1) - 1)::BIGINT AS line_no, unnest(ls) A
 # --- G5: two summary variants per book ---------------------------------------------------
 
 def book_summaries(spark, sf_dir):
-    rnd = _compress_round(_contents(spark, sf_dir), ["doc_id"], MAX_CHUNK)
-    inputs = TK.summary_inputs(rnd, ["doc_id"])
+    """The abstracts are those of each book's last round, when they fit the
+    window (or no longer shrink).  A split without an answer does not hold its
+    book, as the native model would give none again."""
+    workdir = shared_dir(spark, "summaries")
+    books = adaptive_compress(spark, _contents(spark, sf_dir), ["doc_id"], WINDOW, MAX_CHUNK, on_error="drop", workdir=workdir)
+    inputs = TK.summary_inputs(last_abstracts(spark, books, ["doc_id"], workdir), ["doc_id"])
     out = TK.native_summaries(inputs, ["doc_id"])
     return out.select("doc_id", "kind", "summary",
                       F.when(F.length(F.btrim("summary")) > 0, "ok").otherwise("failed").alias("status"))
 
 
+# One round only: right for books whose first abstracts fit the window.
 SQL_BOOK_SUMMARIES = f"""
 WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
 a AS ({_round_sql('r', MAX_CHUNK)}),

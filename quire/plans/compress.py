@@ -161,6 +161,15 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
     return reduce(DataFrame.unionByName, outcomes)
 
 
+def last_abstracts(spark: SparkSession, books: DataFrame, keys: list[str], workdir: str) -> DataFrame:
+    """Splits of each book's last batch: ``keys, split_index, abstract, status``.
+    ``books`` is what one :func:`adaptive_compress` returned from a ``workdir``
+    that no other run wrote to."""
+    splits = spark.read.parquet(f"{workdir}/splits")
+    last = books.select(*keys, F.col("rounds").alias("batch"))
+    return splits.join(last, keys + ["batch"]).select(*keys, "split_index", "abstract", "status")
+
+
 def _now() -> int:
     return time.time_ns()
 
