@@ -14,6 +14,7 @@ from quire import fixed
 from quire.functions.text import parse_lines, word_tokens
 from quire.operators.chunks import target_size
 from quire.operators.extractive import extractive_abstracts
+from quire.session import shared_dir
 
 # Function words left out of keywords (per language code; our own lists).
 STOP_WORDS = {
@@ -64,6 +65,11 @@ MAX_BROADCAST_LANGUAGES = 100_000
 # books.  There are at most 1 / share times the mean number of distinct terms
 # of a book of those, whatever the number of books.
 FREQUENT_SHARE = 0.01
+# Frequent terms counted as a broadcast table.  In a language of fewer than
+# 1 / share books every term is frequent; more rows are joined by a shuffle in
+# which a term is dealt over so many tasks by book.
+MAX_BROADCAST_TERMS = 200_000
+TERM_SALTS = 64
 
 
 def books_per_language(books: DataFrame, lang_col: str) -> DataFrame:
@@ -87,9 +93,17 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     df = tf.groupBy(lang_col, "term").agg(F.count("*").alias("df"))
     often = df.join(per_lang, lang_col).filter(F.col("df") > F.col("n_books") * FREQUENT_SHARE)
     often = often.select(lang_col, "term", F.col("df").alias("__often"))
-    # rows of frequent terms take their df from the broadcast table and are dealt
-    # by book below, so no term gathers a language's books in one task
-    tf = tf.join(F.broadcast(often), [lang_col, "term"], "left")
+    path = shared_dir(spark, "frequent-terms")
+    often.write.parquet(path)
+    often = spark.read.schema(often.schema).parquet(path)
+    # rows of frequent terms take their df from this table and are dealt by book
+    # below, so no term gathers a language's books in one task
+    if often.count() <= MAX_BROADCAST_TERMS:
+        tf = tf.join(F.broadcast(often), [lang_col, "term"], "left")
+    else:
+        salted = often.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_SALTS - 1).cast("long"))))
+        tf = tf.withColumn("__salt", F.pmod(F.xxhash64(book_col), F.lit(TERM_SALTS))).join(
+            salted, [lang_col, "term", "__salt"], "left").drop("__salt")
     by = F.when(F.col("__often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col(book_col).cast("string")))
     s = tf.withColumn("__by", by).join(df.withColumnRenamed("term", "__by"), [lang_col, "__by"], "left")
     s = s.withColumn("df", F.coalesce("__often", "df")).join(per_lang, lang_col)
