@@ -11,6 +11,9 @@ from quire.session import shared_dir, ship_package, table_path
 # the ASCII controls TAB..CR.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
+# Lower-casing is that of A-Z alone.
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 # A side of a join is broadcast only after it was counted and found to have
 # at most this many (narrow) rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000

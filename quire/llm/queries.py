@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
-from quire.llm import license_scan, sharding
+from quire.llm import license_scan, sharding, url_filter
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
 from quire.llm.simhash_dedup import simhash_groups
 from quire.llm.toxicity import fit_toxicity, score_toxicity
+from quire.llm.url_filter import judge_urls, rule_table
 from quire.llm.warc import read_archives, resolved_pages, write_archives
 from quire.session import shared_dir
 
@@ -118,6 +119,17 @@ def op10_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_lines", "removed", "n_links")
 
 
+# rules of op11: (host, path)
+URL_ALLOW = [("org", "/"), ("com", "/fr/")]
+URL_BLOCK = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
+
+
+def op11_url_filter(spark, sf_dir):
+    """Every page with the verdict on its url and the rule behind it."""
+    judged = judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_ALLOW, URL_BLOCK))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -129,9 +141,11 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_url_filter": url_filter.oracle_sql(URL_ALLOW, URL_BLOCK),
     "op6_sharding": sharding.oracle_sql("SELECT doc_id, text FROM documents", SHARDS),
     "op2_license_scan": license_scan.oracle_sql(LICENSE_TREE.replace("regexp_like", "regexp_matches")),
 }

@@ -62,14 +62,15 @@ def first_of_group(rows):
 
 def test_all_are_registered():
     names = [q.split("_")[0] for q in E.queries()]
-    assert [f"op{n}" for n in range(1, 11) if f"op{n}" not in names] == [] and "pipeline" in names
+    assert [f"op{n}" for n in range(1, 12) if f"op{n}" not in names] == [] and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ('documents', 'pages', 'embeddings'):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
