@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
-from quire.llm import license_scan, sharding, url_filter
+from quire.llm import hard_negatives, license_scan, sharding, url_filter
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
@@ -130,6 +130,14 @@ def op11_url_filter(spark, sf_dir):
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 50; every
+    seventh vector's label is moved on first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -142,9 +150,11 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_url_filter": op11_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op11_url_filter": url_filter.oracle_sql(URL_ALLOW, URL_BLOCK),
     "op6_sharding": sharding.oracle_sql("SELECT doc_id, text FROM documents", SHARDS),
     "op2_license_scan": license_scan.oracle_sql(LICENSE_TREE.replace("regexp_like", "regexp_matches")),
