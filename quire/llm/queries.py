@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 from quire.llm.decontamination import contaminated_pairs
 from quire.llm.embedding_dedup import near_vectors
-from quire.llm import hard_negatives, license_scan, sharding, url_filter
+from quire.llm import collocations, hard_negatives, license_scan, sharding, url_filter
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.lm_scoring import fit_language_model, score_texts
 from quire.llm.mixing import mix
@@ -138,6 +138,11 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, label)
 
 
+def op13_collocations(spark, sf_dir):
+    """The first 2,000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=30, top=2000)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -151,9 +156,11 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_url_filter": op11_url_filter,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
+    "op13_collocations": collocations.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
     "op11_url_filter": url_filter.oracle_sql(URL_ALLOW, URL_BLOCK),
     "op6_sharding": sharding.oracle_sql("SELECT doc_id, text FROM documents", SHARDS),

@@ -62,7 +62,7 @@ def first_of_group(rows):
 
 def test_all_are_registered():
     names = [q.split("_")[0] for q in E.queries()]
-    assert [f"op{n}" for n in range(1, 13) if f"op{n}" not in names] == [] and "pipeline" in names
+    assert [f"op{n}" for n in range(1, 14) if f"op{n}" not in names] == [] and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
 
 
