@@ -6,14 +6,16 @@ counted; the count of a shorter phrase is the sum over all windows that begin
 with it, which Spark's ROLLUP takes over the lead columns.  No phrase length
 is exploded on its own.
 
-1. Tasks read whole texts and count windows in a bounded dictionary, so copies
-   and frequent passages shrink before the shuffle.
-2. The counts are exchanged by language and first two words.  Within such a
-   group running sums give the count of each window's first two, three and four
-   words, and words behind the last prefix that reaches ``min_count`` are cut
-   off: nothing that is counted below can start with them.  One word is never
-   cut, so a language's total and its words' counts stay whole.
-3. The remaining windows, now few, are added up and rolled up.
+Most windows are unique and would be shuffled for nothing.  So a first pass
+fills a filter of pairs: adjacent words hash to a cell, and a cell that is met
+less than ``min_count`` times holds no pair that frequent.  The second pass cuts
+each window before the first pair that the filter rules out; nothing that
+is counted below can reach across it, as no phrase is more frequent than the
+pairs inside it.  The filter can only let too much pass, so counts stay exact.
+It has a cell for every ``CELL_CHARS`` characters of text, up to ``MAX_CELLS``
+(a broadcast of 64 MB); beyond that it lets more through and the shuffle grows.
+Tasks send their cells as sparse blocks, as large as their distinct pairs at
+most, and a block is added up as a stream.
 
 A candidate's parts occur at least as often as it does, so the rolled-up
 phrases of ``min_count`` hold every count that scores need.  They join the
@@ -22,16 +24,16 @@ candidates, so its row is copied to ``SALTS`` keys over which its candidates
 are spread.  The scores are exact: decimals of 38 digits where products may
 pass 64 bits.
 
-Scale: one exchange of the windows, none by a single word or language, none of
-documents.  A pair of words that opens a third of all windows meets its
-pre-counted rows only: one row for each distinct window and flush of a task
-(``TEXT_CHARS``).  The ranking is cut to the first ``top`` of a language in
-every task before its shuffle.  A lost executor costs its tasks; the counted
-phrases are written to the shared folder once.
+Scale: tasks read whole texts in slices of about ``SLICE_CHARS`` characters and
+count a slice before they send it, so copies and frequent passages shrink
+first; windows are exchanged by language and all their words, never by a single
+word, language or document.  The ranking is cut to the first ``top`` of a
+language in every task before its shuffle.  A lost executor costs its tasks;
+the counted phrases are written to the shared folder once.
 
 Cases: a null text is empty, a null language ``und``; repeated rows count
-again; words may be of any length, texts too (windows are counted in steps of
-``STEP`` words).  Ties in the score go to the more frequent, then the smaller
+again; words and texts may be of any length (a text longer than a slice is a
+slice of its own).  Ties in the score go to the more frequent, then the smaller
 phrase in UTF-8 order, ties between cuts (after flooring) to the shorter first
 part.  An empty table gives no rows.  Other columns are ignored whatever their
 names.
@@ -39,12 +41,13 @@ names.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,52 +56,151 @@ from quire.llm.common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, stash
 ORDER = 4
 UNKNOWN_LANG = "und"
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
-# characters of text whose windows a task holds, words counted in one step, windows in an Arrow batch
-TEXT_CHARS, STEP, BATCH = 4 << 20, 1 << 16, 1 << 16
+SLICE_CHARS = 12 << 20
+# the filter: cells of a block, characters of text for a cell, bounds of their number (powers of two)
+BLOCK_CELLS, CELL_CHARS, MIN_CELLS, MAX_CELLS = 1 << 16, 32, 1 << 16, 1 << 29
 SALTS = 16
 # floor(2,000,000 a / (l + r)) in decimals
 SCORE = "(CAST(2000000 AS DECIMAL(10,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"
 
+SPACE, END = 32, 10
+# A-Z become lower case, a tab a blank, the ends of pieces a line feed; UTF-8 keeps these bytes to themselves
+BYTES = bytes.maketrans((ASCII_UPPER + "\t.,;:!?\n\x0b\x0c\r").encode(), (ASCII_LOWER + " " + "\n" * 10).encode())
 
-def leads(words: list[str]) -> Iterator[Iterator[str]]:
-    """The padded longest windows of a piece, space-joined, in steps."""
-    for start in range(0, len(words), STEP):
-        part = words[start:start + STEP + ORDER - 1]
-        yield map(" ".join, zip(*(part[i:] for i in range(ORDER))))
-    yield (" ".join(words[i:]) for i in range(max(len(words) - ORDER + 1, 0), len(words)))
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(lang, text) columns in slices of about ``SLICE_CHARS`` bytes of text."""
+    for batch in batches:
+        lang, text = batch.column("lang"), batch.column("text")
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(text):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+            yield lang.slice(at, to - at), text.slice(at, to - at)
+            at = to
 
-def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n): windows with their counts so far."""
-    lower = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-    pieces = re.compile(PIECE_END).split
-    held: dict[str, Counter] = {}
-    chars = 0
 
-    def flush():
-        for lang, counter in held.items():
-            grams, counts = list(counter), list(counter.values())
-            for i in range(0, len(grams), BATCH):
-                some = grams[i:i + BATCH]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[i:i + BATCH], pa.int64())],
-                                                 ["lang", "gram", "n"])
-        held.clear()
+class Words:
+    """The words of a slice: ``codes`` into the dictionary ``names``, the code
+    of the language in ``langs``, and ``joined``: whether a word and the next
+    stand in one piece."""
+
+    def __init__(self, lang: pa.Array, text: pa.Array):
+        text = pa.concat_arrays([text]).cast(pa.large_string())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+        held = text.buffers()[2]
+        data = np.frombuffer((held.to_pybytes() if held is not None else b"")[offsets[0]:offsets[-1]].translate(BYTES), np.uint8)
+        starts_of_docs = offsets[:-1] - offsets[0]
+        inside = (data != SPACE) & (data != END)
+        # a word begins behind a separator, and where a text begins
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        first = starts_of_docs[starts_of_docs < len(data)]
+        opens[first] = inside[first]
+        begin = np.flatnonzero(opens)
+        letters = np.concatenate([[0], np.cumsum(inside)])
+        bounds = np.append(letters[begin], letters[-1]).astype(np.int64)
+        names = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes()))
+        coded = names.dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names = coded.dictionary
+        doc = np.searchsorted(starts_of_docs, begin, side="right") - 1
+        piece = np.cumsum(data == END)[begin] if len(begin) else begin
+        self.joined = np.zeros(len(begin), bool)
+        self.joined[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
+        langs = lang.dictionary_encode()
+        self.langs = langs.dictionary
+        self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+
+    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that have a next one, and the pairs' cells."""
+        hashed = lambda names: pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
+        word, lang = hashed(self.names), hashed(self.langs)
+        at = np.flatnonzero(self.joined)
+        mixed = (word[self.codes[at]] * np.uint64(0x9E3779B97F4A7C15) + word[self.codes[at + 1]] + lang[self.lang[at]]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return at, (mixed >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+
+
+def filter_blocks(cells: int, min_count: int):
+    """Tasks' side of the filter: (block, places, counts) of every slice."""
+    wide = np.uint8 if min_count < 256 else np.uint32
+
+    def run(batches):
+        for lang, text in slices(batches):
+            cell, n = np.unique(Words(lang, text).cells(cells)[1], return_counts=True)
+            block, first = np.unique(cell // BLOCK_CELLS, return_index=True)
+            places = np.split((cell % BLOCK_CELLS).astype(np.uint16), first[1:])
+            # counts are only asked whether they reach min_count
+            counts = np.split(np.minimum(n, min_count).astype(wide), first[1:])
+            if len(block):
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([p.tobytes() for p in places], pa.binary()),
+                                                  pa.array([c.tobytes() for c in counts], pa.binary())], ["block", "places", "counts"])
+
+    def merge(batches):
+        total, now = np.zeros(BLOCK_CELLS, np.int64), None
+        out = lambda b: pa.RecordBatch.from_pydict({"block": [b], "bits": [np.packbits(total >= min_count).tobytes()]},
+                                                   pa.schema([("block", pa.int32()), ("bits", pa.binary())]))
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(c) for c in ("block", "places", "counts"))):
+                if block.as_py() != now:
+                    if now is not None:
+                        yield out(now)
+                    total[:], now = 0, block.as_py()
+                total[np.frombuffer(places.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), wide)
+        if now is not None:
+            yield out(now)
+    return run, merge
+
+
+def pair_filter(texts: DataFrame, min_count: int) -> np.ndarray:
+    """Bits of the cells that are met at least ``min_count`` times."""
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (chars // CELL_CHARS).bit_length()))
+    run, merge = filter_blocks(cells, min_count)
+    sent = texts.mapInArrow(run, "block int, places binary, counts binary")
+    merged = sent.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    bits = np.zeros((cells // BLOCK_CELLS, BLOCK_CELLS // 8), np.uint8)
+    for row in merged.toLocalIterator():
+        bits[row.block] = np.frombuffer(row.bits, np.uint8)
+    return bits.reshape(-1)
 
-    for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            for piece in pieces(text.as_py().translate(lower)):
-                words = [w for w in piece.replace("\t", " ").split(" ") if w]
-                for step in leads(words):
-                    held.setdefault(lang.as_py(), Counter()).update(step)
-                    chars += min(len(piece), STEP * 8)
-                    if chars > TEXT_CHARS:
-                        yield from flush()
-                        chars = 0
-    yield from flush()
 
+def count_windows(bits):
+    """(lang, text) to (lang, gram, n): the padded longest windows of every
+    word, cut before pairs that the filter rules out, counted by slice."""
 
-def prefix(gram: Column, k: int) -> Column:
-    return F.substring_index(gram, " ", k)
+    def run(batches):
+        held = bits.value
+        for lang, text in slices(batches):
+            words = Words(lang, text)
+            if not len(words.codes):
+                continue
+            at, cell = words.cells(len(held) * 8)
+            goes_on = np.zeros(len(words.codes) + ORDER, bool)
+            goes_on[at] = (held[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            size = len(words.names) + 1
+            # lead columns: 0 where the window has ended
+            leads = [words.codes + 1]
+            alive = np.ones(len(words.codes), bool)
+            for k in range(1, ORDER):
+                alive = alive & goes_on[k - 1:k - 1 + len(alive)]
+                lead = np.zeros(len(alive), np.int64)
+                lead[alive] = leads[0][np.flatnonzero(alive) + k]
+                leads.append(lead)
+            ids = words.lang
+            for lead in leads:
+                ids, kept = pd.factorize(ids * size + lead)
+            n = np.bincount(ids, minlength=len(kept))
+            first = np.empty(len(kept), np.int64)
+            first[ids[::-1]] = np.arange(len(ids))[::-1]
+            columns = [words.names.take(pa.array(lead[first] - 1, mask=lead[first] == 0)) for lead in leads]
+            gram = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip")
+            out = pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[first])).cast(pa.string()), gram.cast(pa.string()), pa.array(n)],
+                                             ["lang", "gram", "n"])
+            for i in range(0, len(out), 1 << 16):
+                yield out.slice(i, 1 << 16)
+    return run
 
 
 def frequent_phrases(documents: DataFrame, min_count: int = 30, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -107,15 +209,8 @@ def frequent_phrases(documents: DataFrame, min_count: int = 30, text_col: str =
     number of all words of the language."""
     texts = documents.select(F.coalesce(documents[lang_col], F.lit(UNKNOWN_LANG)).alias("lang"),
                              F.coalesce(documents[text_col], F.lit("")).alias("text"))
-    grams = texts.mapInArrow(count_windows, "lang string, gram string, n long")
-    grams = grams.repartition(prefix(F.col("gram"), 2), "lang").select(
-        prefix(F.col("gram"), 2).alias("p2"), "lang", prefix(F.col("gram"), 3).alias("p3"), "gram", "n")
-    # one sort serves the three sums
-    for name, keys in (("f4", ["p2", "lang", "p3", "gram"]), ("f3", ["p2", "lang", "p3"]), ("f2", ["p2", "lang"])):
-        grams = grams.withColumn(name, F.sum("n").over(Window.partitionBy(*keys)))
-    kept = (F.when(F.col("f4") >= min_count, F.col("gram")).when(F.col("f3") >= min_count, F.col("p3"))
-            .when(F.col("f2") >= min_count, F.col("p2")).otherwise(prefix(F.col("gram"), 1)))
-    windows = grams.select("lang", kept.alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    bits = documents.sparkSession.sparkContext.broadcast(pair_filter(texts, min_count))
+    windows = texts.mapInArrow(count_windows(bits), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     words = [f"w{i}" for i in range(1, ORDER + 1)]
     columns = windows.select("lang", F.split("gram", " ").alias("w"), "n").select(
         "lang", *[F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(words)], "n")

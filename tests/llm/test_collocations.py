@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -83,20 +84,41 @@ def test_edges(spark):
     assert mined(df.limit(0)) == []
 
 
-def test_flushes_do_not_change_counts(monkeypatch):
-    rows = prose(random.Random(3), 50)
+def test_words_of_a_slice():
+    """Words, pieces and languages as the contract cuts them, at every offset."""
+    rows = [("en", "Ab c.d\t e"), ("de", ""), ("en", "x"), ("fr", " y z\x0b\x0cw !"), ("fr", "\x1c\u00c9\u2028 q"), ("en", ".")]
+    for lo in range(len(rows)):
+        part = rows[lo:]
+        w = co.Words(pa.array([r[0] for r in rows]).slice(lo), pa.array([r[1] for r in rows]).slice(lo))
+        want = [(lang, i, p, word) for i, (lang, text) in enumerate(part)
+                for p, piece in enumerate(re.split("[.,;:!?\x0a-\x0d]", "".join(c.lower() if c.isascii() else c for c in text)))
+                for word in re.findall("[^\x20\x09]+", piece)]
+        assert [w.names[c].as_py() for c in w.codes.tolist()] == [x[3] for x in want]
+        assert [w.langs[c].as_py() for c in w.lang.tolist()] == [x[0] for x in want]
+        assert w.joined.tolist() == [a[1:3] == b[1:3] for a, b in zip(want, want[1:])] + [False] * (len(want) > 0)
+
+
+def test_slices_and_a_full_filter_do_not_change_counts(spark, monkeypatch):
+    ship_package(spark)
+    rows = prose(random.Random(3), 120)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    want = brute(rows, min_count=3)
+    monkeypatch.setattr(co, "CELL_CHARS", 1 << 30)
+    assert mined(df, min_count=3) == want
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows], "text": [r[1] for r in rows]})
 
+    class All:
+        value = np.full(1 << 13, 255, np.uint8)
+
     def total():
         c = Counter()
-        for b in co.count_windows(iter([batch])):
+        for b in co.count_windows(All)(iter([batch])):
             for lang, g, n in zip(*(b.column(x).to_pylist() for x in ("lang", "gram", "n"))):
                 c[lang, g] += n
         return c
     whole = total()
-    for chars, step in ((1, 1), (100, 2), (1000, 7)):
-        monkeypatch.setattr(co, "TEXT_CHARS", chars)
-        monkeypatch.setattr(co, "STEP", step)
+    for chars in (1, 100, 1000):
+        monkeypatch.setattr(co, "SLICE_CHARS", chars)
         assert total() == whole
 
 
