@@ -7,11 +7,12 @@ with it, which Spark's ROLLUP takes over the lead columns.  No phrase length
 is exploded on its own.
 
 Most windows are unique and would be shuffled for nothing.  So a first pass
-fills a filter of pairs: adjacent words hash to a cell, and a cell that is met
-less than ``min_count`` times holds no pair that frequent.  The second pass cuts
-each window before the first pair that the filter rules out; nothing that
-is counted below can reach across it, as no phrase is more frequent than the
-pairs inside it.  The filter can only let too much pass, so counts stay exact.
+fills a filter: every word and every pair of neighbours hashes to a cell, and a
+cell that is met less than ``min_count`` times holds none that frequent.  The
+second pass cuts each window before the first pair that the filter rules out (or
+leaves it without words, when its first is ruled out: it then counts for its
+language alone); nothing that is counted below can reach across the cut, as no
+phrase is more frequent than the words and pairs inside it.  The filter can only let too much pass, so counts stay exact.
 It has a cell for every ``CELL_CHARS`` characters of text, up to ``MAX_CELLS``
 (a broadcast of 64 MB); beyond that it lets more through and the shuffle grows.
 Tasks send their cells as sparse blocks, as large as their distinct pairs at
@@ -56,9 +57,9 @@ from quire.llm.common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, stash
 ORDER = 4
 UNKNOWN_LANG = "und"
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
-SLICE_CHARS = 12 << 20
+SLICE_CHARS = 2 << 20
 # the filter: cells of a block, characters of text for a cell, bounds of their number (powers of two)
-BLOCK_CELLS, CELL_CHARS, MIN_CELLS, MAX_CELLS = 1 << 16, 32, 1 << 16, 1 << 29
+BLOCK_CELLS, CELL_CHARS, MIN_CELLS, MAX_CELLS = 1 << 16, 16, 1 << 16, 1 << 29
 SALTS = 16
 # floor(2,000,000 a / (l + r)) in decimals
 SCORE = "(CAST(2000000 AS DECIMAL(10,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"
@@ -113,13 +114,14 @@ class Words:
         self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
 
-    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that have a next one, and the pairs' cells."""
+    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of all words, places of the words that have a next one, and
+        the cells of these pairs."""
         hashed = lambda names: pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
-        word, lang = hashed(self.names), hashed(self.langs)
+        place = lambda h: (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+        word = hashed(self.names)[self.codes] + hashed(self.langs)[self.lang]
         at = np.flatnonzero(self.joined)
-        mixed = (word[self.codes[at]] * np.uint64(0x9E3779B97F4A7C15) + word[self.codes[at + 1]] + lang[self.lang[at]]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return at, (mixed >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+        return place(word), at, place(word[at] * np.uint64(0x9E3779B97F4A7C15) + word[at + 1])
 
 
 def filter_blocks(cells: int, min_count: int):
@@ -128,7 +130,8 @@ def filter_blocks(cells: int, min_count: int):
 
     def run(batches):
         for lang, text in slices(batches):
-            cell, n = np.unique(Words(lang, text).cells(cells)[1], return_counts=True)
+            word, _, pair = Words(lang, text).cells(cells)
+            cell, n = np.unique(np.concatenate([word, pair]), return_counts=True)
             block, first = np.unique(cell // BLOCK_CELLS, return_index=True)
             places = np.split((cell % BLOCK_CELLS).astype(np.uint16), first[1:])
             # counts are only asked whether they reach min_count
@@ -153,7 +156,7 @@ def filter_blocks(cells: int, min_count: int):
     return run, merge
 
 
-def pair_filter(texts: DataFrame, min_count: int) -> np.ndarray:
+def frequency_filter(texts: DataFrame, min_count: int) -> np.ndarray:
     """Bits of the cells that are met at least ``min_count`` times."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (chars // CELL_CHARS).bit_length()))
@@ -176,17 +179,18 @@ def count_windows(bits):
             words = Words(lang, text)
             if not len(words.codes):
                 continue
-            at, cell = words.cells(len(held) * 8)
+            often = lambda cell: (held[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            word, at, pair = words.cells(len(held) * 8)
             goes_on = np.zeros(len(words.codes) + ORDER, bool)
-            goes_on[at] = (held[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            goes_on[at] = often(pair)
             size = len(words.names) + 1
             # lead columns: 0 where the window has ended
-            leads = [words.codes + 1]
-            alive = np.ones(len(words.codes), bool)
+            alive = often(word)
+            leads = [np.where(alive, words.codes + 1, 0)]
             for k in range(1, ORDER):
                 alive = alive & goes_on[k - 1:k - 1 + len(alive)]
                 lead = np.zeros(len(alive), np.int64)
-                lead[alive] = leads[0][np.flatnonzero(alive) + k]
+                lead[alive] = words.codes[np.flatnonzero(alive) + k] + 1
                 leads.append(lead)
             ids = words.lang
             for lead in leads:
@@ -209,7 +213,7 @@ def frequent_phrases(documents: DataFrame, min_count: int = 30, text_col: str =
     number of all words of the language."""
     texts = documents.select(F.coalesce(documents[lang_col], F.lit(UNKNOWN_LANG)).alias("lang"),
                              F.coalesce(documents[text_col], F.lit("")).alias("text"))
-    bits = documents.sparkSession.sparkContext.broadcast(pair_filter(texts, min_count))
+    bits = documents.sparkSession.sparkContext.broadcast(frequency_filter(texts, min_count))
     windows = texts.mapInArrow(count_windows(bits), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     words = [f"w{i}" for i in range(1, ORDER + 1)]
     columns = windows.select("lang", F.split("gram", " ").alias("w"), "n").select(
