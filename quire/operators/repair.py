@@ -30,7 +30,7 @@ def blocks(c) -> Column:
     return F.transform(F.split(col_of(c), "\n+", -1), strip)
 
 
-def _features(b: Column) -> Column:
+def block_features(b: Column) -> Column:
     return F.struct(
         b.alias("b"),
         first_word(b).alias("fw"),
@@ -42,7 +42,7 @@ def _features(b: Column) -> Column:
     )
 
 
-def _rule(feats: Column, x: Column, i: Column) -> Column:
+def join_rule(feats: Column, x: Column, i: Column) -> Column:
     p = F.get(feats, i - 1)
     same_word = (p["lw"] != "") & (x["fw"] != "") & (F.lower(p["lw"]) == F.lower(x["fw"]))
     prefix = x["b"].substr(F.lit(1), F.position(x["fw"], x["b"]) + F.length(x["fw"]) - 1)
@@ -59,10 +59,12 @@ def _rule(feats: Column, x: Column, i: Column) -> Column:
             .otherwise("break"))
 
 
-def _emit(feats: Column, rules: Column, x: Column, i: Column) -> Column:
+def emit_block(feats: Column, rules: Column, x: Column, i: Column, at_start: Column | bool = True) -> Column:
+    """Separator and text of block ``i``; ``at_start``: the array begins with
+    the first block of its text."""
     rule = F.get(rules, i)
     sep = (F.when(rule == "start", "")
-           .when((rule == "pop") & (i == 1), "")
+           .when((rule == "pop") & (i == 1) & at_start, "")
            .when(rule == "hyphen", "")
            .when(rule == "space", " ")
            .otherwise(fixed.BLANK_LINE))
@@ -77,11 +79,11 @@ def _emit(feats: Column, rules: Column, x: Column, i: Column) -> Column:
 def repair_blocks(df: DataFrame, text_col: str = "text", out_col: str = "content") -> DataFrame:
     """Add ``out_col`` with the repaired text of ``text_col`` (row-local)."""
     tmp_f, tmp_r = "__blk_feats", "__blk_rules"
-    feats = df.withColumn(tmp_f, F.transform(blocks(text_col), _features))
-    ruled = feats.withColumn(tmp_r, F.transform(F.col(tmp_f), lambda x, i: _rule(F.col(tmp_f), x, i)))
+    feats = df.withColumn(tmp_f, F.transform(blocks(text_col), block_features))
+    ruled = feats.withColumn(tmp_r, F.transform(F.col(tmp_f), lambda x, i: join_rule(F.col(tmp_f), x, i)))
     out = ruled.withColumn(
         out_col,
-        F.array_join(F.transform(F.col(tmp_f), lambda x, i: _emit(F.col(tmp_f), F.col(tmp_r), x, i)), ""))
+        F.array_join(F.transform(F.col(tmp_f), lambda x, i: emit_block(F.col(tmp_f), F.col(tmp_r), x, i)), ""))
     return out.drop(tmp_f, tmp_r)
 
 
@@ -89,11 +91,11 @@ def block_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per block with the rule that joined it to its predecessor
     (diagnostics and tests): ``pos, block, rule``."""
     tmp_f = "__blk_feats"
-    feats = df.withColumn(tmp_f, F.transform(blocks(text_col), _features))
+    feats = df.withColumn(tmp_f, F.transform(blocks(text_col), block_features))
     ruled = feats.withColumn(
         "__rules",
         F.arrays_zip(F.transform(F.col(tmp_f), lambda x: x["b"]).alias("block"),
-                     F.transform(F.col(tmp_f), lambda x, i: _rule(F.col(tmp_f), x, i)).alias("rule")))
+                     F.transform(F.col(tmp_f), lambda x, i: join_rule(F.col(tmp_f), x, i)).alias("rule")))
     return ruled.select(*[c for c in df.columns if c != text_col],
                         F.posexplode_outer("__rules").alias("pos", "r")).filter(F.col("r").isNotNull()).select(
         "*", F.col("r.block").alias("block"), F.col("r.rule").alias("rule")).drop("r")

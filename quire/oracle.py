@@ -40,6 +40,11 @@ def rouge_tokens(expr: str) -> str:
 def repair_sql(source: str, key: str, text: str) -> str:
     """Block repair over ``source`` (a relation with ``key`` and ``text``) as
     lag/lead window SQL: returns ``key, content``."""
+    return f"SELECT k AS {key}, string_agg(piece, '' ORDER BY pos) AS content FROM ({repair_pieces_sql(source, key, text)}) GROUP BY k"
+
+
+def repair_pieces_sql(source: str, key: str, text: str) -> str:
+    """What every block adds to the repaired text: ``k, pos, piece``."""
     return f"""
     WITH raw AS (
       SELECT {key} AS k, string_split_regex({text}, '\\n+') AS arr FROM {source}
@@ -85,7 +90,7 @@ def repair_sql(source: str, key: str, text: str) -> str:
                 ELSE b END AS piece
       FROM r WINDOW w2 AS (PARTITION BY k ORDER BY pos)
     )
-    SELECT k AS {key}, string_agg(piece, '' ORDER BY pos) AS content FROM e GROUP BY k
+    SELECT k, pos, piece FROM e
     """
 
 

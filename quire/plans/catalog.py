@@ -24,6 +24,7 @@ from quire.operators import gating as G
 from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round, last_abstracts
+from quire.plans.pagewise import clean_pages_by_page
 from quire.session import ship_package, shared_dir, table_path
 
 MAX_CHUNK = 2000
@@ -191,6 +192,30 @@ SELECT conv_id, {O.tables_sql('content')} AS content FROM r
 """
 
 
+def cleanup_pages(spark, sf_dir):
+    """The same texts page by page: no row holds a book."""
+    out = clean_pages_by_page(_conv_pages(spark, sf_dir), ["book"])
+    return out.select(F.col("book").alias("conv_id"), "page_id", "n_pages", "start_pos", "content")
+
+
+# the repaired blocks of the merged book, given back to the pages they began on
+SQL_CLEANUP_PAGES = f"""
+WITH pg AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n,
+                   count(*) OVER (PARTITION BY conv_id) AS m FROM conversations WHERE text <> ''),
+cut AS (SELECT *, {O.divs_sql('text')} AS plain FROM pg),
+ends AS (SELECT *, CASE WHEN n > 1 THEN ltrim(plain, chr(10)) ELSE plain END AS behind FROM cut),
+trimmed AS (SELECT conv_id, turn, n, m, CASE WHEN n < m THEN rtrim(behind, chr(10)) ELSE behind END AS t FROM ends),
+sized AS (SELECT *, len(string_split_regex(t, '\n+')) AS nb FROM trimmed WHERE t <> '' OR n = 1 OR n = m),
+spans AS (SELECT *, sum(nb) OVER (PARTITION BY conv_id ORDER BY n) - nb AS lo FROM sized),
+merged AS (SELECT conv_id, {O.divs_sql("string_agg(text, chr(10) || chr(10) ORDER BY n)")} AS merged FROM pg GROUP BY conv_id),
+e AS ({O.repair_pieces_sql('merged', 'conv_id', 'merged')}),
+pieces AS (SELECT s.conv_id, s.turn, s.n, {O.tables_sql("string_agg(e.piece, '' ORDER BY e.pos)")} AS content
+           FROM spans s JOIN e ON e.k = s.conv_id AND e.pos >= s.lo AND e.pos < s.lo + s.nb GROUP BY s.conv_id, s.turn, s.n)
+SELECT conv_id, turn AS page_id, 1::BIGINT AS n_pages,
+       (sum(length(content)) OVER (PARTITION BY conv_id ORDER BY n) - length(content))::BIGINT AS start_pos, content FROM pieces
+"""
+
+
 # --- T1 -----------------------------------------------------------------------
 
 def replace_divs(spark, sf_dir):
@@ -546,6 +571,7 @@ QUERIES = {
     "adaptive_compress": adaptive_compress_all,
     "merge_pages": merge_pages,
     "cleanup_book": cleanup_book,
+    "cleanup_pages": cleanup_pages,
     "replace_divs": replace_divs,
     "render_prompt": render_prompt,
     "pair_reference": pair_reference,
@@ -573,6 +599,7 @@ ORACLES = {
     "adaptive_compress": SQL_ADAPTIVE,
     "merge_pages": SQL_MERGE_PAGES,
     "cleanup_book": SQL_CLEANUP_BOOK,
+    "cleanup_pages": SQL_CLEANUP_PAGES,
     "replace_divs": SQL_REPLACE_DIVS,
     "render_prompt": SQL_RENDER_PROMPT,
     "pair_reference": SQL_PAIR_REFERENCE,

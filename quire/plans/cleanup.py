@@ -11,17 +11,18 @@ from quire.operators.repair import repair_blocks
 
 
 def merge_pages(pages: DataFrame, keys: list[str], page_col: str = "page_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", tie_col: str | None = None) -> DataFrame:
     """Non-empty page texts in page-id order joined by a blank line.
 
     ``collect_list`` is a partial aggregate: each map task pre-collects its
     pages per book before the shuffle.  The grouped value is one book's text,
-    the unit of output, so its size is that of one book.  Ties on the page id
-    are ordered by text to stay deterministic.
+    the unit of output, so its size is that of one book
+    (:mod:`quire.plans.pagewise` does without).  Pages of one id are ordered by
+    ``tie_col`` (the file name, where there is one), then by text.
     """
     pages = pages.filter(F.col(text_col) != "")
     return pages.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page_col, text_col))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page_col, *([tie_col] if tie_col else []), text_col))),
                                  lambda x: x[text_col]), fixed.BLANK_LINE).alias("content"),
         F.count("*").cast("bigint").alias("n_pages"))
 

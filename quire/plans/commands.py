@@ -39,10 +39,11 @@ def validate_layout(spark: SparkSession, books_root: str) -> tuple[bool, DataFra
 
 
 def post_process(spark: SparkSession, books_root: str, contents_path: str,
-                 ocr_dir: str = "paddle_output") -> DataFrame:
+                 ocr_dir: str = "paddle_output", by_page: bool = False) -> DataFrame:
     """Clean every book with OCR output and write ``contents`` (partitioned by
-    language); returns the issues (books without usable output)."""
-    contents, issues = book_contents(spark, books_root, ocr_dir)
+    language); returns the issues (books without usable output).  With
+    ``by_page`` the contents are pieces with their ``start_pos``."""
+    contents, issues = book_contents(spark, books_root, ocr_dir, by_page)
     write_table(contents, contents_path, ["language"], mode="overwrite")
     return issues
 

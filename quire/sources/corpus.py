@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions.text import normalise_newlines
 from quire.plans.cleanup import PAGE_FOLDER_STEPS, SINGLE_FILE_STEPS, clean_text, merge_pages
+from quire.plans.pagewise import clean_pages_by_page
 
 
 def decoded_path(c):
@@ -90,12 +91,18 @@ def bad_pages(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("invalid page file name: "), F.col("file")).alias("reason"))
 
 
-def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output") -> tuple[DataFrame, DataFrame]:
+def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output",
+                  by_page: bool = False) -> tuple[DataFrame, DataFrame]:
     """S4 + F9: one cleaned content per book with its origin, by precedence:
     cached ``book_content.md`` (as is) > single ``<ocr_dir>`` markdown file
     (divs + tables) > folder of pages (merge, divs, repair, tables).
     Returns ``(contents, issues)``; a book with an invalid page name or with
-    no source at all is an issue, never a job failure."""
+    no source at all is an issue, never a job failure.
+
+    ``by_page=True`` gives a folder of pages as one row per page instead
+    (``page_id, n_pages, start_pos`` besides the content, see
+    :mod:`quire.plans.pagewise`), so no row holds a whole book; the other
+    origins are one piece at position 0 without a page id."""
     base = root.rstrip("/")
     cached = read_texts(spark, f"{base}/*/*/{fixed.CACHED_CONTENT_FILE}")
     cparts = F.split(_rel("path", root), "/")
@@ -115,11 +122,22 @@ def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output"
         pages = scan_pages(spark, root, ocr_dir)
         broken = pages.filter(F.col("page_id").isNull()).select("language", "book").distinct()
         good = pages.join(broken, ["language", "book"], "left_anti")
-        parts.append(clean_text(merge_pages(good, ["language", "book"]), PAGE_FOLDER_STEPS).select(
-            "language", "book", "content", F.lit(3).alias("rank"), F.lit("pages").alias("origin")))
-    cand = cached.unionByName(parts[0])
-    w = Window.partitionBy("language", "book").orderBy("rank")
-    contents = cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r", "rank")
+        if by_page:
+            pieces = clean_pages_by_page(good, ["language", "book"], tie_col="file")
+            parts.append(pieces.withColumn("rank", F.lit(3)).withColumn("origin", F.lit("pages")))
+        else:
+            merged = merge_pages(good, ["language", "book"], tie_col="file")
+            parts.append(clean_text(merged, PAGE_FOLDER_STEPS).select(
+                "language", "book", "content", F.lit(3).alias("rank"), F.lit("pages").alias("origin")))
+    if by_page:
+        whole = lambda df: df if "page_id" in df.columns else df.withColumns(
+            {"page_id": F.lit(None).cast("bigint"), "n_pages": F.lit(0).cast("bigint"), "start_pos": F.lit(0).cast("bigint")})
+        rest = whole(parts[0]).join(cached.select("language", "book"), ["language", "book"], "left_anti")
+        contents = whole(cached).unionByName(rest).drop("rank")
+    else:
+        cand = cached.unionByName(parts[0])
+        w = Window.partitionBy("language", "book").orderBy("rank")
+        contents = cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r", "rank")
     books = scan_books(spark, root)
     missing = books.join(contents.select("language", "book"), ["language", "book"], "left_anti").join(
         broken, ["language", "book"], "left_anti").select(

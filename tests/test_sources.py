@@ -38,6 +38,23 @@ def test_pages_and_contents(spark, tmp_path):
     assert ("b2", "pages") in reasons and ("b4", "content") in reasons and ("pt", "b2") not in c
 
 
+def test_contents_by_page(spark, tmp_path):
+    root = str(tmp_path / "books")
+    write(f"{root}/pt/b1/paddle_output/page_2.md", "sec-\r\nond <div alt=\"a")
+    write(f"{root}/pt/b1/paddle_output/page_1.md", "First line, hyphen-")
+    write(f"{root}/pt/b1/paddle_output/page_3.md", "b\"></div>end.")
+    write(f"{root}/pt/b1/paddle_output/a_3.md", "tie")
+    write(f"{root}/en/b3/book_content.md", "cached\ntext")
+    write(f"{root}/en/b3/paddle_output/p_1.md", "not used")
+    pieces, issues = corpus.book_contents(spark, root, by_page=True)
+    whole, _ = corpus.book_contents(spark, root)
+    got = sorted(((r.book, r.start_pos, r.page_id, r.origin, r.content) for r in pieces.collect()))
+    assert [x[:4] for x in got] == [("b1", 0, 1, "pages"), ("b1", 18, 2, "pages"), ("b3", 0, None, "cached")]
+    # pages 2, 3 and 3 share a div; files of one id follow each other by name
+    assert "".join(x[4] for x in got[:2]) == {r.book: r.content for r in whole.collect()}["b1"] == "First line, hyphensecond [A TIE B]end."
+    assert issues.count() == 0
+
+
 def test_page_id_rule(spark):
     names = ["page_001.md", "book_123.md", "page_0042.md", "page_001.txt", "page.md", "001.md", "X_1.MD"]
     df = spark.createDataFrame([(n,) for n in names], "f string")
