@@ -199,6 +199,7 @@ def count_windows(bits):
             first = np.empty(len(kept), np.int64)
             first[ids[::-1]] = np.arange(len(ids))[::-1]
             columns = [words.names.take(pa.array(lead[first] - 1, mask=lead[first] == 0)) for lead in leads]
+            columns[0] = columns[0].fill_null("")
             gram = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip")
             out = pa.RecordBatch.from_arrays([words.langs.take(pa.array(words.lang[first])).cast(pa.string()), gram.cast(pa.string()), pa.array(n)],
                                              ["lang", "gram", "n"])
