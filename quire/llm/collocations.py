@@ -7,16 +7,15 @@ with it, which Spark's ROLLUP takes over the lead columns.  No phrase length
 is exploded on its own.
 
 Most windows are unique and would be shuffled for nothing.  So a first pass
-fills a filter: every word and every pair of neighbours hashes to a cell, and a
-cell that is met less than ``min_count`` times holds none that frequent.  The
-second pass cuts each window before the first pair that the filter rules out (or
-leaves it without words, when its first is ruled out: it then counts for its
-language alone); nothing that is counted below can reach across the cut, as no
-phrase is more frequent than the words and pairs inside it.  The filter can only let too much pass, so counts stay exact.
+fills a filter: the prefixes of every window hash to cells, and a cell that is
+met less than ``min_count`` times holds none that frequent.  The second pass
+cuts each window behind its last prefix that the filter lets pass (one without
+any is left without words and counts for its language alone); no phrase that is
+counted below can reach across the cut, as it would be a prefix that frequent.  The filter can only let too much pass, so counts stay exact.
 It has a cell for every ``CELL_CHARS`` characters of text, up to ``MAX_CELLS``
 (a broadcast of 64 MB); beyond that it lets more through and the shuffle grows.
-Tasks send their cells as sparse blocks, as large as their distinct pairs at
-most, and a block is added up as a stream.
+Tasks send their cells as sparse blocks, three bytes for a distinct cell of a
+slice, and a block is added up as a stream.
 
 A candidate's parts occur at least as often as it does, so the rolled-up
 phrases of ``min_count`` hold every count that scores need.  They join the
@@ -114,14 +113,23 @@ class Words:
         self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
 
-    def cells(self, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells of all words, places of the words that have a next one, and
-        the cells of these pairs."""
+    def grams(self, cells: int, often=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``ORDER`` words: the places where so many words of a piece
+        begin, and their cells; with ``often`` only where it holds for the
+        cells of these words and of the shorter ones before."""
         hashed = lambda names: pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
-        place = lambda h: (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
-        word = hashed(self.names)[self.codes] + hashed(self.langs)[self.lang]
-        at = np.flatnonzero(self.joined)
-        return place(word), at, place(word[at] * np.uint64(0x9E3779B97F4A7C15) + word[at + 1])
+        word = hashed(self.names)[self.codes]
+        at, h = np.arange(len(word)), word + hashed(self.langs)[self.lang]
+        for k in range(ORDER):
+            if k:
+                on = self.joined[at + k - 1]
+                at, h = at[on], h[on]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + word[at + k]
+            cell = (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+            if often is not None:
+                on = often(cell)
+                at, h = at[on], h[on]
+            yield at, cell
 
 
 def filter_blocks(cells: int, min_count: int):
@@ -130,8 +138,7 @@ def filter_blocks(cells: int, min_count: int):
 
     def run(batches):
         for lang, text in slices(batches):
-            word, _, pair = Words(lang, text).cells(cells)
-            cell, n = np.unique(np.concatenate([word, pair]), return_counts=True)
+            cell, n = np.unique(np.concatenate([cell for _, cell in Words(lang, text).grams(cells)]), return_counts=True)
             block, first = np.unique(cell // BLOCK_CELLS, return_index=True)
             places = np.split((cell % BLOCK_CELLS).astype(np.uint16), first[1:])
             # counts are only asked whether they reach min_count
@@ -180,18 +187,11 @@ def count_windows(bits):
             if not len(words.codes):
                 continue
             often = lambda cell: (held[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            word, at, pair = words.cells(len(held) * 8)
-            goes_on = np.zeros(len(words.codes) + ORDER, bool)
-            goes_on[at] = often(pair)
             size = len(words.names) + 1
             # lead columns: 0 where the window has ended
-            alive = often(word)
-            leads = [np.where(alive, words.codes + 1, 0)]
-            for k in range(1, ORDER):
-                alive = alive & goes_on[k - 1:k - 1 + len(alive)]
-                lead = np.zeros(len(alive), np.int64)
-                lead[alive] = words.codes[np.flatnonzero(alive) + k] + 1
-                leads.append(lead)
+            leads = [np.zeros(len(words.codes), np.int64) for _ in range(ORDER)]
+            for k, (at, _) in enumerate(words.grams(len(held) * 8, often)):
+                leads[k][at] = words.codes[at + k] + 1
             ids = words.lang
             for lead in leads:
                 ids, kept = pd.factorize(ids * size + lead)
