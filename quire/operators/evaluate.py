@@ -4,10 +4,10 @@
 * ROUGE-N is an n-gram count per side, aggregated on (pair, gram) after one
   hash exchange on the pair key (the explode happens after the exchange, so
   only the pair rows travel, never the n-gram stream);
-* ROUGE-L needs a longest common subsequence: a bit-parallel LCS length in an
-  Arrow-batched pandas function, one pair per row (no cap on length);
-* the embedding match is max-cosine over vector blocks (numpy inside tasks),
-  blocks paired by an equi-join on the book key;
+* ROUGE-L needs a longest common subsequence: match points by an equi-join on
+  (pair, token), then the longest rising subsequence by patience sorting;
+* the embedding match is max-cosine over a grid of vector blocks (numpy inside
+  tasks), a fragment-and-replicate join on (book, block, block);
 * coherence is a two-level aggregation of per-sentence flags.
 """
 
@@ -17,11 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 from quire import fixed
-from quire.functions.text import rouge_tokens, sentences, strip
+from quire.functions.text import col_of, rouge_tokens, sentences, strip
+from quire.operators.scan import join_same
 
 
 # --- E1 / E2 --------------------------------------------------------------------
@@ -63,16 +62,24 @@ def ngrams(tokens: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def prf(overlap: Column, n_cand: Column, n_ref: Column, prefix: str) -> list[Column]:
+# decimals of scores; None leaves them as they are, for a sink that rounds
+DECIMALS = 6
+
+
+def rounded(c: Column, decimals: int | None) -> Column:
+    return c if decimals is None else F.round(c, decimals)
+
+
+def prf(overlap: Column, n_cand: Column, n_ref: Column, prefix: str, decimals: int | None = DECIMALS) -> list[Column]:
     p = F.when(n_cand > 0, overlap / n_cand).otherwise(F.lit(0.0))
     r = F.when(n_ref > 0, overlap / n_ref).otherwise(F.lit(0.0))
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return [F.round(p, 6).alias(f"{prefix}_p"), F.round(r, 6).alias(f"{prefix}_r"),
-            F.round(f, 6).alias(f"{prefix}_f")]
+    return [rounded(c, decimals).alias(f"{prefix}_{n}") for n, c in (("p", p), ("r", r), ("f", f))]
 
 
 def rouge_n(pairs: DataFrame, keys: list[str], n: int, cand_col: str = "candidate",
-            ref_col: str = "reference", tokens=rouge_tokens, prepartitioned: bool = False) -> DataFrame:
+            ref_col: str = "reference", tokens=rouge_tokens, prepartitioned: bool = False,
+            decimals: int | None = DECIMALS) -> DataFrame:
     """Clipped n-gram overlap; precision over candidate n-grams, recall
     over reference n-grams (reference is the first argument in the original
     scorer, candidate the second).  ``prepartitioned=True`` skips the exchange
@@ -92,98 +99,113 @@ def rouge_n(pairs: DataFrame, keys: list[str], n: int, cand_col: str = "candidat
         F.coalesce(F.sum("x.c"), F.lit(0)).alias("c"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("r"))
     per_pair = per_gram.groupBy(*keys).agg(
         F.sum(F.least("c", "r")).alias("overlap"), F.sum("c").alias("n_c"), F.sum("r").alias("n_r"))
-    return per_pair.select(*keys, *prf(F.col("overlap"), F.col("n_c"), F.col("n_r"), f"rouge{n}"))
+    return per_pair.select(*keys, *prf(F.col("overlap"), F.col("n_c"), F.col("n_r"), f"rouge{n}", decimals))
 
 
 # --- E5 ---------------------------------------------------------------------------
 
-def lcs_length(a, b) -> int:
-    """Length of the longest common subsequence of two token sequences.
+def match_points(tokens: DataFrame, keys: list[str], cand_col: str, ref_col: str) -> DataFrame:
+    """``keys, points``: for every pair the reference positions of the
+    candidate's tokens, in candidate order and falling within one token, so
+    that a chain of rising positions takes at most one of each.  Pairs without
+    a common token have no row."""
+    ref = tokens.select(*keys, F.posexplode_outer(ref_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    at = ref.groupBy(*keys, "t").agg(F.sort_array(F.collect_list("j"), asc=False).alias("js"))
+    cand = tokens.select(*keys, F.posexplode_outer(cand_col).alias("i", "t")).filter(F.col("t").isNotNull())
+    met = join_same(cand, at, [*keys, "t"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("m"))
+    return met.select(*keys, F.flatten(F.transform("m", lambda x: x["js"])).alias("points"))
 
-    Bit-parallel formulation (Allison-Dix / Hyyro): one machine-word pass per
-    token of ``a`` over a bit vector indexed by positions of ``b``; Python's
-    unbounded integers hold any length.
-    """
-    m = len(b)
-    if len(a) == 0 or m == 0:
-        return 0
-    match: dict = {}
-    for j, t in enumerate(b):
-        match[t] = match.get(t, 0) | (1 << j)
-    full = (1 << m) - 1
-    v = full
-    for t in a:
-        u = v & match.get(t, 0)
-        v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
 
+def rising_length(points) -> Column:
+    """Length of the longest strictly rising subsequence by patience sorting:
+    pile k holds the smallest end of a rising chain of k values, a value goes
+    on the first pile that is not smaller."""
+
+    def put(piles: Column, x: Column) -> Column:
+        # piles rise, so the place of x among them is its place once sorted in
+        at = F.array_position(F.sort_array(F.concat(piles, F.array(x))), x).cast("int")
+        return F.concat(F.slice(piles, 1, at - 1), F.array(x), F.slice(piles, at + 1, F.greatest(F.size(piles) - at, F.lit(0))))
 
-@pandas_udf(LongType())
-def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+    return F.aggregate(col_of(points), F.array().cast("array<int>"), put, F.size)
 
 
 def rouge_l(pairs: DataFrame, keys: list[str], cand_col: str = "candidate", ref_col: str = "reference",
-            tokens=rouge_tokens) -> DataFrame:
-    """E5: LCS over whole token lists (not per sentence); P/R/F as ROUGE-N."""
+            tokens=rouge_tokens, decimals: int | None = DECIMALS) -> DataFrame:
+    """E5: LCS over whole token lists (not per sentence); P/R/F as ROUGE-N.
+
+    A common subsequence is a chain of match points (a candidate and a
+    reference position with the same token) that rises in both, so its length
+    is that of the longest rising subsequence of the match points in candidate
+    order.  The points come from an equi-join on (pair, token)."""
     t = pairs.select(*keys, tokens(cand_col).alias("__c"), tokens(ref_col).alias("__r"))
-    t = t.select(*keys, _lcs_udf("__c", "__r").alias("lcs"),
-                 F.size("__c").alias("n_c"), F.size("__r").alias("n_r"))
-    return t.select(*keys, *prf(F.col("lcs"), F.col("n_c"), F.col("n_r"), "rougeL"))
+    lcs = match_points(t, keys, "__c", "__r").select(*keys, rising_length("points").alias("lcs"))
+    sized = join_same(t.select(*keys, F.size("__c").alias("n_c"), F.size("__r").alias("n_r")), lcs, keys, "left")
+    return sized.select(*keys, *prf(F.coalesce("lcs", F.lit(0)), F.col("n_c"), F.col("n_r"), "rougeL", decimals))
 
 
 # --- E6 ---------------------------------------------------------------------------
 
-BLOCK = 1024
+# vectors of a block; a cell of the grid is one block of either side
+BLOCK = 2048
+# books whose block counts are broadcast; more are joined by a shuffle, a book's vectors dealt over so many keys
+MAX_BROADCAST_BOOKS, BOOK_SALTS = 200_000, 64
 
 
-def _block_pair_best(batches):
-    """For every block pair: best cosine of each candidate against the
-    reference block and of each reference against the candidate block."""
+def _cell_best(batches):
+    """For every cell: best cosine of each candidate with the cell's
+    references and of each reference with its candidates."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            c = np.vstack(row.c_vecs).astype(np.float64)
-            r = np.vstack(row.r_vecs).astype(np.float64)
-            sims = c @ r.T
-            out.append(pd.DataFrame({"book": row.book, "side": 0, "vec_id": np.asarray(row.c_ids, dtype=np.int64),
-                                     "best": sims.max(axis=1)}))
-            out.append(pd.DataFrame({"book": row.book, "side": 1, "vec_id": np.asarray(row.r_ids, dtype=np.int64),
-                                     "best": sims.max(axis=0)}))
+            sims = np.vstack(row.c_vecs).astype(np.float64) @ np.vstack(row.r_vecs).astype(np.float64).T
+            for side, ids, best in ((0, row.c_ids, sims.max(axis=1)), (1, row.r_ids, sims.max(axis=0))):
+                out.append(pd.DataFrame({"book": [row.book] * len(best), "side": side, "vec_id": np.asarray(ids, dtype=np.int64), "best": best}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
 def embedding_match(vectors: DataFrame, book_col: str, side_col: str, id_col: str = "vec_id",
-                    vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+                    vec_col: str = "embedding", block: int = BLOCK, decimals: int | None = DECIMALS) -> DataFrame:
     """Per book, P = mean over candidate vectors (side 0) of the best
     cosine with any reference vector (side 1), R the reverse, F1 harmonic.
 
-    Vectors are unit-normalised JVM-side, grouped into hash blocks of about
-    ``block`` vectors per (book, side), and candidate blocks meet reference
-    blocks through an equi-join on the book; each block pair is one numpy
-    matrix product.  Memory per task is bounded by ``block``; a large book is
-    spread over many block pairs instead of one task.
+    Fragment and replicate: a book's candidates are dealt into blocks of about
+    ``block`` vectors, its references too, and each block is copied to all
+    blocks of the other side; (book, c_blk, r_blk) is one cell of the grid and
+    one numpy product.  Numbers of blocks come from an aggregate of counts, so
+    no join has the book alone as its key, and a book with a third of all
+    vectors is spread over all its cells.
     """
-    v = vectors.select(F.col(book_col).cast("bigint").alias("book"), F.col(side_col).cast("int").alias("side"),
+    book_type = vectors.schema[book_col].dataType.simpleString()
+    v = vectors.select(F.col(book_col).alias("book"), F.col(side_col).cast("int").alias("side"),
                        F.col(id_col).cast("bigint").alias("vid"), F.col(vec_col).alias("vec"))
+    of = lambda side: F.ceil(F.count_if(F.col("side") == side) / F.lit(block))
+    sizes = v.groupBy("book").agg(of(0).alias("c_n"), of(1).alias("r_n")).where("c_n > 0 and r_n > 0")
+    if sizes.limit(MAX_BROADCAST_BOOKS + 1).count() <= MAX_BROADCAST_BOOKS:
+        v = v.join(F.broadcast(sizes), "book")
+    else:
+        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BOOK_SALTS - 1))))
+        v = v.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(BOOK_SALTS)).cast("int")).join(salted, ["book", "salt"]).drop("salt")
     v = v.withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).withColumn(
         "__n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
     v = v.withColumn("vec", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("__n")), F.lit(0.0)))).drop("__n")
-    counts = v.groupBy("book", "side").agg(F.count("*").alias("__cnt"))
-    v = v.join(counts, ["book", "side"]).withColumn(
-        "blk", F.pmod(F.xxhash64("vid"), F.ceil(F.col("__cnt") / F.lit(block))))
-    blocks = v.groupBy("book", "side", "blk").agg(F.collect_list(F.struct("vid", "vec")).alias("m"))
-    c = blocks.filter(F.col("side") == 0).select("book", F.col("m.vid").alias("c_ids"), F.col("m.vec").alias("c_vecs"))
-    r = blocks.filter(F.col("side") == 1).select("book", F.col("m.vid").alias("r_ids"), F.col("m.vec").alias("r_vecs"))
-    best = c.join(r, "book").mapInPandas(_block_pair_best, "book long, side int, vec_id long, best double")
+    own = F.when(F.col("side") == 0, F.col("c_n")).otherwise(F.col("r_n"))
+    blocks = v.withColumn("blk", F.pmod(F.xxhash64("vid"), own)).groupBy("book", "side", "blk").agg(
+        F.first("c_n").alias("c_n"), F.first("r_n").alias("r_n"), F.collect_list(F.struct("vid", "vec")).alias("m"))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    c = blocks.where("side = 0").select("book", F.col("blk").alias("c_blk"), to_all("r_n").alias("r_blk"),
+                                        F.col("m.vid").alias("c_ids"), F.col("m.vec").alias("c_vecs"))
+    r = blocks.where("side = 1").select("book", to_all("c_n").alias("c_blk"), F.col("blk").alias("r_blk"),
+                                        F.col("m.vid").alias("r_ids"), F.col("m.vec").alias("r_vecs"))
+    cells = c.join(r, ["book", "c_blk", "r_blk"])
+    best = cells.mapInPandas(_cell_best, f"book {book_type}, side int, vec_id long, best double")
     per_vec = best.groupBy("book", "side", "vec_id").agg(F.max("best").alias("best"))
     per_side = per_vec.groupBy("book").agg(
         F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("p"),
         F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("r"))
     f = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
-    return per_side.select("book", F.round("p", 6).alias("bert_precision"), F.round("r", 6).alias("bert_recall"),
-                           F.round(f, 6).alias("bert_f1"))
+    return per_side.select("book", *[rounded(c, decimals).alias(f"bert_{n}") for n, c in
+                                     (("precision", F.col("p")), ("recall", F.col("r")), ("f1", f))])
 
 
 # --- E9 / E10 / E11 -------------------------------------------------------------------

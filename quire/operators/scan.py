@@ -17,6 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def join_same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols``, null being equal to null; columns of both sides by
+    name, ``cols`` once."""
+    names = {c: f"__j_{i}" for i, c in enumerate(cols)}
+    right = right.select(*[F.col(c).alias(names[c]) if c in names else c for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(right, same, how).drop(*names.values())
+
+
 # what a scan can carry; ``prev`` and ``next`` are structs that are null where
 # there is no neighbour, so a neighbour's null value can be told from none
 KINDS = ("prev", "next", "last_before", "first_after", "sum_before")
@@ -61,11 +70,8 @@ def two_level_scan(df: DataFrame, keys: list[str], block: str, order: list[str],
                 "first_after": lambda: F.last(c, ignorenulls=True).over(fall.rowsBetween(*before)),
                 "sum_before": lambda: F.coalesce(F.sum(c).over(rise.rowsBetween(*before)), F.lit(0))}[kind]()
 
-    edges = edges.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(at)],
-                         *[carried(n, k).alias(f"__c_{n}") for n, (k, _) in specs.items()])
-    rows = df.select("*", *[c.alias(f"__l_{n}") for n, c in local.items()])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{i}")) for i, c in enumerate(at)])
-    both = rows.join(edges, same)
+    edges = edges.select(*at, *[carried(n, k).alias(f"__c_{n}") for n, (k, _) in specs.items()])
+    both = join_same(df.select("*", *[c.alias(f"__l_{n}") for n, c in local.items()]), edges, at)
     out = []
     for name, (kind, _) in specs.items():
         a, b = F.col(f"__l_{name}"), F.col(f"__c_{name}")

@@ -17,6 +17,7 @@ from quire import oracle as O
 from quire.functions import prompts as P
 from quire.functions.text import replace_divs as _replace_divs
 from quire.operators.chunks import plan_splits as _plan_splits, target_size
+from quire.operators.longchunks import plan_line_splits, text_lines
 from quire.operators.repair import repair_blocks as _repair
 from quire.functions.text import clean_summary as _clean_summary
 from quire.operators import evaluate as EV
@@ -75,6 +76,12 @@ def chunk_targets(spark, sf_dir):
                     target_size("chunk").alias("target_size"))
 
 
+def plan_splits_lines(spark, sf_dir):
+    """The same plan from rows of lines: no text in one row."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return plan_line_splits(text_lines(docs, ["doc_id"]), ["doc_id"], MAX_CHUNK)
+
+
 SQL_CHUNK_TARGETS = f"""
 WITH s AS ({O.splits_sql('documents', 'doc_id', 'text', str(MAX_CHUNK))})
 SELECT s.doc_id, s.split_index, substr(d.text, s.initial_pos + 1, s.end_pos - s.initial_pos) AS chunk,
@@ -317,6 +324,24 @@ def rouge_l(spark, sf_dir):
     return EV.rouge_l(_pairs(spark, sf_dir), ["conv_id", "provider"])
 
 
+# Match points by a join, then patience piles in a list; tests/test_evaluate.py
+# holds the operator against the quadratic recurrence.
+SQL_ROUGE_L = f"""
+WITH p AS ({_SQL_PAIRS}),
+t AS (SELECT conv_id, provider, {O.rouge_tokens('candidate')} AS ct, {O.rouge_tokens('reference')} AS rt FROM p),
+c AS (SELECT conv_id, provider, unnest(ct) AS tok, generate_subscripts(ct, 1) AS i FROM t),
+r AS (SELECT conv_id, provider, unnest(rt) AS tok, generate_subscripts(rt, 1) AS j FROM t),
+m AS (SELECT conv_id, provider, list([j] ORDER BY i, j DESC) AS js FROM c JOIN r USING (conv_id, provider, tok) GROUP BY ALL),
+l AS (SELECT conv_id, provider, len(list_reduce(js, lambda piles, x:
+        piles[1:list_position(list_sort(piles || x), x[1]) - 1] || x || piles[list_position(list_sort(piles || x), x[1]) + 1:], []::BIGINT[])) AS lcs FROM m),
+x AS (SELECT t.conv_id, t.provider, coalesce(l.lcs, 0) AS o, len(ct) AS nc, len(rt) AS nr FROM t LEFT JOIN l USING (conv_id, provider)),
+y AS (SELECT *, CASE WHEN nc > 0 THEN o / nc ELSE 0.0 END AS pr, CASE WHEN nr > 0 THEN o / nr ELSE 0.0 END AS rc FROM x)
+SELECT conv_id, provider, round(pr, 6) AS "rougeL_p", round(rc, 6) AS "rougeL_r",
+       round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS "rougeL_f"
+FROM y
+"""
+
+
 def rouge_1_stemmed(spark, sf_dir):
     """E3 with the Porter stemmer on (rows-only check: no stemmer in the oracle engine)."""
     from quire.functions.stem import stemmed_rouge_tokens
@@ -327,7 +352,7 @@ def rouge_1_stemmed(spark, sf_dir):
 
 def embedding_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int"))
-    return EV.embedding_match(e, "label", "side").withColumnRenamed("book", "label")
+    return EV.embedding_match(e.withColumn("label", F.col("label").cast("bigint")), "label", "side").withColumnRenamed("book", "label")
 
 
 SQL_EMBEDDING_MATCH = """
@@ -566,6 +591,7 @@ SELECT doc_id, kind FROM need n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id
 QUERIES = {
     "repair_blocks": repair_blocks,
     "plan_splits": plan_splits,
+    "plan_splits_lines": plan_splits_lines,
     "chunk_targets": chunk_targets,
     "compress_round": compress_round,
     "adaptive_compress": adaptive_compress_all,
@@ -594,6 +620,7 @@ QUERIES = {
 ORACLES = {
     "repair_blocks": SQL_REPAIR_BLOCKS,
     "plan_splits": SQL_PLAN_SPLITS,
+    "plan_splits_lines": SQL_PLAN_SPLITS,
     "chunk_targets": SQL_CHUNK_TARGETS,
     "compress_round": SQL_COMPRESS_ROUND,
     "adaptive_compress": SQL_ADAPTIVE,
@@ -605,6 +632,7 @@ ORACLES = {
     "pair_reference": SQL_PAIR_REFERENCE,
     "rouge_1": _rouge_sql(1),
     "rouge_2": _rouge_sql(2),
+    "rouge_l": SQL_ROUGE_L,
     "embedding_match": SQL_EMBEDDING_MATCH,
     "coherence": SQL_COHERENCE,
     "collect_summaries": SQL_COLLECT_SUMMARIES,

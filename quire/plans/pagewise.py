@@ -24,15 +24,13 @@ of pages spreads over tasks.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions.text import replace_divs, replace_tables
 from quire.operators.repair import block_features, blocks, emit_block, join_rule
-from quire.operators.scan import two_level_scan
+from quire.operators.scan import join_same, two_level_scan
 from quire.session import written
 
 # pages that one first-level window holds
@@ -58,11 +56,6 @@ def tag_flags(text: Column, tag: str) -> tuple[Column, Column, Column]:
     return opens, settles, closes(text)
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Rows of one page; null keys are keys."""
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in [*keys, *PAGE]])
-
-
 def _runs(pages: DataFrame, keys: list[str], seam: Column | None = None) -> DataFrame | None:
     """(keys, __block, __n, __run) of the pages that share an element with a
     neighbour, ``__run`` being the first page of theirs; None if there are
@@ -87,7 +80,7 @@ def _join_runs(pages: DataFrame, runs: DataFrame | None, keys: list[str], sep: s
     kept = [*keys, *PAGE, "page", "text", "n_pages", "first", "last"]
     if runs is None:
         return pages.select(*kept)
-    both = pages.join(runs, _same(pages, runs, keys), "left").select(*[pages[c] for c in kept], "__run")
+    both = join_same(pages.select(*kept), runs, [*keys, *PAGE], "left")
     joined = (both.where(F.col("__run").isNotNull()).groupBy(*keys, "__run").agg(
         F.expr(f"listagg(text, '{sep}') WITHIN GROUP (ORDER BY __block, __n)").alias("text"), F.sum("n_pages").alias("n_pages"),
         F.bool_or("first").alias("first"), F.bool_or("last").alias("last"))

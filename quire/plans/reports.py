@@ -15,37 +15,42 @@ SCORE_COLUMNS = fixed.SCORE_COLUMNS
 
 
 def score_table(summaries: DataFrame, vectors: DataFrame | None, keys: list[str] = ("language", "book"),
-                provider_col: str = "provider") -> tuple[DataFrame, DataFrame]:
+                provider_col: str = "provider", lang_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """E1 + E4 + E5 + E6 -> E7: one row per (language, book, provider) with 12
     metrics.  ``vectors`` holds token vectors per summary text
     (``language, book, provider, vec_id, embedding``; the reference's vectors
     under the reference provider); without it the embedding metrics are null.
-    Returns ``(scores, skipped_books)``."""
+    With ``lang_col``, one of ``keys``, the language code (E2) stands in
+    ``lang``.  Scores are not rounded; the CSV sink does it once.  Returns
+    ``(scores, skipped_books)``."""
     keys = list(keys)
     pairs, skipped = EV.pair_with_reference(summaries, keys, provider_col)
     pk = keys + [provider_col]
     # stemmed tokens of both sides, made once per pair for all three scores
     stemmed = pairs.select(*pk, stemmed_rouge_tokens("candidate").alias("candidate"), stemmed_rouge_tokens("reference").alias("reference"))
-    as_is = {"tokens": F.col}
+    as_is = {"tokens": F.col, "decimals": None}
     r1 = EV.rouge_n(stemmed, pk, 1, **as_is)
     r2 = EV.rouge_n(stemmed, pk, 2, **as_is)
     rl = EV.rouge_l(stemmed, pk, **as_is)
     scores = r1.join(r2, pk).join(rl, pk)
     if vectors is not None:
         # candidate vectors (side 0) of each pair meet the reference vectors (side 1) of its book
-        ref = vectors.filter(F.col(provider_col) == "human").drop(provider_col)
-        cand = vectors.filter(F.col(provider_col) != "human")
+        ref = vectors.filter(F.col(provider_col) == fixed.REFERENCE_PROVIDER).drop(provider_col)
+        cand = vectors.filter(F.col(provider_col) != fixed.REFERENCE_PROVIDER)
         provs = pairs.select(*pk)
         both = (cand.join(provs, pk, "left_semi").withColumn("side", F.lit(0))
                 .unionByName(ref.join(provs, keys).withColumn("side", F.lit(1))))
-        both = both.withColumn("pair", F.concat_ws("\u0000", *[F.col(c).cast("string") for c in pk]))
-        keyed = both.withColumn("pair_id", F.xxhash64("pair"))
-        em = EV.embedding_match(keyed, "pair_id", "side").withColumnRenamed("book", "pair_id")
-        ids = keyed.select("pair_id", *pk).distinct()
-        scores = scores.join(em.join(ids, "pair_id").drop("pair_id"), pk, "left")
+        # a pair is named by its keys as they are
+        keyed = both.withColumn("pair", F.to_json(F.struct(*pk), {"ignoreNullFields": "false"}))
+        em = EV.embedding_match(keyed, "pair", "side", decimals=None).withColumnRenamed("book", "pair")
+        ids = keyed.select("pair", *pk).distinct()
+        scores = scores.join(em.join(ids, "pair").drop("pair"), pk, "left")
     else:
         for c in SCORE_COLUMNS[:3]:
             scores = scores.withColumn(c, F.lit(None).cast("double"))
+    if lang_col is not None:
+        scores = scores.withColumn("lang", EV.language_code(lang_col))
+        return scores.select(*pk, "lang", *SCORE_COLUMNS), skipped
     return scores.select(*pk, *SCORE_COLUMNS), skipped
 
 

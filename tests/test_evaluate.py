@@ -17,12 +17,19 @@ def lcs_dp(a, b):
     return dp[-1][-1]
 
 
-def test_lcs_matches_dp():
+def test_lcs_matches_dp(spark):
     rnd = random.Random(7)
-    for _ in range(300):
-        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 40))]
-        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 90))]
-        assert EV.lcs_length(a, b) == lcs_dp(a, b)
+    rows = [(i, [rnd.choice("abcd") for _ in range(rnd.randint(0, 40))], [rnd.choice("abcde") for _ in range(rnd.randint(0, 90))]) for i in range(200)]
+    rows.append((200, ["x"] * 300, ["x"] * 250))
+    df = spark.createDataFrame(rows, "k int, c array<string>, r array<string>")
+    got = {r.k: r.n for r in EV.match_points(df, ["k"], "c", "r").select("k", EV.rising_length("points").alias("n")).collect()}
+    assert {k: got.get(k, 0) for k, _, _ in rows} == {k: lcs_dp(c, r) for k, c, r in rows}
+
+
+def test_rouge_l_has_no_python_stage(spark):
+    df = spark.createDataFrame([(1, "a b", "b a")], "k int, candidate string, reference string")
+    plan = EV.rouge_l(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def toks(s):
@@ -94,6 +101,22 @@ def test_embedding_match_vs_numpy(spark):
         assert abs(got[book].bert_precision - p) < 2e-6 and abs(got[book].bert_recall - rc) < 2e-6
 
 
+def test_one_book_is_spread_over_a_grid(spark, monkeypatch):
+    """One book holds nearly all vectors: no join has the book alone as key,
+    with broadcast counts and without."""
+    rnd = np.random.default_rng(5)
+    rows = [("hot", i, i % 2, [float(x) for x in rnd.normal(size=4)]) for i in range(300)] + [("b", 900 + i, i, [1.0, 0.0, float(i), 0.0]) for i in range(2)]
+    df = spark.createDataFrame(rows + [("one side", 1000, 0, [1.0] * 4)], "book string, vec_id long, side int, embedding array<double>")
+    want = sorted(tuple(r) for r in EV.embedding_match(df, "book", "side", block=1000).collect())
+    assert [r[0] for r in want] == ["b", "hot"]
+    for most in (EV.MAX_BROADCAST_BOOKS, 0):
+        monkeypatch.setattr(EV, "MAX_BROADCAST_BOOKS", most)
+        got = EV.embedding_match(df, "book", "side", block=16)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "Broadcast" not in x]
+        assert joins and all("c_blk" in x or "salt" in x for x in joins)
+
+
 def test_coherence_two_levels(spark):
     rows = [("m1", 1, "Good one. Good one. No end"), ("m1", 2, "All fine."), ("m2", 3, "x")]
     df = spark.createDataFrame(rows, "provider string, book long, summary string")
