@@ -495,26 +495,30 @@ def book_summaries(spark, sf_dir):
                       F.when(F.length(F.btrim("summary")) > 0, "ok").otherwise("failed").alias("status"))
 
 
-# One round only: right for books whose first abstracts fit the window.
-SQL_BOOK_SUMMARIES = f"""
-WITH r AS ({O.repair_sql('documents', 'doc_id', 'text')}),
-a AS ({_round_sql('r', MAX_CHUNK)}),
-ok AS (SELECT doc_id, split_index, abstract, row_number() OVER (PARTITION BY doc_id ORDER BY split_index, abstract) AS rn
-       FROM a WHERE status = 'ok'),
-books AS (SELECT DISTINCT doc_id FROM a),
-v AS (SELECT b.doc_id, '{fixed.KIND_SUMMARY}' AS kind,
-             coalesce((SELECT string_agg(abstract, chr(10) || chr(10) ORDER BY rn) FROM ok WHERE ok.doc_id = b.doc_id), '') AS input
-      FROM books b
-      UNION ALL
-      SELECT b.doc_id, '{fixed.KIND_SUMMARY_NO_INTRO}',
-             coalesce((SELECT string_agg(abstract, chr(10) || chr(10) ORDER BY rn) FROM ok WHERE ok.doc_id = b.doc_id AND rn > 1), '')
-      FROM books b),
-vi AS (SELECT *, (length(input) // {fixed.TARGET_DIVISOR})::BIGINT AS target_size FROM v),
+def _summaries_sql() -> str:
+    """Rounds unrolled as for adaptive_compress; a book's splits are those of
+    the round that ended it.  A book open after the last round has no row."""
+    parts = [f"r1 AS ({O.repair_sql('documents', 'doc_id', 'text')})"]
+    for k in range(1, ORACLE_ROUNDS + 1):
+        parts += [f"a{k} AS ({_round_sql(f'r{k}', MAX_CHUNK)})", f"st{k} AS ({_joined_sql(f'a{k}', f'r{k}')})",
+                  f"r{k + 1} AS (SELECT doc_id, joined AS content FROM st{k} WHERE status = 'continue')"]
+    ended = " UNION ALL ".join(f"SELECT a.doc_id, split_index, abstract, a.status FROM a{k} a JOIN st{k} s USING (doc_id) WHERE s.status <> 'continue'"
+                               for k in range(1, ORACLE_ROUNDS + 1))
+    joined = lambda cond: f"coalesce(string_agg(abstract, chr(10) || chr(10) ORDER BY rn) FILTER (WHERE {cond}), '')"
+    return "WITH RECURSIVE " + ",\n".join(parts) + f""",
+a AS ({ended}),
+ranked AS (SELECT doc_id, abstract, status, row_number() OVER (PARTITION BY doc_id, status ORDER BY split_index, abstract) AS rn FROM a),
+v AS (SELECT doc_id, {joined("status = 'ok'")} AS whole, {joined("status = 'ok' AND rn > 1")} AS rest FROM ranked GROUP BY doc_id),
+vi AS (SELECT doc_id, '{fixed.KIND_SUMMARY}' AS kind, whole AS input, (length(whole) // {fixed.TARGET_DIVISOR})::BIGINT AS target_size FROM v
+       UNION ALL SELECT doc_id, '{fixed.KIND_SUMMARY_NO_INTRO}', rest, (length(rest) // {fixed.TARGET_DIVISOR})::BIGINT FROM v),
 e AS ({O.extractive_sql('vi', 'doc_id, kind', 'input', 'target_size')})
 SELECT doc_id, kind, abstract AS summary, CASE WHEN length(trim(abstract)) > 0 THEN 'ok' ELSE 'failed' END AS status FROM e
 """
 
 
+SQL_BOOK_SUMMARIES = _summaries_sql()
+
+
 # --- F1-F4: gating against existing outputs (labels = books already processed) ----------
 
 def _state_tables(spark, sf_dir):
