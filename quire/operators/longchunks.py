@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.chunks import check_max_chunk
 from quire.operators.scan import join_same, two_level_scan
-from quire.session import written
+from quire.session import ship_package, written
 
 BLOCK_CHARS = 1 << 20
 # lines, blocks and chunks in one first-level window
@@ -41,13 +41,13 @@ SCAN_ROWS = 1 << 14
 
 
 def line_positions(lines: DataFrame, keys: list[str], line_col: str, length_col: str) -> DataFrame:
-    """``keys, start, end, newline``: where every line stands, ``end`` behind
-    its newline; the last line of a text has none."""
+    """``keys, newline``: the position behind every line's characters.  The last
+    line of a text has no newline there; it may count as one all the same, as
+    the chunk that it would end ends with the text."""
     rows = lines.select(*keys, F.col(line_col).alias("__line"), F.col(length_col).cast("bigint").alias("__len"),
                         F.floor(F.col(line_col) / SCAN_ROWS).alias("__block")).withColumn("__step", F.col("__len") + 1)
-    placed = two_level_scan(rows, keys, "__block", ["__line"], {"start": ("sum_before", "__step"), "__behind": ("next", "__line")})
-    newline = F.col("__behind").isNotNull()
-    return placed.select(*keys, "start", (F.col("start") + F.col("__len") + newline.cast("bigint")).alias("end"), newline.alias("newline"))
+    placed = two_level_scan(rows, keys, "__block", ["__line"], {"start": ("sum_before", "__step")})
+    return placed.select(*keys, (F.col("start") + F.col("__len")).alias("newline"))
 
 
 def successors(newlines: np.ndarray, limit: int, block_end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +80,13 @@ def plan_line_splits(lines: DataFrame, keys: list[str], max_chunk: int, line_col
     newline): the same plan as for the joined text in one row.  A text without
     characters has no chunk.  The numbering has to be unique per key."""
     limit = check_max_chunk(max_chunk)
+    ship_package(lines.sparkSession)
     placed = written(line_positions(lines, keys, line_col, length_col), "splits-lines")
     at = [*keys, "blk"]
     schema = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
-    blk = F.floor((F.col("end") - 1) / block_chars)
+    blk = F.floor(F.col("newline") / block_chars)
     # newlines of a block, no more than its characters
-    blocks = written(placed.where("newline").groupBy(*keys, blk.alias("blk")).agg(
-        F.sort_array(F.collect_list(F.col("end") - 1)).alias("newlines")), "splits-blocks")
+    blocks = written(placed.groupBy(*keys, blk.alias("blk")).agg(F.sort_array(F.collect_list("newline")).alias("newlines")), "splits-blocks")
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,7 +96,7 @@ def plan_line_splits(lines: DataFrame, keys: list[str], max_chunk: int, line_col
                     found.insert(0, k, getattr(row, k))
                 yield found
 
-    texts = placed.groupBy(*keys).agg(F.max("end").alias("n")).where(F.col("n") > 0)
+    texts = placed.groupBy(*keys).agg(F.max("newline").alias("n")).where(F.col("n") > 0)
     first = texts.select(*keys, F.lit(limit).cast("bigint").alias("query"))
     asked = blocks.mapInPandas(exits, f"{schema}, query bigint").unionByName(first).distinct()
     # the block that answers a query: its own if a newline follows there, else the next that has any
@@ -150,10 +150,16 @@ def plan_line_splits(lines: DataFrame, keys: list[str], max_chunk: int, line_col
                 yield found
 
     entered = join_same(queries, made, [*keys, "query"], "left_semi")
-    cuts = answered(entered).mapInPandas(cut, f"{schema}, `end` bigint").unionByName(texts.select(*keys, F.col("n").alias("end"))).distinct()
-    cuts = written(cuts.withColumn("blk", F.floor(F.col("end") / block_chars)).withColumn("one", F.lit(1).cast("bigint")), "splits-cuts")
-    out = two_level_scan(cuts, keys, "blk", ["end"], {"before": ("prev", "end"), "split_index": ("sum_before", "one")})
-    return out.select(*keys, "split_index", F.coalesce("before.v", F.lit(0).cast("bigint")).alias("initial_pos"), F.col("end").alias("end_pos"))
+    cuts = answered(entered).mapInPandas(cut, f"{schema}, `end` bigint").distinct().withColumn("final", F.lit(None).cast("boolean"))
+    cuts = cuts.unionByName(texts.select(*keys, F.col("n").alias("end"), F.lit(True).alias("final")))
+    # one row for each end; the text's own end where a chunk ends there too
+    cuts = cuts.groupBy(*keys, "end").agg(F.max("final").alias("final")).withColumn("blk", F.floor(F.col("end") / block_chars))
+    cuts = written(cuts.withColumn("one", F.lit(1).cast("bigint")), "splits-cuts")
+    out = two_level_scan(cuts, keys, "blk", ["end"], {
+        "before": ("prev", "end"), "split_index": ("sum_before", "one"), "beyond": ("last_before", "final")})
+    # what ends behind the text was ended by the last line
+    return out.where(F.col("beyond").isNull()).select(
+        *keys, "split_index", F.coalesce("before.v", F.lit(0).cast("bigint")).alias("initial_pos"), F.col("end").alias("end_pos"))
 
 
 def text_lines(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

@@ -28,17 +28,6 @@ STOP_WORDS = {
 MIN_KEYWORD_LEN = 3
 TOP_KEYWORDS = 5
 
-# Default category lexicon (our own, weights per matching token occurrence).
-DEFAULT_LEXICON = [
-    ("history", "tion", 1.0), ("history", "ción", 1.0), ("history", "ung", 1.0),
-    ("philosophy", "ment", 1.0), ("philosophy", "mente", 1.0), ("philosophy", "heit", 1.0),
-    ("geography", "eau", 1.0), ("geography", "aux", 0.5), ("geography", "ber", 0.5),
-    ("literature", "ing", 1.0), ("literature", "ed", 0.5), ("literature", "elle", 0.5), ("literature", "ado", 0.5),
-    ("science", "er", 0.5), ("science", "ie", 0.5), ("science", "st", 0.5), ("science", "ar", 0.5),
-]
-CATEGORY_THRESHOLD = 2.0
-# a lexicon is broadcast only up to this many rows; beyond it Spark plans the join
-MAX_BROADCAST_LEXICON = 200_000
 TOP_CATEGORIES = 5
 
 
@@ -47,10 +36,6 @@ def stop_words_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, term string")
 
 
-def lexicon_df(spark: SparkSession, lexicon=None) -> DataFrame:
-    return spark.createDataFrame(lexicon or DEFAULT_LEXICON, "category string, term string, weight double")
-
-
 def term_counts(books: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, term, tf) after one exchange on the first key (the book; the
     explode happens after it, and later per-book windows reuse it)."""
@@ -114,21 +99,69 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
                     F.round("score", 6).alias("score"))
 
 
-def categories(spark: SparkSession, books: DataFrame, book_col: str, text_col: str, lexicon=None,
-               threshold: float = CATEGORY_THRESHOLD, top: int = TOP_CATEGORIES) -> DataFrame:
-    """G7 native: weighted lexicon match.  The lexicon's row count is known on
-    the driver: up to ``MAX_BROADCAST_LEXICON`` rows it is broadcast and book
-    terms never shuffle for it; a larger one is left to a planned join."""
+# --- G7: categories by naive Bayes -----------------------------------------------
+
+# A class is proposed if its posterior is at least this share of the best one's.
+CATEGORY_SHARE = 0.1
+# Classes of a model: a fixed list of fields, held on the driver.
+MAX_CLASSES = 1_000
+
+
+def train_categories(books: DataFrame, book_col: str, text_col: str, class_col: str) -> tuple[DataFrame, DataFrame]:
+    """Naive Bayes as two tables of counts: ``(terms, classes)`` with
+    ``term, category, n`` (occurrences) and ``category, n_books, n_terms,
+    n_vocabulary`` (distinct terms of all classes).  ``books`` are the labelled
+    ones; a book may carry several classes in several rows.  Rows without
+    text or class teach nothing."""
+    known = books.where(F.col(class_col).isNotNull() & F.col(text_col).isNotNull())
+    words = known.select(F.col(class_col).alias("category"), F.explode_outer(word_tokens(text_col)).alias("term")).where(F.col("term").isNotNull())
+    terms = words.groupBy("term", "category").agg(F.count("*").alias("n"))
+    vocabulary = terms.agg(F.count_distinct("term").alias("n_vocabulary"))
+    sums = terms.groupBy("category").agg(F.sum("n").alias("n_terms"))
+    classes = known.groupBy(F.col(class_col).alias("category")).agg(F.count("*").alias("n_books")).join(sums, "category", "left")
+    # one row on the right: the size of the vocabulary
+    classes = classes.withColumn("one", F.lit(1)).join(F.broadcast(vocabulary.withColumn("one", F.lit(1))), "one").drop("one")
+    return terms, classes.withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
+
+
+def categories(books: DataFrame, book_col: str, text_col: str, model: tuple[DataFrame, DataFrame],
+               share: float = CATEGORY_SHARE, top: int = TOP_CATEGORIES) -> DataFrame:
+    """G7 native: the most probable classes of every book, ``book, rank,
+    category, score`` (score: posterior probability, best first, ties by name).
+
+    Log posterior of a class: ln(its share of books) plus, for every occurrence
+    of a term that any class knows, ln((n + 1) / (n_terms + n_vocabulary)).  The
+    log of an unseen term is the same for all terms of a class, so a book needs
+    the count of its known occurrences times that, and a correction only where
+    (term, class) was seen: one join with the count table, one sum.  A term that
+    all classes know meets one row per class, whatever the number of books.
+    """
+    terms, classes = model
+    fields = classes.orderBy("category").limit(MAX_CLASSES + 1).collect()
+    if len(fields) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    all_books = sum(r.n_books for r in fields)
+    each = F.array(*[F.struct(F.lit(r.category).alias("category"), F.log(F.lit(r.n_books) / F.lit(all_books)).alias("prior"),
+                              F.lit(r.n_terms + r.n_vocabulary).alias("size")) for r in fields])
+    if not fields:
+        each = F.array().cast("array<struct<category:string,prior:double,size:bigint>>")
     tf = term_counts(books.select(book_col, text_col), [book_col], text_col)
-    rows = lexicon or DEFAULT_LEXICON
-    lex = lexicon_df(spark, rows)
-    if len(rows) <= MAX_BROADCAST_LEXICON:          # size known on the driver
-        lex = F.broadcast(lex)
-    s = tf.join(lex, "term").groupBy(book_col, "category").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
-    s = s.filter(F.col("score") >= threshold)
-    w = Window.partitionBy(book_col).orderBy(F.col("score").desc(), F.col("category"))
-    r = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return r.select(book_col, F.col("rank").cast("bigint").alias("rank"), "category", F.round("score", 6).alias("score"))
+    # all seen classes of a term with its counts, in one row per term
+    seen = terms.groupBy("term").agg(F.collect_list(F.struct("category", "n")).alias("seen"))
+    hit = tf.join(seen, "term")
+    per_book = hit.groupBy(book_col).agg(F.sum("tf").alias("known"))
+    gains = (hit.select(book_col, "tf", F.explode("seen").alias("s")).groupBy(book_col, "s.category")
+             .agg(F.sum(F.col("tf") * F.log(F.col("s.n") + 1)).alias("gain")))
+    known = books.select(book_col).join(per_book, book_col, "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    all_classes = known.select("*", F.inline(each))
+    scored = all_classes.join(gains, [book_col, "category"], "left").withColumn(
+        "log", F.round(F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.col("known") * F.log("size"), 9))
+    of_book = Window.partitionBy(book_col)
+    best = scored.withColumn("up", F.exp(F.col("log") - F.max("log").over(of_book)))
+    ranked = best.withColumn("score", F.col("up") / F.sum("up").over(of_book)).withColumn(
+        "rank", F.row_number().over(of_book.orderBy(F.desc("log"), "category")))
+    return ranked.where((F.col("rank") <= top) & (F.col("up") >= share)).select(
+        book_col, F.col("rank").cast("bigint").alias("rank"), "category", F.round("score", 6).alias("score"))
 
 
 def as_answer(items: DataFrame, book_col: str, item_col: str) -> DataFrame:

@@ -451,18 +451,30 @@ SELECT doc_id, rank::BIGINT AS rank, term AS keyword, round(score, 6) AS score F
 
 
 def book_categories(spark, sf_dir):
+    """Learned from the labelled documents, proposed for all."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return TK.categories(spark, d, "doc_id", "text")
+    labels = read(spark, sf_dir, "labels")
+    field = F.when(F.col("toxic") == 1, "offensive").when(F.col("quality") == 1, "prose").otherwise("junk")
+    known = d.join(labels.select("doc_id", field.alias("class")), "doc_id")
+    return TK.categories(d, "doc_id", "text", TK.train_categories(known, "doc_id", "text", "class"))
 
 
 SQL_BOOK_CATEGORIES = f"""
-WITH t AS (SELECT doc_id, unnest({O.word_tokens('text')}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-s AS (SELECT doc_id, category, sum(weight * tf) AS score
-      FROM tf JOIN {_values(TK.DEFAULT_LEXICON, ['category', 'term', 'weight'])} l USING (term) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rank
-      FROM s WHERE score >= {TK.CATEGORY_THRESHOLD})
-SELECT doc_id, rank::BIGINT AS rank, category, round(score, 6) AS score FROM r WHERE rank <= {TK.TOP_CATEGORIES}
+WITH known AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'offensive' WHEN quality = 1 THEN 'prose' ELSE 'junk' END AS category
+               FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT category, unnest({O.word_tokens('text')}) AS term FROM known),
+terms AS (SELECT term, category, count(*) AS n FROM w GROUP BY ALL),
+classes AS (SELECT category, (SELECT count(*) FROM known k WHERE k.category = c.category) / (SELECT count(*) FROM known) AS share,
+                   coalesce((SELECT sum(n) FROM terms t WHERE t.category = c.category), 0) + (SELECT count(DISTINCT term) FROM terms) AS size
+            FROM (SELECT DISTINCT category FROM known) c),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({O.word_tokens('text')}) AS term FROM documents) GROUP BY ALL),
+gain AS (SELECT doc_id, category, sum(tf * ln(n + 1)) AS gain FROM tf JOIN terms USING (term) GROUP BY ALL),
+hits AS (SELECT doc_id, sum(tf) AS known FROM tf WHERE term IN (SELECT term FROM terms) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, c.category, round(ln(share) + coalesce(gain, 0) - coalesce(known, 0) * ln(size), 9) AS l
+           FROM documents d CROSS JOIN classes c LEFT JOIN gain USING (doc_id, category) LEFT JOIN hits USING (doc_id)),
+up AS (SELECT *, exp(l - max(l) OVER (PARTITION BY doc_id)) AS u FROM scored),
+r AS (SELECT *, u / sum(u) OVER (PARTITION BY doc_id) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, category) AS rank FROM up)
+SELECT doc_id, rank::BIGINT AS rank, category, round(score, 6) AS score FROM r WHERE rank <= {TK.TOP_CATEGORIES} AND u >= {TK.CATEGORY_SHARE}
 """
 
 
