@@ -9,7 +9,7 @@ vectors, book = ``label``, candidate side = even ``vec_id``, reference = odd.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import fixed
@@ -22,6 +22,7 @@ from quire.operators.repair import repair_blocks as _repair
 from quire.functions.text import clean_summary as _clean_summary
 from quire.operators import evaluate as EV
 from quire.operators import gating as G
+from quire.operators import generate as GN
 from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round, last_abstracts
@@ -531,6 +532,29 @@ SELECT doc_id, kind, abstract AS summary, CASE WHEN length(trim(abstract)) > 0 T
 SQL_BOOK_SUMMARIES = _summaries_sql()
 
 
+# --- G2: the retry policy over a table of calls ------------------------------------------
+
+def retry_schedule(spark, sf_dir):
+    """A call table out of the documents: each fails for a passing reason
+    ``doc_id % 9`` times and ends well, or badly for every fifth; the statuses
+    and the seconds that a prompt has waited before each call."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 9 + 1).cast("int"))).alias("attempt"))
+    outcome = F.when(F.col("attempt") <= F.col("doc_id") % 9, GN.PASSING).when(F.col("doc_id") % 5 == 0, GN.FINAL).otherwise(GN.GOOD)
+    calls = GN.with_policy(d.withColumn("outcome", outcome), 7, F.lit(0.0)).where(F.col("attempt") <= 7)
+    w = Window.partitionBy("doc_id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    return calls.select("doc_id", "attempt", "status", F.coalesce("not_before", F.lit(0.0)).alias("wait"),
+                        F.coalesce(F.sum("not_before").over(w), F.lit(0.0)).alias("waited"))
+
+
+SQL_RETRY_SCHEDULE = f"""
+WITH calls AS (SELECT doc_id, unnest(range(1, doc_id % 9 + 2)) AS k FROM documents),
+s AS (SELECT doc_id, k, CASE WHEN k > doc_id % 9 THEN (CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END)
+                             WHEN k >= 7 THEN 'failed' ELSE 'waiting' END AS status FROM calls WHERE k <= 7),
+w AS (SELECT *, CASE WHEN status = 'waiting' THEN {fixed.RETRY_BASE_SECONDS} * 2.0 ** least(k - 1, {fixed.RETRY_MAX_DOUBLINGS}) ELSE 0 END AS wait FROM s)
+SELECT doc_id, k::INTEGER AS attempt, status, wait::DOUBLE AS wait, (sum(wait) OVER (PARTITION BY doc_id ORDER BY k) - wait)::DOUBLE AS waited FROM w
+"""
+
+
 # --- F1-F4: gating against existing outputs (labels = books already processed) ----------
 
 def _state_tables(spark, sf_dir):
@@ -629,6 +653,7 @@ QUERIES = {
     "book_categories": book_categories,
     "keyword_lines": keyword_lines,
     "book_summaries": book_summaries,
+    "retry_schedule": retry_schedule,
     "eligibility": eligibility,
     "todo_outputs": todo_outputs,
 }
@@ -657,6 +682,7 @@ ORACLES = {
     "book_categories": SQL_BOOK_CATEGORIES,
     "keyword_lines": SQL_KEYWORD_LINES,
     "book_summaries": SQL_BOOK_SUMMARIES,
+    "retry_schedule": SQL_RETRY_SCHEDULE,
     "eligibility": SQL_ELIGIBILITY,
     "todo_outputs": SQL_TODO_OUTPUTS,
 }

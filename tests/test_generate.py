@@ -1,8 +1,9 @@
-"""Retry policy and batch generation with a fake model."""
+"""The retry queue, its policy and batch generation with fake models."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.generate import call_with_retry, generate, is_retryable, retry_wait
+from quire.operators.generate import FINAL, GOOD, PASSING, generate, last_attempts, outcome_of, wait_seconds, with_policy
 
 
 class ApiError(Exception):
@@ -15,63 +16,102 @@ class ReadTimeout(Exception):
     pass
 
 
-def scripted(outcomes):
-    """A call that plays back outcomes (exceptions or answers) in order."""
-    calls = {"n": 0}
+class Clock:
+    """The driver's time; waiting is noted and passes at once."""
 
-    def call():
-        i = calls["n"]
-        calls["n"] += 1
-        o = outcomes[min(i, len(outcomes) - 1)]
-        if isinstance(o, Exception):
-            raise o
-        return o
-    return call, calls
+    def __init__(self):
+        self.now, self.waits = 1000.0, []
 
+    def time(self):
+        return self.now
 
-def run(outcomes, limit):
-    waits = []
-    call, calls = scripted(outcomes)
-    res = call_with_retry(call, limit, sleep=waits.append)
-    return res, calls["n"], waits
+    def sleep(self, seconds):
+        self.waits.append(round(seconds, 6))
+        self.now += seconds
 
 
-def test_retry_then_success():
-    (text, status, _, attempts), n, waits = run([ApiError(429), "good"], 2)
-    assert (text, status, attempts, n, waits) == ("good", "ok", 2, 2, [5])
-
-
-def test_unlimited():
-    (text, status, _, _), n, waits = run([ApiError(429)] * 5 + ["good"], -1)
-    assert (text, status, n) == ("good", "ok", 6)
-    assert waits == [5, 10, 20, 40, 80]
-
-
-def test_gives_up_after_limit():
-    (_, status, err, _), n, _ = run([ApiError(503)], 3)
-    assert (status, n) == ("failed", 3) and "503" in err
-
-
-def test_zero_and_one_mean_one_attempt():
-    for limit in (0, 1):
-        (_, status, _, _), n, waits = run([ApiError(503)], limit)
-        assert (status, n, waits) == ("failed", 1, [])
-
-
-def test_non_retryable_fails_at_once():
-    (_, status, _, _), n, waits = run([ApiError(400)], 5)
-    assert (status, n, waits) == ("failed", 1, [])
-
-
-def test_blank_answer_is_not_retried():
-    for limit in (1, 3):
-        (_, status, err, _), n, waits = run(["   "], limit)
-        assert (status, n, waits) == ("failed", 1, []) and "empty" in err
-
-
-def test_classification_and_waits():
-    assert is_retryable(ReadTimeout()) and is_retryable(ApiError(502)) and not is_retryable(ValueError())
-    assert [retry_wait(k) for k in range(8)] == [5, 10, 20, 40, 80, 160, 160, 160]
+def scripted(folder, plans):
+    """A model that plays back, per prompt, codes to fail with and then an
+    answer; calls are counted in files, as tasks share nothing else."""
+    def model(prompts):
+        import os
+
+        class HttpError(Exception):
+            pass
+
+        out = []
+        for p in prompts:
+            codes, answer = plans[p]
+            at = os.path.join(folder, p)
+            n = os.path.getsize(at) if os.path.exists(at) else 0
+            with open(at, "a") as f:
+                f.write("x")
+            if n < len(codes) or codes[-1:] == ["always"]:
+                e = HttpError(f"status {codes[min(n, len(codes) - 2)] if codes[-1:] == ['always'] else codes[n]}")
+                e.status_code = codes[min(n, len(codes) - 2)] if codes[-1:] == ["always"] else codes[n]
+                raise e
+            out.append(answer)
+        return out
+    return model
+
+
+def run(spark, tmp_path, plans, limit):
+    clock = Clock()
+    calls = tmp_path / "calls"
+    calls.mkdir(exist_ok=True)
+    df = spark.createDataFrame([(p, p) for p in plans], "k string, prompt string")
+    out = generate(df, scripted(str(calls), plans), ["k"], max_attempts=limit, sleep=clock.sleep, clock=clock.time, num_partitions=2,
+                   workdir=str(tmp_path / "queue"))
+    rows = {r.k: (r.text, r.status, r.attempts) for r in out.collect()}
+    return rows, {p: len((calls / p).read_text()) for p in plans}, clock.waits
+
+
+def test_fails_nine_times_and_ends_ok(spark, tmp_path):
+    """Unlimited retries: no task waits, the driver does between the waves."""
+    rows, calls, waits = run(spark, tmp_path, {"hard": ([429] * 9, "good"), "easy": ([], "fine"), "bad": ([400, 429], "never")}, -1)
+    assert rows == {"hard": ("good", "ok", 10), "easy": ("fine", "ok", 1), "bad": (None, "failed", 1)}
+    assert calls == {"hard": 10, "easy": 1, "bad": 1}
+    assert waits == [5, 10, 20, 40, 80, 160, 160, 160, 160]
+    attempts = spark.read.parquet(str(tmp_path / "queue" / "attempts"))
+    assert attempts.count() == 12 and last_attempts(attempts).count() == 3
+
+
+def test_limits(spark, tmp_path):
+    rows, calls, waits = run(spark, tmp_path, {"a": ([503, "always"], ""), "b": ([429], "good"), "c": ([], "  ")}, 3)
+    assert rows == {"a": (None, "failed", 3), "b": ("good", "ok", 2), "c": (None, "failed", 1)} and calls == {"a": 3, "b": 2, "c": 1}
+    assert waits == [5, 10]
+
+
+def test_the_queue_outlives_a_session(spark, tmp_path):
+    """A run that dies while it waits: the next goes on with what is waiting."""
+    plans = {"x": ([503, 503], "late"), "y": ([], "early")}
+
+    class Killed(Exception):
+        pass
+
+    def dies(_):
+        raise Killed
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    df = spark.createDataFrame([(p, p) for p in plans], "k string, prompt string")
+    with pytest.raises(Killed):
+        generate(df, scripted(str(calls), plans), ["k"], sleep=dies, clock=lambda: 1000.0, num_partitions=2, workdir=str(tmp_path / "queue"))
+    rows, counted, waits = run(spark, tmp_path, plans, 6)
+    assert rows == {"x": ("late", "ok", 3), "y": ("early", "ok", 1)} and counted == {"x": 3, "y": 1}
+    assert waits == [5, 10]
+
+
+@pytest.mark.parametrize("limit,want", [(0, "failed"), (1, "failed"), (2, "waiting"), (-1, "waiting")])
+def test_policy_of_the_first_failure(spark, limit, want):
+    df = spark.createDataFrame([(1, PASSING), (1, FINAL), (1, GOOD)], "attempt int, outcome string")
+    got = [(r.status, r.not_before) for r in with_policy(df, limit, F.lit(100.0)).collect()]
+    assert got == [(want, 105.0 if want == "waiting" else None), ("failed", None), ("ok", None)]
+
+
+def test_outcomes_and_waits(spark):
+    assert [outcome_of(x)[0] for x in (ReadTimeout(), ApiError(502), ValueError(), ApiError(400), "", "  ", None, "x")] == [
+        PASSING, PASSING, FINAL, FINAL, FINAL, FINAL, FINAL, GOOD]
+    assert [r.w for r in spark.range(1, 9).coalesce(1).select(wait_seconds(F.col("id")).alias("w")).collect()] == [5, 10, 20, 40, 80, 160, 160, 160]
 
 
 def test_generate_over_dataframe(spark):
@@ -97,5 +137,16 @@ def test_registry():
 
 def test_prompts_are_spread_although_they_are_small(spark):
     prompts = spark.createDataFrame([(i, "x" * 2000) for i in range(200)], "k long, prompt string")
-    out = generate(prompts, lambda ps: ps, ["k"])
-    assert out.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+    def model(ps):
+        from pyspark import TaskContext
+        return [str(TaskContext.get().partitionId()) for _ in ps]
+    assert generate(prompts, model, ["k"]).select("text").distinct().count() >= 4
+
+
+def test_named_models_and_equal_rows(spark):
+    prompts = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (2, None)], "k long, prompt string")
+    rows = sorted((r.k, r.text, r.status) for r in generate(prompts, "native", ["k"]).collect())
+    assert rows == [(1, "b", "ok"), (1, "b", "ok"), (2, None, "failed")]
+    with pytest.raises(ValueError, match="native"):
+        generate(prompts, "nope", ["k"])
