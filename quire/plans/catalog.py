@@ -27,7 +27,9 @@ from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round, last_abstracts
 from quire.plans.pagewise import clean_pages_by_page
+from quire.plans import reports as RP
 from quire.session import ship_package, shared_dir, table_path
+from quire.sources.corpus import fill_down
 
 MAX_CHUNK = 2000
 # context window (characters) for the adaptive compression query
@@ -407,6 +409,35 @@ def _clean_summary_sql(col: str) -> str:
 SQL_COLLECT_SUMMARIES = f"SELECT source AS provider, lang, doc_id, {_clean_summary_sql('text')} AS summary FROM documents"
 
 
+def _books_by_source(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("provider"), (F.col("doc_id") % 97).alias("book"), F.col("text").alias("summary"))
+
+
+def missing_summaries(spark, sf_dir):
+    s = _books_by_source(spark, sf_dir)
+    return RP.missing_summaries(s, G.select_providers(s.where("provider is not null"), None), ["book"])
+
+
+SQL_MISSING_SUMMARIES = """
+WITH s AS (SELECT source AS provider, doc_id % 97 AS book, text FROM documents)
+SELECT book, provider FROM (SELECT DISTINCT book FROM s) b CROSS JOIN (SELECT DISTINCT provider FROM s WHERE provider IS NOT NULL) p
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book = b.book AND s.provider = p.provider AND s.text IS NOT NULL)
+"""
+
+
+# --- S5: fill-down over the documents, of which four in five lose their language -----------
+
+def filled_languages(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise("").alias("lang"))
+    return fill_down(d.withColumn("block", F.floor(F.col("doc_id") / 1000)), "lang", [], "block", ["doc_id"]).select("doc_id", "lang")
+
+
+SQL_FILLED_LANGUAGES = """
+SELECT doc_id, last_value(CASE WHEN doc_id % 5 = 0 AND trim(lang) <> '' THEN lang END IGNORE NULLS) OVER (ORDER BY doc_id) AS lang FROM documents
+"""
+
+
 # --- S7 -------------------------------------------------------------------------------
 
 def providers_first_wins(spark, sf_dir):
@@ -648,6 +679,8 @@ QUERIES = {
     "embedding_match": embedding_match,
     "coherence": coherence,
     "collect_summaries": collect_summaries,
+    "missing_summaries": missing_summaries,
+    "filled_languages": filled_languages,
     "providers_first_wins": providers_first_wins,
     "book_keywords": book_keywords,
     "book_categories": book_categories,
@@ -677,6 +710,8 @@ ORACLES = {
     "embedding_match": SQL_EMBEDDING_MATCH,
     "coherence": SQL_COHERENCE,
     "collect_summaries": SQL_COLLECT_SUMMARIES,
+    "missing_summaries": SQL_MISSING_SUMMARIES,
+    "filled_languages": SQL_FILLED_LANGUAGES,
     "providers_first_wins": SQL_PROVIDERS_FIRST_WINS,
     "book_keywords": SQL_BOOK_KEYWORDS,
     "book_categories": SQL_BOOK_CATEGORIES,

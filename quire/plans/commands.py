@@ -19,11 +19,11 @@ from quire.operators.gating import of_provider
 from quire.operators.generate import MODELS
 from quire.operators.layout import layout_issues, plan_layout
 from quire.plans.compress import adaptive_compress
-from quire.plans.reports import provider_report, score_table, write_score_table
+from quire.plans.reports import missing_summaries, provider_report, score_table, write_score_table
 from quire.plans.tasks import prompted_chunk_model, run_book_task
 from quire.sinks import append_missing_outputs, write_table
 from quire.sources.corpus import book_contents, list_files
-from quire.sources.summaries import read_summaries
+from quire.sources.summaries import discover_providers, read_summaries, summary_paths
 
 KEYS = ["language", "book"]
 
@@ -80,22 +80,31 @@ def book_task(spark: SparkSession, task: str, books: DataFrame, splits: DataFram
 
 
 def evaluate_summaries(spark: SparkSession, results_root: str, out_csv: str | None = None,
-                       vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Reference-based scores (E1-E7) for every provider's summary."""
-    scores, skipped = score_table(read_summaries(spark, results_root), vectors)
+                       vectors: DataFrame | None = None, with_language: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Reference-based scores (E1-E7) for every provider's summary;
+    ``with_language`` adds the language code (E2)."""
+    scores, skipped = score_table(read_summaries(spark, results_root), vectors, lang_col="language" if with_language else None)
     if out_csv:
         write_score_table(scores, out_csv)
     return scores, skipped
 
 
 def coherence_report(spark: SparkSession, results_root: str, out_csv: str | None = None,
-                     providers: list[str] | None = None) -> DataFrame:
-    """Coherence per provider (E8-E11) with the native sentence flags."""
+                     providers: list[str] | None = None, missing_path: str | None = None) -> DataFrame:
+    """Coherence per provider (E8-E11) with the native sentence flags.
+    Providers have short names (S7) and include the reference summaries;
+    ``missing_path`` takes the books without a summary of a chosen provider."""
     from quire.operators.gating import select_providers
     from quire.functions.text import clean_summary
 
-    s = read_summaries(spark, results_root).filter(F.col("provider") != fixed.REFERENCE_PROVIDER)
-    chosen = select_providers(s.select("provider").distinct(), providers)
-    s = s.filter(F.col("provider").isin(*chosen)).withColumn("summary", clean_summary("summary"))
+    paths = summary_paths(spark, results_root)
+    # short names, the human summaries among them; the first path of a name stands for it
+    found = discover_providers(paths).where(F.col("provider").isNotNull())
+    chosen = select_providers(found, providers)
+    known = found.where(F.col("provider").isin(*chosen)).select(F.col("provider").alias("short"), F.col("relpath").alias("provider"))
+    s = read_summaries(spark, results_root).join(known, "provider").drop("provider").withColumnRenamed("short", "provider")
+    s = s.withColumn("summary", clean_summary("summary"))
+    if missing_path:
+        write_table(missing_summaries(s, chosen, KEYS), missing_path, mode="overwrite")
     flags = EV.sentence_flags(s, ["provider", *KEYS])
     return provider_report(flags, out_csv, "provider", KEYS)

@@ -27,6 +27,7 @@ from quire import fixed
 from quire.functions.text import strip
 from quire.operators.chunks import check_max_chunk, plan_splits, target_size
 from quire.operators.extractive import extractive_abstracts
+from quire.operators.scan import join_same
 from quire.session import shared_dir
 
 # A model stage: splits (keys, split_index, chunk, target_size, ...) -> same rows
@@ -106,7 +107,8 @@ def latest_answers(planned: DataFrame, answered: DataFrame, keys: list[str]) ->
 def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str], window: int,
                       max_chunk: int, text_col: str = "content", model: ChunkModel = native_model,
                       max_rounds: int | None = None, on_error: str = "hold",
-                      workdir: str | None = None, provider: str = "native", parts: int = 1) -> DataFrame:
+                      workdir: str | None = None, provider: str = "native", parts: int = 1,
+                      keep_digest: bool = False) -> DataFrame:
     """Rounds until every book's joined abstracts fit ``window``.
 
     ``max_chunk`` is ``window - prompt overhead``.  Always at least one round,
@@ -116,22 +118,27 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
     goes on without them like the original tool.  ``parts`` cuts a round's
     open splits into that many model jobs, each written before the next.
     Returns ``keys, rounds, status, abstract_contents`` per book of
-    ``contents``.
+    ``contents`` (and ``input_digest`` with ``keep_digest``).  State belongs to
+    a book *and* its text: a book whose text has changed is compressed anew,
+    and :func:`split_state` tells which are.
     """
     check_max_chunk(max_chunk)
     if on_error not in ("drop", "hold"):
         raise ValueError("on_error must be 'drop' or 'hold'")
     workdir = workdir or shared_dir(spark, "compress")
-    config = hashlib.sha1(repr((window, max_chunk, list(keys))).encode()).hexdigest()[:12]
-    mine = f"provider={quote(provider, safe='')}/config={config}"
+    mine = f"provider={quote(provider, safe='')}/config={_config(window, max_chunk, keys)}"
     run = uuid.uuid4().hex[:12]
-    # every book's text is stored once: all rounds cut the same stored text
+    # every text is stored once: all rounds cut the same stored text.  Rows are
+    # addressed by book and digest, so a corrected text starts anew and the state
+    # of the old one stays where it was
     input_path = f"{workdir}/input/{mine}"
-    new = contents.select(*keys, F.col(text_col).alias("content"))
+    new = with_digest(contents.select(*keys, F.col(text_col).alias("content")))
+    wanted = new.select(*keys, DIGEST)
+    book, keys = keys, [*keys, DIGEST]
     if _exists(spark, input_path):
-        new = new.join(spark.read.parquet(input_path).select(*keys), keys, "left_anti")
+        new = join_same(new, spark.read.parquet(input_path).select(*keys), keys, "left_anti")
     new.write.mode("append").parquet(input_path)
-    pending = spark.read.parquet(input_path).join(contents.select(*keys), keys, "left_semi")
+    pending = join_same(spark.read.parquet(input_path), wanted, keys, "left_semi")
     round_no, outcomes = 1, []
     while True:
         splits_path = f"{workdir}/splits/{mine}/batch={round_no}"
@@ -145,7 +152,8 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
             todo = open_splits(todo, done, keys)
             if done is not None and todo.isEmpty():
                 continue
-            answers = with_split_status(model(todo, keys))
+            # a model knows books, of which a run has one text each
+            answers = join_same(with_split_status(model(todo.drop(DIGEST), book)), wanted, book)
             answers = answers.select(*keys, "split_index", "abstract", "status", "error", F.lit(_now()).alias("run"))
             answers.write.mode("append").parquet(splits_path)
         written = latest_answers(planned, spark.read.parquet(splits_path), keys)
@@ -158,16 +166,58 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
         if pending.isEmpty():
             break
         round_no += 1
-    return reduce(DataFrame.unionByName, outcomes)
+    return reduce(DataFrame.unionByName, outcomes).drop(*([] if keep_digest else [DIGEST]))
+
+
+DIGEST = "input_digest"
+
+
+def with_digest(contents: DataFrame, text_col: str = "content") -> DataFrame:
+    """SHA-256 of a book's text; of nothing for a null one."""
+    return contents.withColumn(DIGEST, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def split_state(spark: SparkSession, contents: DataFrame, keys: list[str], workdir: str, window: int, max_chunk: int,
+                text_col: str = "content", provider: str = "native") -> DataFrame:
+    """``keys, state, n_answers, n_old``: what ``workdir`` holds for the books
+    as they are now.  ``state`` is ``new`` (no text of the book was ever
+    stored), ``changed`` (only other texts were: the next run starts anew),
+    ``stored`` (this text, no usable answer yet) or ``answered``; ``n_answers``
+    counts the usable answers to this text, ``n_old`` other texts."""
+    mine = f"provider={quote(provider, safe='')}/config={_config(window, max_chunk, keys)}"
+    now = with_digest(contents.select(*keys, F.col(text_col).alias("content"))).drop("content")
+    stored, answers = now.limit(0), now.limit(0).withColumn("n_answers", F.lit(0).cast("bigint"))
+    if _exists(spark, f"{workdir}/input/{mine}"):
+        stored = spark.read.parquet(f"{workdir}/input/{mine}").select(*keys, DIGEST).distinct()
+        splits = spark.read.parquet(f"{workdir}/splits/{mine}").where("status = 'ok'")
+        answers = splits.groupBy(*keys, DIGEST).agg(F.count_distinct("batch", "split_index").alias("n_answers"))
+    seen = join_same(now.withColumnRenamed(DIGEST, "now"), stored, keys, "left").groupBy(*keys, "now").agg(
+        F.coalesce(F.bool_or(F.col(DIGEST) == F.col("now")), F.lit(False)).alias("same"),
+        F.count_if(F.col(DIGEST) != F.col("now")).alias("n_old")).withColumnRenamed("now", DIGEST)
+    n = F.coalesce("n_answers", F.lit(0))
+    state = F.when(F.col("same") & (n > 0), "answered").when(F.col("same"), "stored").when(F.col("n_old") > 0, "changed").otherwise("new")
+    return join_same(seen, answers, [*keys, DIGEST], "left").select(*keys, state.alias("state"), n.alias("n_answers"), "n_old")
+
+
+def changed_issues(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Issue rows for books whose text is not the one that was compressed."""
+    return state.where("state = 'changed'").select(*keys, F.lit("compress").alias("stage"),
+                                                   F.concat(F.lit("text changed; versions stored before: "), "n_old").alias("reason"))
 
 
 def last_abstracts(spark: SparkSession, books: DataFrame, keys: list[str], workdir: str) -> DataFrame:
     """Splits of each book's last batch: ``keys, split_index, abstract, status``.
     ``books`` is what one :func:`adaptive_compress` returned from a ``workdir``
-    that no other run wrote to."""
+    that no run of other settings wrote to; with ``keep_digest``, if books there
+    have changed."""
     splits = spark.read.parquet(f"{workdir}/splits")
-    last = books.select(*keys, F.col("rounds").alias("batch"))
-    return splits.join(last, keys + ["batch"]).select(*keys, "split_index", "abstract", "status")
+    at = keys + ([DIGEST] if DIGEST in books.columns else [])
+    last = books.select(*at, F.col("rounds").alias("batch"))
+    return splits.join(last, at + ["batch"]).select(*keys, "split_index", "abstract", "status")
+
+
+def _config(window: int, max_chunk: int, keys: list[str]) -> str:
+    return hashlib.sha1(repr((window, max_chunk, list(keys))).encode()).hexdigest()[:12]
 
 
 def _now() -> int:

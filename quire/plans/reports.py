@@ -69,6 +69,42 @@ def collect_summaries(summaries: DataFrame, compat: bool = False) -> DataFrame:
     return s
 
 
+# providers in one BIGINT of a book's bitmap
+WORD_BITS = 62
+
+
+def missing_summaries(summaries: DataFrame, providers: list[str], keys: list[str] = ("language", "book"),
+                      provider_col: str = "provider", text_col: str = "summary") -> DataFrame:
+    """E8's report: ``keys, provider`` for every book without a summary (a null
+    text is none) of one of ``providers``, names as :func:`select_providers`
+    gives them.  A book is one whose key has any row.
+
+    Each book keeps a bitmap of the providers it has, one aggregate with
+    map-side combine; only the bits that miss become rows.
+    """
+    keys, names = list(keys), list(dict.fromkeys(providers))
+    if not names:
+        return summaries.select(*keys, provider_col).limit(0)
+    words = -(-len(names) // WORD_BITS)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(provider_col)).cast("int") - 1
+    there = summaries.select(*keys, F.when(F.col(text_col).isNotNull(), place).alias("__p"))
+    # an unknown provider has place -1 and sets no bit
+    bit = lambda w: F.when(F.floor(F.col("__p") / WORD_BITS) == w, F.expr(f"shiftleft(1L, pmod(__p, {WORD_BITS}))"))
+    masks = there.groupBy(*keys).agg(*[F.coalesce(F.bit_or(bit(w)), F.lit(0).cast("bigint")).alias(f"__w{w}") for w in range(words)])
+    absent = F.lit(False)
+    at = F.col("__i")
+    for w in range(words):
+        absent = absent | ((F.floor(at / WORD_BITS) == w) & (F.expr(f"shiftright(__w{w}, pmod(__i, {WORD_BITS}))").bitwiseAND(1) == 0))
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
+    # only books with a missing bit are unfolded
+    full = F.lit(True)
+    for w in range(words):
+        n = min(WORD_BITS, len(names) - w * WORD_BITS)
+        full = full & (F.col(f"__w{w}") == F.lit((1 << n) - 1))
+    each = masks.where(~full).select("*", F.explode(listed).alias("__x")).select("*", F.col("__x.i").alias("__i"))
+    return each.where(absent).select(*keys, F.col("__x.n").alias(provider_col))
+
+
 def write_summary_collections(collected: DataFrame, path: str) -> None:
     """K5 sink for E8."""
     write_summary_maps(collected, path)

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions.text import normalise_newlines
+from quire.operators.scan import two_level_scan
 from quire.plans.cleanup import PAGE_FOLDER_STEPS, SINGLE_FILE_STEPS, clean_text, merge_pages
 from quire.plans.pagewise import clean_pages_by_page
+from quire.session import written
+
+
+CATALOGUE_BLOCK = 1 << 14
 
 
 def decoded_path(c):
@@ -147,17 +152,27 @@ def book_contents(spark: SparkSession, root: str, ocr_dir: str = "paddle_output"
     return contents, issues
 
 
+def fill_down(df: DataFrame, col: str, keys: list[str], block: str, order: list[str]) -> DataFrame:
+    """A blank or null ``col`` takes the last value given before it in the
+    order of (``block``, ``order``), within ``keys`` (which may be none).  Each
+    block is filled on its own; the last value of every block is carried into
+    the next ones, so no task sees more than a block."""
+    given = df.withColumn("__given", F.when(F.trim(F.col(col)) != "", F.col(col)))
+    filled = two_level_scan(given, keys, block, order, {"__carried": ("last_before", "__given")})
+    return filled.withColumn(col, F.coalesce("__given", "__carried")).drop("__given", "__carried")
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Sparse-header CSV where the language is given on the first row of
-    each group only; fill it down in file order.  A multi-line CSV file is
-    read by one task, so the row id follows file order within a file; the
-    window is partitioned by file, so many catalogue files fill in parallel."""
+    each group only; fill it down in file order.  Rows are numbered as they are
+    read (a multi-line file by one task) and written once; blocks of
+    ``CATALOGUE_BLOCK`` rows are filled in parallel."""
     df = spark.read.option("header", True).option("multiLine", True).csv(path)
-    lang = df.columns[0]
-    df = df.withColumn("__file", F.input_file_name()).withColumn("__order", F.monotonically_increasing_id())
-    w = Window.partitionBy("__file").orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.last(F.when(F.trim(F.col(lang)) != "", F.col(lang)), ignorenulls=True).over(w)
-    return df.withColumn(lang, filled).drop("__order", "__file")
+    names = df.columns
+    # the row number in the low bits rises within a file, which one task reads
+    rows = written(df.withColumn("__file", F.input_file_name()).withColumn("__order", F.monotonically_increasing_id()), "catalogue")
+    rows = rows.withColumn("__block", F.floor(F.col("__order") / CATALOGUE_BLOCK))
+    return fill_down(rows, names[0], ["__file"], "__block", ["__order"]).select(*names)
 
 
 def prompt_table(spark: SparkSession, prompts_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_score_table_stems(spark):
     scores, _ = score_table(s, None)
     r = scores.first()
     assert (r.rouge1_f, r.rouge2_f, r.rougeL_f) == (1.0, 1.0, 1.0)
+
+
+def test_missing_summaries_with_more_providers_than_bits(spark):
+    from quire.plans.reports import missing_summaries
+    names = [f"p{i:03}" for i in range(130)]
+    rows = [("en", b, n, "x") for b in range(4) for i, n in enumerate(names) if b == 0 or (i * 7 + b) % 5]
+    rows += [("en", 2, "p000", None), (None, 9, "other", "x")]
+    df = spark.createDataFrame(rows, "language string, book long, provider string, summary string")
+    have = {(r[1], r[2]) for r in rows if r[3]}
+    want = sorted((b, n) for b in (0, 1, 2, 3, 9) for n in names if (b, n) not in have)
+    assert sorted((r.book, r.provider) for r in missing_summaries(df, names).collect()) == want
+    assert missing_summaries(df, []).count() == 0

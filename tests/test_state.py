@@ -155,3 +155,31 @@ def test_providers_do_not_hide_each_other(spark, tmp_path):
         res = commands.book_task(spark, "keywords", books, splits, spark.read.parquet(path), lambda ps: ["k" for _ in ps], name, path,
                                  sleep=lambda s: None)
         assert res.count() == 1
+
+
+def test_changed_text_is_compressed_anew(spark, tmp_path):
+    """Unchanged, changed and new books on one workdir: answers to the old
+    text are not given for the new one, and unchanged books cost no call."""
+    from quire.plans.compress import changed_issues, last_abstracts, split_state
+    w = str(tmp_path / "w")
+    text = lambda word, n: "\n".join(f"{word} line {i}." for i in range(n))
+    first = spark.createDataFrame([(1, text("same", 30)), (2, text("old", 30))], "book long, content string")
+    log = []
+    adaptive_compress(spark, first, ["book"], 200, 150, model=counting(log), workdir=w).collect()
+    second = spark.createDataFrame([(1, text("same", 30)), (2, text("new", 40)), (3, text("third", 20))], "book long, content string")
+    state = split_state(spark, second, ["book"], w, 200, 150)
+    assert {r.book: (r.state, r.n_old) for r in state.collect()} == {1: ("answered", 0), 2: ("changed", 1), 3: ("new", 0)}
+    issues = changed_issues(state, ["book"]).collect()
+    assert [(r.book, r.stage) for r in issues] == [(2, "compress")]
+    sent = len(log)
+    books = adaptive_compress(spark, second, ["book"], 200, 150, model=counting(log), workdir=w, keep_digest=True)
+    rows = {r.book: r for r in books.collect()}
+    assert set(rows) == {1, 2, 3} and {b[0] for b, _ in log[sent:]} == {2, 3}
+    assert "new line" in rows[2].abstract_contents and "old line" not in rows[2].abstract_contents
+    last = {r.book for r in last_abstracts(spark, books, ["book"], w).collect() if "old line" in (r.abstract or "")}
+    assert last == set()
+    assert {r.book: r.state for r in split_state(spark, second, ["book"], w, 200, 150).collect()} == {1: "answered", 2: "answered", 3: "answered"}
+    # back to the first text: its answers are still there
+    sent = len(log)
+    adaptive_compress(spark, first, ["book"], 200, 150, model=counting(log), workdir=w).collect()
+    assert len(log) == sent
