@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions.text import col_of, rouge_tokens, sentences, strip
 from quire.operators.scan import join_same
+from quire.session import ship_package
 
 
 # --- E1 / E2 --------------------------------------------------------------------
@@ -241,29 +242,71 @@ def pending_annotations(summaries: DataFrame, annotations: DataFrame, keys: list
 ANNOTATE_KEYS = ["CONTEXT", "SENTENCE"]   # declared keys of the annotate prompt
 
 
+def sentence_rows(summaries: DataFrame, keys: list[str], text_col: str = "summary") -> DataFrame:
+    """``keys, sentence_no, sentence``: what is shuffled is each sentence once."""
+    s = summaries.select(*keys, F.posexplode_outer(sentences(text_col)).alias("sentence_no", "sentence"))
+    return s.filter(F.col("sentence").isNotNull())
+
+
+def running_contexts(batches, keys, width):
+    """(keys, sentence_no, sentence) in order, with the text of the sentences
+    before: one string per book is carried from row to row, and from batch to
+    batch."""
+    of, context = None, ""
+    for pdf in batches:
+        contexts = []
+        for row in pdf.itertuples(index=False):
+            book = tuple(getattr(row, k) for k in keys)
+            if book != of:
+                of, context = book, ""
+            contexts.append(context)
+            context = f"{context}\n{row.sentence}" if context else row.sentence
+            if width is not None:
+                context = context[max(0, len(context) - width):]
+        yield pdf.assign(context=contexts)
+
+
+def annotation_prompts(summaries: DataFrame, keys: list[str], text_col: str = "summary", template: str | None = None,
+                       context_chars: int | None = None) -> DataFrame:
+    """``keys, sentence_no, sentence, prompt`` for every sentence.
+
+    Sentences are dealt by book and sorted; a sorted iterator then keeps the
+    context that grows from sentence to sentence inside of the task.  So the
+    shuffle moves every sentence once, linear in the text, and a book's
+    contexts exist one at a time.
+    """
+    from quire.functions.prompts import load_template, render
+
+    if template is None:
+        template = load_template("annotate")
+    rows = sentence_rows(summaries, keys, text_col)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "sentence_no")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    context = ordered.mapInPandas(lambda batches: running_contexts(batches, keys, context_chars), f"{fields}, context string")
+    return context.select(*keys, "sentence_no", "sentence",
+                          render(template, ANNOTATE_KEYS, {"CONTEXT": F.col("context"), "SENTENCE": F.col("sentence")}).alias("prompt"))
+
+
 def annotate_with_model(summaries: DataFrame, keys: list[str], model_fn, evaluator: str,
                         annotations: DataFrame | None = None, text_col: str = "summary",
-                        template: str | None = None, **gen) -> DataFrame:
+                        template: str | None = None, context_chars: int | None = None, **gen) -> DataFrame:
     """E9 with a model as annotator (E10: books already annotated by
     ``evaluator`` are not sent again).  One prompt per sentence with the
-    sentences before it as context; an answer starting with "yes" flags it.
+    sentences before it as context (the last ``context_chars`` characters of
+    them, as many as the model's window takes); an answer starting with "yes" flags it.
     Returns ``keys, evaluator, sentence_no, sentence, confusing, status``; a
     failed call counts as not confusing and is reported in ``status``."""
-    from quire.functions.prompts import load_template, render
+    from quire.functions.prompts import load_template
     from quire.operators.generate import generate
 
     if template is None:
         template = load_template("annotate")
+    ship_package(summaries.sparkSession)
     todo = summaries
     if annotations is not None:
         done = annotations.filter(F.col("evaluator") == evaluator).select(*keys).distinct()
         todo = summaries.join(done, keys, "left_anti")
-    arr = todo.select(*keys, sentences(text_col).alias("__s"))
-    rows = arr.select(*keys, "__s", F.posexplode_outer("__s").alias("sentence_no", "sentence")).filter(
-        F.col("sentence").isNotNull())
-    ctx = F.array_join(F.slice("__s", 1, F.col("sentence_no")), "\n")
-    prompts = rows.select(*keys, "sentence_no", "sentence",
-                          render(template, ANNOTATE_KEYS, {"CONTEXT": ctx, "SENTENCE": F.col("sentence")}).alias("prompt"))
+    prompts = annotation_prompts(todo, keys, text_col, template, context_chars)
     out = generate(prompts, model_fn, keys + ["sentence_no"], **gen)
     yes = F.lower(F.coalesce(strip("text"), F.lit(""))).startswith("yes")
     return out.select(*keys, F.lit(evaluator).alias("evaluator"), "sentence_no", "sentence",

@@ -390,6 +390,24 @@ SELECT provider, count(*)::BIGINT AS n_books, round(avg(score), 6) AS coherence
 """
 
 
+def annotation_prompts(spark, sf_dir):
+    """E9's prompts for every sentence of the assistants' texts: length and
+    digest of the context that each is asked with."""
+    s = _conv_summaries(spark, sf_dir).where(F.col("provider") != fixed.REFERENCE_PROVIDER)
+    prompts = EV.annotation_prompts(s, ["conv_id", "provider"], template="{CONTEXT}\n\n{SENTENCE}")
+    return prompts.select("conv_id", "provider", F.col("sentence_no").cast("bigint").alias("sentence_no"), "sentence",
+                          F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+SQL_ANNOTATION_PROMPTS = f"""
+WITH s AS (SELECT conv_id, role AS provider, {O.sentences("string_agg(text, chr(10) || chr(10) ORDER BY turn, text)")} AS sl
+           FROM conversations WHERE text <> '' AND role <> 'user' GROUP BY conv_id, role),
+x AS (SELECT conv_id, provider, sl, unnest(range(1, len(sl) + 1)) AS i FROM s),
+p AS (SELECT conv_id, provider, i, sl[i] AS sentence, array_to_string(sl[1:i - 1], chr(10)) || chr(10) || chr(10) || sl[i] AS prompt FROM x)
+SELECT conv_id, provider, (i - 1)::BIGINT AS sentence_no, sentence, length(prompt)::BIGINT AS prompt_chars, md5(prompt) AS prompt_md5 FROM p
+"""
+
+
 # --- E8 + T5 ------------------------------------------------------------------------
 
 def collect_summaries(spark, sf_dir):
@@ -678,6 +696,7 @@ QUERIES = {
     "rouge_1_stemmed": rouge_1_stemmed,
     "embedding_match": embedding_match,
     "coherence": coherence,
+    "annotation_prompts": annotation_prompts,
     "collect_summaries": collect_summaries,
     "missing_summaries": missing_summaries,
     "filled_languages": filled_languages,
@@ -709,6 +728,7 @@ ORACLES = {
     "rouge_l": SQL_ROUGE_L,
     "embedding_match": SQL_EMBEDDING_MATCH,
     "coherence": SQL_COHERENCE,
+    "annotation_prompts": SQL_ANNOTATION_PROMPTS,
     "collect_summaries": SQL_COLLECT_SUMMARIES,
     "missing_summaries": SQL_MISSING_SUMMARIES,
     "filled_languages": SQL_FILLED_LANGUAGES,

@@ -172,7 +172,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     # the row number in the low bits rises within a file, which one task reads
     rows = written(df.withColumn("__file", F.input_file_name()).withColumn("__order", F.monotonically_increasing_id()), "catalogue")
     rows = rows.withColumn("__block", F.floor(F.col("__order") / CATALOGUE_BLOCK))
-    return fill_down(rows, names[0], ["__file"], "__block", ["__order"]).select(*names)
+    return fill_down(rows, names[0], ["__file"], "__block", ["__order"]).orderBy("__order").select(*names)
 
 
 def prompt_table(spark: SparkSession, prompts_dir: str) -> DataFrame:

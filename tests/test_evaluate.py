@@ -162,6 +162,22 @@ def test_annotate_with_model(spark):
     assert rep["m"] == round((0.5 + 1.0) / 2, 6)
 
 
+def test_contexts_grow_in_the_task(spark):
+    """Every sentence with exactly the sentences before it, whatever the
+    batches; the shuffled rows carry one sentence each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    texts = {b: [f"Sentence {i} of {b}." for i in range(n)] for b, n in (("b1", 10), ("b2", 1), ("b3", 7))}
+    df = spark.createDataFrame([("m", b, " ".join(t)) for b, t in texts.items()] + [("m", "b4", None), ("m", "b5", "")],
+                               "provider string, book string, summary string")
+    prompts = EV.annotation_prompts(df, ["provider", "book"], template="{CONTEXT}|{SENTENCE}")
+    got = {(r.book, r.sentence_no): r.prompt for r in prompts.collect()}
+    short = {(r.book, r.sentence_no): r.prompt for r in EV.annotation_prompts(df, ["provider", "book"], template="{CONTEXT}|{SENTENCE}", context_chars=20).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(b, i): "\n".join(t[:i]) + "|" + t[i] for b, t in texts.items() for i in range(len(t))}
+    assert short == {(b, i): "\n".join(t[:i])[-20:] + "|" + t[i] for b, t in texts.items() for i in range(len(t))}
+    assert [f.name for f in EV.sentence_rows(df, ["provider", "book"]).schema.fields] == ["provider", "book", "sentence_no", "sentence"]
+
+
 def test_zero_vector_matches_nothing(spark):
     from quire.operators.evaluate import embedding_match
     rows = [(1, 0, 0, [0.0, 0.0]), (1, 0, 1, [1.0, 0.0]), (1, 1, 2, [2.0, 0.0])]
