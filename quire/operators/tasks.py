@@ -14,7 +14,7 @@ from quire import fixed
 from quire.functions.text import parse_lines, word_tokens
 from quire.operators.chunks import target_size
 from quire.operators.extractive import extractive_abstracts
-from quire.session import shared_dir
+from quire.session import written
 
 # Function words left out of keywords (per language code; our own lists).
 STOP_WORDS = {
@@ -74,13 +74,13 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     tf = tf.filter((F.length("term") >= MIN_KEYWORD_LEN) & ~F.col("term").rlike("^[0-9]+$"))
     stop = stop_words_df(spark).withColumnRenamed("lang", lang_col)
     tf = tf.join(F.broadcast(stop), [lang_col, "term"], "left_anti")   # fixed-size list
+    # counted once: document frequencies, frequent terms and scores all read this table
+    tf = written(tf, "term-counts")
     per_lang = books_per_language(books, lang_col)
     df = tf.groupBy(lang_col, "term").agg(F.count("*").alias("df"))
     often = df.join(per_lang, lang_col).filter(F.col("df") > F.col("n_books") * FREQUENT_SHARE)
     often = often.select(lang_col, "term", F.col("df").alias("__often"))
-    path = shared_dir(spark, "frequent-terms")
-    often.write.parquet(path)
-    often = spark.read.schema(often.schema).parquet(path)
+    often = written(often, "frequent-terms")
     # rows of frequent terms take their df from this table and are dealt by book
     # below, so no term gathers a language's books in one task
     if often.count() <= MAX_BROADCAST_TERMS:

@@ -27,7 +27,8 @@ from quire.operators import tasks as TK
 from quire.plans.cleanup import clean_pages, merge_pages as _merge_pages
 from quire.plans.compress import adaptive_compress, compress_round as _compress_round, last_abstracts
 from quire.plans.pagewise import clean_pages_by_page
-from quire.plans import reports as RP
+from quire.plans import compress as CP
+from quire.plans import derived, reports as RP
 from quire.session import ship_package, shared_dir, table_path
 from quire.sources.corpus import fill_down
 
@@ -171,6 +172,25 @@ def _adaptive_sql() -> str:
 SQL_ADAPTIVE = _adaptive_sql()
 
 
+def split_state(spark, sf_dir):
+    """State of the compressed documents after every third was corrected."""
+    workdir = shared_dir(spark, "split-state")
+    books = _contents(spark, sf_dir).select("doc_id", "content")
+    adaptive_compress(spark, books, ["doc_id"], WINDOW, ADAPTIVE_MAX_CHUNK, workdir=workdir, max_rounds=1)
+    corrected = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("content"), F.lit("!"))).otherwise(F.col("content"))
+    return CP.split_state(spark, books.withColumn("content", corrected), ["doc_id"], workdir, WINDOW, ADAPTIVE_MAX_CHUNK)
+
+
+SQL_SPLIT_STATE = f"""
+WITH r1 AS ({O.repair_sql('documents', 'doc_id', 'text')}),
+a1 AS ({_round_sql('r1', ADAPTIVE_MAX_CHUNK)}),
+n AS (SELECT doc_id, count(*) FILTER (WHERE status = 'ok') AS n FROM a1 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'changed' WHEN coalesce(n, 0) > 0 THEN 'answered' ELSE 'stored' END AS state,
+       (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE coalesce(n, 0) END)::BIGINT AS n_answers, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_old
+FROM r1 LEFT JOIN n USING (doc_id)
+"""
+
+
 # --- S8 / T4: pages of a book -------------------------------------------------
 
 def _conv_pages(spark, sf_dir):
@@ -684,6 +704,7 @@ QUERIES = {
     "chunk_targets": chunk_targets,
     "compress_round": compress_round,
     "adaptive_compress": adaptive_compress_all,
+    "split_state": split_state,
     "merge_pages": merge_pages,
     "cleanup_book": cleanup_book,
     "cleanup_pages": cleanup_pages,
@@ -708,6 +729,7 @@ QUERIES = {
     "retry_schedule": retry_schedule,
     "eligibility": eligibility,
     "todo_outputs": todo_outputs,
+    **derived.QUERIES,
 }
 
 ORACLES = {
@@ -717,6 +739,7 @@ ORACLES = {
     "chunk_targets": SQL_CHUNK_TARGETS,
     "compress_round": SQL_COMPRESS_ROUND,
     "adaptive_compress": SQL_ADAPTIVE,
+    "split_state": SQL_SPLIT_STATE,
     "merge_pages": SQL_MERGE_PAGES,
     "cleanup_book": SQL_CLEANUP_BOOK,
     "cleanup_pages": SQL_CLEANUP_PAGES,
@@ -740,6 +763,7 @@ ORACLES = {
     "retry_schedule": SQL_RETRY_SCHEDULE,
     "eligibility": SQL_ELIGIBILITY,
     "todo_outputs": SQL_TODO_OUTPUTS,
+    **derived.ORACLES,
 }
 
 

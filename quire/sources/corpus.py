@@ -77,8 +77,12 @@ def scan_pages(spark: SparkSession, root: str, ocr_dir: str = "paddle_output") -
     parts = F.split(_rel("path", root), "/")
     pages = t.select(parts[0].alias("language"), parts[1].alias("book"),
                      F.element_at(parts, -1).alias("file"), "text")
-    pages = pages.filter(~F.col("file").startswith(fixed.MERGED_PREFIX))
-    return pages.withColumn("page_id", page_id("file"))
+    return page_files(pages).withColumn("page_id", page_id("file"))
+
+
+def page_files(files: DataFrame, file_col: str = "file") -> DataFrame:
+    """The rows whose file is a page: ``.md`` in any case, no merged output."""
+    return files.filter(F.lower(file_col).endswith(".md") & ~F.col(file_col).startswith(fixed.MERGED_PREFIX))
 
 
 def page_id(file_col) -> F.Column:
