@@ -28,7 +28,7 @@ from quire.functions.text import strip
 from quire.operators.chunks import check_max_chunk, plan_splits, target_size
 from quire.operators.extractive import extractive_abstracts
 from quire.operators.scan import join_same
-from quire.session import shared_dir
+from quire.session import shared_dir, written
 
 # A model stage: splits (keys, split_index, chunk, target_size, ...) -> same rows
 # plus ``abstract`` (string, may be blank or null on failure).
@@ -133,12 +133,17 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
     # of the old one stays where it was
     input_path = f"{workdir}/input/{mine}"
     new = with_digest(contents.select(*keys, F.col(text_col).alias("content")))
-    wanted = new.select(*keys, DIGEST)
     book, keys = keys, [*keys, DIGEST]
     if _exists(spark, input_path):
-        new = join_same(new, spark.read.parquet(input_path).select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(input_path)
-    pending = join_same(spark.read.parquet(input_path), wanted, keys, "left_semi")
+        # the texts of this run are made once, here, and only unknown ones are added
+        new = written(new, "compress-texts")
+        wanted = new.select(*keys)
+        join_same(new, spark.read.parquet(input_path).select(*keys), keys, "left_anti").write.mode("append").parquet(input_path)
+        pending = join_same(spark.read.parquet(input_path), wanted, keys, "left_semi")
+    else:
+        new.write.mode("append").parquet(input_path)
+        pending = spark.read.schema(new.schema).parquet(input_path)
+        wanted = pending.select(*keys)
     round_no, outcomes = 1, []
     while True:
         splits_path = f"{workdir}/splits/{mine}/batch={round_no}"
