@@ -161,9 +161,9 @@ def adaptive_compress(spark: SparkSession, contents: DataFrame, keys: list[str],
             answers = join_same(with_split_status(model(todo.drop(DIGEST), book)), wanted, book)
             answers = answers.select(*keys, "split_index", "abstract", "status", "error", F.lit(_now()).alias("run"))
             answers.write.mode("append").parquet(splits_path)
-        written = latest_answers(planned, spark.read.parquet(splits_path), keys)
+        answers_now = latest_answers(planned, spark.read.parquet(splits_path), keys)
         outcome_path = f"{workdir}/runs/{run}/round={round_no}"
-        classify(join_abstracts(written, keys), pending, keys, window, round_no, max_rounds, on_error).write.parquet(outcome_path)
+        classify(join_abstracts(answers_now, keys), pending, keys, window, round_no, max_rounds, on_error).write.parquet(outcome_path)
         state = spark.read.parquet(outcome_path)
         outcomes.append(state.filter(F.col("status") != "continue"))
         pending = state.filter(F.col("status") == "continue").select(
