@@ -12,110 +12,133 @@ sets, the more tokens their prefixes must share.  Survivors are verified on
 their full sets.  A line goes if an earlier line, by (document, line number),
 links with it.
 
-Rarity comes from ``COUNTERS`` hashed counters over all lines, a fixed 16 MB
-however large the vocabulary is.  Any fixed order of the tokens keeps the join
-exact; a collision only moves a token within it.  A token whose counter is 1
-occurs in one line and needs no posting.
-
-Scale.  Lines with equal sets are one node, so a line that stands in a third
-of all documents is one set with a count.  Texts are read in place and never
-shuffled: postings are numbers, dealt once by token, and token sets move for
-candidate pairs only (a fixed-size bitmap of the candidates, exact semi-join
-behind it, tells which).  Words and word sets are named by 64-bit hashes.
+The smaller set is found by its short (index) prefix, the larger by its long
+(probing) prefix, and both under a key made of the token and a class of sizes:
+a class spans the sizes of one factor ``1 / t``, so an indexed set is entered
+for its own class and the next, and no others are looked at.
+
+Rarity comes from ``COUNTERS`` hashed counters, a fixed 16 MB however large the
+vocabulary is.  Any fixed order of the tokens keeps the join exact; a collision
+only moves a token within it.  A token whose counter is 1 occurs in one set and
+needs no posting.  A second pair of tables counts how many sets probe and how
+many are entered under a key; a posting that meets no other set is not dealt.
+Collisions there let postings through and lose none; all counters saturate.
+
+Scale.  Texts are split into words once: the word sets are written in blocks
+(64-bit hashes of a block's words, and their numbers set by set) beside the
+narrow line rows, and everything after that reads those with numpy.  Lines with equal sets are one node, so a line that stands in a third
+of all documents is one set with a count.  Postings are numbers, dealt by key,
+and token sets move for candidate pairs only (a fixed-size bitmap of the
+candidates, exact semi-join behind it, tells which).  The keys are dealt in
+``DEALS`` parts, and shuffle files and tables go when they were read, so that
+the disk holds a part of the postings at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import stash
+from quire.llm.common import drop_stash, stash
+from quire.session import shared_dir
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 22
+KEYS = 1 << 24  # hashed keys of postings, half a byte each
+DEALS = 3  # parts of the keys, dealt and joined one after the other
 BITMAP_BYTES = 1 << 22
-TASKS = 64  # partial counter tables at most
-_BLOCK = 16_384
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
+SPLITS = 16  # input splits behind one partial table, where there are many
+_BLOCK = 1 << 18
+_SEEN = 500_000
 
 
 @dataclass
 class LineSets:
-    """The word sets of the lines with words of some texts.  ``hashes`` holds
-    the sets one after the other, each sorted and distinct; set ``i`` has
-    ``n[i]`` of them from ``start[i]`` on."""
+    """The word sets of the lines with words of some texts.  ``words`` holds
+    the sets one after the other; set ``i`` has ``n[i]`` distinct words, which
+    are places in ``hashes``."""
 
     text: np.ndarray  # number of the text
     line: np.ndarray  # number of the line in it
+    words: np.ndarray
     hashes: np.ndarray
-    start: np.ndarray
     n: np.ndarray
     key: np.ndarray  # 64-bit key of the set, signed
 
-    @property
-    def of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.n)), self.n)
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
-def line_sets(texts: Iterator, most: int = 1 << 18) -> Iterator[LineSets]:
-    """Word sets of all lines (A-Z lowered), about ``most`` words at a time."""
-    memo = _Hashes()
-
-    def pack() -> LineSets:
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of = h[new], of[new]
-        n = np.bincount(of, minlength=len(sizes))
-        start = np.cumsum(n) - n
+_CODES = np.arange(256, dtype=np.uint8)
+_BLANK = (_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13))
+# random numbers of the bytes, A-Z as a-z; a blank counts nothing
+_BYTE = np.where(_BLANK, np.uint64(0), _mix(_mix(np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint64) + np.uint64(1))))
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """64-bit hashes of the words between ``start`` and ``end``: the sum over
+    a word's bytes of the byte's number times an odd random number of its
+    place, mixed with the length."""
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), step):
+        s, e = start[lo:lo + step], end[lo:lo + step]
+        gap = np.diff(np.append(s, e[-1]))
+        odd = _mix(_mix(np.arange(1, gap.max() + 1, dtype=np.uint64))) | np.uint64(1)
+        first = s - s[0]
+        place = np.arange(first[-1] + gap[-1]) - np.repeat(first, gap)
+        out[lo:lo + step] = np.add.reduceat(_BYTE[data[s[0]:e[-1]]] * odd[place], first)
+    return _mix(out + (end - start).astype(np.uint64))
+
+
+def line_sets(texts: Iterator, most: int = 1 << 20) -> Iterator[LineSets]:
+    """Word sets of all lines (A-Z lowered) of UTF-8 texts (or None), about
+    ``most`` bytes at a time."""
+    def pack() -> LineSets | None:
+        data = np.frombuffer(b"\n".join(held), np.uint8)
+        edge = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
+        start, end = edge[0::2], edge[1::2]
+        if not len(start):
+            return None
+        breaks = np.flatnonzero(data == 10)
+        sizes = np.array([len(v) + 1 for v in held], np.int64)
+        first_line = np.searchsorted(breaks, np.cumsum(sizes) - sizes)
+        hashes, place = np.unique(_hashed(data, start, end), return_inverse=True)
+        # distinct words line by line
+        both = np.sort((np.searchsorted(breaks, start) << 32) + place)
+        both = both[np.append(True, both[1:] != both[:-1])]
+        of, words = both >> 32, both & 0xFFFFFFFF
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        n, line = np.diff(np.append(begin, len(of))), of[begin]
+        text = np.searchsorted(first_line, line, side="right") - 1
         # a sum of mixed hashes, mixed again with the size
-        key = np.add.reduceat(_mix(h), start) if len(h) else np.zeros(0, np.uint64)
-        key = _mix(key + n.astype(np.uint64)).view(np.int64)
-        return LineSets(np.array(text_no, np.int64), np.array(line_no, np.int32), h, start, n, key)
+        key = _mix(np.add.reduceat(_mix(hashes)[words], begin) + n.astype(np.uint64)).view(np.int64)
+        return LineSets(np.array(number, np.int64)[text], (line - first_line[text]).astype(np.int32), words, hashes, n, key)
 
-    words, sizes, text_no, line_no = [], [], [], []
+    held, number, size = [], [], 0
     for k, text in enumerate(texts):
-        if not text:
-            continue
-        for i, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            ws = line.split()
-            if ws:
-                words += ws
-                sizes.append(len(ws))
-                text_no.append(k)
-                line_no.append(i)
-        if len(words) >= most:
-            yield pack()
-            words, sizes, text_no, line_no = [], [], [], []
-    if words:
-        yield pack()
+        if text:
+            held.append(text)
+            number.append(k)
+            size += len(text)
+        if size >= most:
+            if (x := pack()) is not None:
+                yield x
+            held, number, size = [], [], 0
+    if held and (x := pack()) is not None:
+        yield x
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,30 +146,133 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
 
 
-def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, line, key): every line with words and the key of its set;
-    ``th`` is a hash of the row's text."""
+BLOCK_SCHEMA = [T.StructField(c, T.BinaryType()) for c in ("keys", "sizes", "hashes", "words")]
+
+
+def _block(x: LineSets, give: np.ndarray) -> list[bytes]:
+    """Keys, sizes and words of some of the sets, words as places among the
+    hashes that occur."""
+    words = x.words[np.repeat(give, x.n)]
+    used = np.zeros(len(x.hashes), bool)
+    used[words] = True
+    places = (np.cumsum(used) - 1)[words]
+    hashes = x.hashes[used]
+    short = np.uint16 if len(hashes) <= 1 << 16 else np.uint32
+    return [a.tobytes() for a in (x.key[give], x.n[give].astype(np.uint32), hashes, places.astype(short))]
+
+
+@dataclass
+class Sets:
+    """A block read back."""
+
+    key: np.ndarray
+    n: np.ndarray
+    hashes: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch) -> Iterator[Sets]:
+        for i in range(b.num_rows):
+            keys, sizes, hashes, words = (b.column(c)[i].as_buffer() for c in ("keys", "sizes", "hashes", "words"))
+            hashes = np.frombuffer(hashes, np.uint64)
+            short = np.uint16 if len(hashes) <= 1 << 16 else np.uint32
+            yield cls(np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.uint32).astype(np.int64), hashes, np.frombuffer(words, short))
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.n) - self.n
+
+    @property
+    def slots(self) -> np.ndarray:
+        return (self.hashes % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def split_lines(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables in the shared folder out of one reading of the texts.
+
+    Lines: (id, th, line, key), every line with words and the key of its set;
+    ``th`` is a hash of the row's text.  Blocks: the sets that are large enough
+    to be like another, each from every task that meets it.
+    """
     rows = _rows(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType
     id_pa = to_arrow_type(id_type)
+    fields = [T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("key", T.LongType())]
+    names = ["kind"] + [f.name for f in fields + BLOCK_SCHEMA]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        kind = lambda k, n: pa.array(np.full(n, k, np.int32))
         for b in batches:
-            for x in line_sets(t.as_py() for t in b.column(1)):
-                take = pa.array(x.text)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take).cast(id_pa), b.column(2).take(take), pa.array(x.line), pa.array(x.key)],
-                                                 ["id", "th", "line", "key"])
-
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()),
-                           T.StructField("key", T.LongType())])
-    return rows.mapInArrow(run, schema)
-
+            for x in line_sets(v.as_buffer() for v in b.column(1)):
+                take, n = pa.array(x.text), len(x.text)
+                yield pa.RecordBatch.from_arrays(
+                    [kind(0, n), b.column(0).take(take).cast(id_pa), b.column(2).take(take), pa.array(x.line), pa.array(x.key)]
+                    + [pa.nulls(n, pa.binary())] * 4, names)
+                # below 1 / (1 - t) - 1 words no other set is similar enough
+                give = np.zeros(len(x.n), bool)
+                give[np.unique(x.key, return_index=True)[1]] = True
+                at = np.flatnonzero(give & (x.n >= 2) & (x.n >= t / (1 - t) - 1e-9))
+                keys = x.key[at].tolist()
+                give[:] = False
+                give[at] = [k not in seen for k in keys]
+                seen.update(keys)
+                if len(seen) > _SEEN:
+                    seen.clear()
+                if give.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [kind(1, 1), pa.nulls(1, id_pa), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
+                        + [pa.array([v], pa.binary()) for v in _block(x, give)], names)
+
+    spark = docs.sparkSession
+    path = shared_dir(spark, "lines")
+    made = rows.mapInArrow(run, T.StructType([T.StructField("kind", T.IntegerType()), *fields, *BLOCK_SCHEMA]))
+    made.write.partitionBy("kind").parquet(path)
+
+    def table(k: int, schema: list) -> DataFrame:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/kind={k}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):  # no such rows
+            return spark.createDataFrame([], T.StructType(schema))
+        return spark.read.schema(T.StructType(schema)).parquet(f"{path}/kind={k}")
+
+    return table(0, fields), table(1, BLOCK_SCHEMA)
+
+
+def _flat(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many in each row) of a column of packed numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].copy().view(dtype) if data is not None else np.zeros(0, dtype)
+    return numbers, np.diff(ends).astype(np.int64) // np.dtype(dtype).itemsize
+
+
+@contextmanager
+def _spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries within go when their query has ended: each
+    ends in a written table or in a small one on the driver."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _gathered(df: DataFrame, run: Callable, size: int, dtype: type, combine: Callable) -> np.ndarray:
+    """One table of ``size`` numbers out of the partial tables of the tasks,
+    combined in two levels where there are many.  Tasks grow with the input."""
+    splits = df.rdd.getNumPartitions()
+    tasks = splits if splits <= 4 * SPLITS else max(4 * SPLITS, -(-splits // SPLITS))
+    parts = int(tasks ** 0.5) if tasks > 4 * SPLITS else 1
 
-def _gathered(df: DataFrame, run: Callable, size: int, dtype: type, reduce: np.ufunc) -> np.ndarray:
-    """One table of ``size`` numbers out of one partial table per task."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = run(batches)
-        part = TaskContext.get().partitionId() % 16
+        part = TaskContext.get().partitionId() % parts
         blocks = [(i, part, table[lo:lo + _BLOCK]) for i, lo in enumerate(range(0, size, _BLOCK))]
         blocks = [x for x in blocks if x[2].any()]
         yield pa.RecordBatch.from_arrays(
@@ -154,11 +280,13 @@ def _gathered(df: DataFrame, run: Callable, size: int, dtype: type, reduce: np.u
              pa.array([x[2].tobytes() for x in blocks], pa.binary())], ["block", "part", "numbers"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = reduce.reduce([np.frombuffer(x, dtype) for x in pdf["numbers"]], dtype=dtype)
+        out = combine([np.frombuffer(x, dtype) for x in pdf["numbers"]])
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [0], "numbers": [out.tobytes()]})
 
     schema = "block int, part int, numbers binary"
-    tables = df.coalesce(TASKS).mapInArrow(emit, schema).groupBy("block", "part").applyInPandas(add, schema)
+    tables = (df if tasks == splits else df.coalesce(tasks)).mapInArrow(emit, schema)
+    if parts > 1:
+        tables = tables.groupBy("block", "part").applyInPandas(add, schema)
     out = np.zeros(size, dtype)
     for r in tables.groupBy("block").applyInPandas(add, schema).collect():  # the table's fixed size
         got = np.frombuffer(r.numbers, dtype)
@@ -166,16 +294,23 @@ def _gathered(df: DataFrame, run: Callable, size: int, dtype: type, reduce: np.u
     return out
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashed counters of the lines that hold a token."""
+def _saturating(dtype: type) -> Callable:
+    most = np.iinfo(dtype).max
+    return lambda tables: np.minimum(np.sum(tables, axis=0, dtype=np.uint64), most).astype(dtype)
+
+
+def rarity(blocks: DataFrame) -> np.ndarray:
+    """Order of the tokens: how many sets hold a token (a hashed counter), on a
+    logarithmic scale; 0 for a token of one set."""
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            for x in line_sets(t.as_py() for t in b.column(0)):
-                table += np.bincount((x.hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            for x in Sets.read(b):
+                np.add.at(table, x.slots, np.bincount(x.words, minlength=len(x.hashes)).astype(np.uint32))
         return table
 
-    return _gathered(docs.select(docs[text_col]), run, COUNTERS, np.uint32, np.add)
+    counts = _gathered(blocks, run, COUNTERS, np.uint32, _saturating(np.uint32))
+    return np.round(np.log2(np.maximum(counts, 1)) * 2000).astype(np.uint16)
 
 
 def prefix_length(n, t: float):
@@ -183,62 +318,165 @@ def prefix_length(n, t: float):
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def postings(docs: DataFrame, counters: np.ndarray, t: float, text_col: str = "text") -> DataFrame:
-    """(token, node, n, pos, bits): the probing prefix of every distinct word
-    set, dealt by token (a 32-bit hash here; sets are verified later)."""
+def index_length(n, t: float):
+    """Length of the prefix by which the smaller of two sets is found."""
+    return n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
+
+
+def size_class(n, t: float):
+    """Sizes that differ by a factor of 1 / t at most lie in equal or
+    neighbouring classes."""
+    return np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
+
+
+def prefixes(blocks: DataFrame, rare: np.ndarray, t: float) -> DataFrame:
+    """(node, n, bits, skip, tokens), one row per set: the probing prefix as
+    32-bit hashes (sets are verified later), rarest first, without its first
+    ``skip`` tokens, which stand in this set alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in line_sets(v.as_py() for v in b.column(0)):
-                # below 1 / (1 - t) - 1 words no other set is similar enough
-                able = (x.n >= 2) & (x.n >= t / (1 - t) - 1e-9)
-                first = np.zeros(len(x.n), bool)
-                first[np.unique(x.key, return_index=True)[1]] = True
-                of = x.of
-                here = (able & first)[of]
-                of, h = of[here], x.hashes[here]
-                bits = np.zeros(len(x.n), np.uint64)
-                np.bitwise_or.at(bits, of, np.uint64(1) << (h >> np.uint64(58)))
-                rare = counters[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((h, rare, of))
-                of, h, rare = of[order], h[order], rare[order]
-                pos = np.arange(len(of)) - np.searchsorted(of, of)
-                keep = (pos < prefix_length(x.n, t)[of]) & (rare > 1)
-                of, h, pos = of[keep], h[keep], pos[keep]
-                token = (h >> np.uint64(16)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), pa.array(x.key[of]), pa.array(x.n[of].astype(np.int32)), pa.array(pos.astype(np.int32)),
-                     pa.array(bits[of].view(np.int64))], ["token", "node", "n", "pos", "bits"])
+            for x in Sets.read(b):
+                n, of = x.n, np.repeat(np.arange(len(x.n)), x.n)
+                bits = np.bitwise_or.reduceat((np.uint64(1) << (x.hashes >> np.uint64(58)))[x.words], x.start)
+                common = rare[x.slots]
+                order = np.lexsort((x.hashes, common))  # rarest word first
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                inside = np.sort((of << 32) + place[x.words])[np.arange(len(of)) - x.start[of] < prefix_length(n, t)[of]]
+                of, word = inside >> 32, order[inside & 0xFFFFFFFF]
+                alone = common[word] == 0
+                skip = np.bincount(of[alone], minlength=len(n))
+                token = (x.hashes[word[~alone]] >> np.uint64(16)).astype(np.uint32)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of[~alone], minlength=len(n))) * 4)).astype(np.int32)
+                rows = pa.RecordBatch.from_arrays(
+                    [pa.array(x.key), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(skip.astype(np.int32)),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(token)])],
+                    ["node", "n", "bits", "skip", "tokens"])
+                yield rows.filter(pa.array(np.diff(ends) > 0))
+
+    # tasks that met the same set give the same row
+    return blocks.mapInArrow(run, "node long, n int, bits long, skip int, tokens binary").dropDuplicates(["node"])
+
+
+@dataclass
+class Entries:
+    """Postings of a batch of prefixes: each under the class of its set, which
+    probes, and those of the index prefix under the next class, too."""
+
+    of: np.ndarray
+    pos: np.ndarray
+    key: np.ndarray
+    next_key: np.ndarray
+    index: np.ndarray  # in the index prefix
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch, t: float) -> Entries:
+        n = b.column(1).to_numpy().astype(np.int64)
+        token, c = _flat(b.column(4), np.uint32)
+        of = np.repeat(np.arange(len(n)), c)
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c) + b.column(3).to_numpy()[of]
+        level = size_class(n, t)[of]
+        key = lambda k: _mix((token.astype(np.uint64) << np.uint64(16)) + k.astype(np.uint64))
+        return cls(of, pos, key(level), key(level + 1), pos < index_length(n, t)[of])
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key % np.uint64(KEYS)).astype(np.int64)
+
+
+def occupancy(prefix: DataFrame, t: float) -> np.ndarray:
+    """Whether no, one or more sets probe (first half) and are entered (second
+    half) under a hashed key: two bits each, four to a byte."""
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        table = np.zeros(2 * KEYS, np.uint8)
+        for b in batches:
+            e = Entries.read(b, t)
+            at = np.concatenate((_slot(e.key), KEYS + _slot(e.key[e.index]), KEYS + _slot(e.next_key[e.index])))
+            at, c = np.unique(at, return_counts=True)
+            table[at] = np.minimum(table[at] + c, 2)
+        return table[0::4] | table[1::4] << 2 | table[2::4] << 4 | table[3::4] << 6
+
+    def combine(tables: list[np.ndarray]) -> np.ndarray:
+        out = tables[0].copy()
+        for x in tables[1:]:  # 0, 1 and 2 add up to 2 at most
+            one, two = 0x55, 0xAA
+            out = (out | x) & two | (out & x & one) << 1 | (out ^ x) & one & ~((out | x) >> 1) & one
+        return out
 
-    made = docs.select(docs[text_col]).mapInArrow(run, "token int, node long, n int, pos int, bits long")
-    # one deal by token serves the duplicates and the join below
-    return made.repartition("token").dropDuplicates(["token", "node", "pos"])
+    return _gathered(prefix, run, KEYS // 2, np.uint8, combine)
 
 
-def candidate_pairs(post: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b), a the larger set, that pass all filters."""
-    left = post.select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "bits")])
-    right = post.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "bits")])
+def _count(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return table[at >> 2] >> (at & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
+
+
+def postings(prefix: DataFrame, counts: np.ndarray, t: float, deal: int) -> DataFrame:
+    """(key, node, n, pos, bits, role) of one part of the keys, dealt by key; ``role`` is the sum of 1
+    for a posting that probes and 2 for one that is entered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = Entries.read(b, t)
+            own, nxt = _slot(e.key), _slot(e.next_key)
+            mine, next_mine = (k.astype(np.uint32) % np.uint32(DEALS) == deal for k in (e.key, e.next_key))
+            probe = _count(counts, KEYS + own) > e.index
+            entered = e.index & (_count(counts, own) > 1)
+            further = np.flatnonzero(next_mine & e.index & (_count(counts, nxt) > 0))
+            own = np.flatnonzero(mine & (probe | entered))
+            at = np.concatenate((own, further))
+            role = np.concatenate((probe[own] + 2 * entered[own], np.full(len(further), 2))).astype(np.int32)
+            of = e.of[at]
+            column = lambda i: b.column(i).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((e.key[own], e.next_key[further])).astype(np.uint32).view(np.int32)), column(0), column(1),
+                 pa.array(e.pos[at].astype(np.int32)), column(2), pa.array(role)],
+                ["key", "node", "n", "pos", "bits", "role"])
+
+    made = prefix.mapInArrow(run, "key int, node long, n int, pos int, bits long, role int")
+    return made.repartition("key")  # one deal serves both sides of the join
+
+
+def meetings(post: DataFrame, t: float) -> DataFrame:
+    """(a, b, n1, n2), a the larger set: a row for every key under which two
+    sets meet that pass the length, positional and bitmap filters."""
+    side = lambda k: post.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "bits", "role")])
+    left, right = side(1), side(2)
     both = F.col("n1") + F.col("n2")
     need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)
     reach = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
-    pairs = left.join(right, "token").where(
-        ((F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2"))))
-        & (F.col("n2") >= F.ceil(t * F.col("n1") - 1e-9)) & (reach >= need) & (apart <= both - 2 * need))
+    return left.join(right, "key").where(
+        # the roles are tested together, so that one deal serves both sides
+        (F.col("role1") % 2 + F.floor(F.col("role2") / 2) == 2)
+        & ((F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2"))))
+        & (F.col("n2") >= F.ceil(t * F.col("n1") - 1e-9)) & (reach >= need) & (apart <= both - 2 * need)).select(
+        F.col("node1").alias("a"), F.col("node2").alias("b"), "n1", "n2")
+
+
+def candidate_pairs(met: list[DataFrame], t: float) -> DataFrame:
+    """Distinct (a, b) whose sets meet often enough."""
+    pairs = reduce(DataFrame.unionByName, met)
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - 1e-9)
     # beyond the prefix that ends first no more than the rest of that set is shared
-    rest = lambda n: F.ceil(t * F.col(n) - 1e-9) - 1
-    shared = pairs.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b"), "n1", "n2").agg(F.count("*").alias("c"))
-    return shared.where(F.col("c") >= need - F.greatest(rest("n1"), rest("n2"))).select("a", "b")
+    rest = F.greatest(F.ceil(t * F.col("n1") - 1e-9), F.ceil(2 * t / (1 + t) * F.col("n2") - 1e-9)) - 1
+    shared = pairs.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") >= need - rest).select("a", "b")
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % (BITMAP_BYTES * 8)
 
 
-def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(a, b, jaccard): all links between different word sets of lines."""
+def line_links(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard): all links between different word sets of the blocks
+    that :func:`split_lines` made for this threshold; the blocks are deleted."""
     t = threshold
-    pairs = stash(candidate_pairs(postings(docs, rarity(docs, text_col), t, text_col), t), "line-pairs")
+    prefix = stash(prefixes(blocks, rarity(blocks), t), "line-prefixes")
+    counts = occupancy(prefix, t)
+    met = [stash(meetings(postings(prefix, counts, t, k), t), "line-meetings") for k in range(DEALS)]
+    drop_stash(prefix)
+    pairs = stash(candidate_pairs(met, t), "line-pairs")
+    for m in met:
+        drop_stash(m)
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -248,21 +486,20 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return table
 
-    bitmap = _gathered(touched, mark, BITMAP_BYTES, np.uint8, np.bitwise_or)
+    bitmap = _gathered(touched, mark, BITMAP_BYTES, np.uint8, np.bitwise_or.reduce)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in line_sets(t.as_py() for t in b.column(0)):
+            for x in Sets.read(b):
                 at = _slots(x.key)
-                hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                hit = hit[np.unique(x.key[hit], return_index=True)[1]]
-                hashes = x.hashes.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.key[hit]), pa.array([hashes[x.start[k]:x.start[k] + x.n[k]] for k in hit.tolist()], pa.list_(pa.int64()))],
-                    ["node", "tokens"])
+                hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                h = x.hashes.view(np.int64)[x.words[np.repeat(hit, x.n)]]
+                ends = pa.array(np.concatenate(([0], np.cumsum(x.n[hit]))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[hit]), pa.ListArray.from_arrays(ends, pa.array(h))], ["node", "tokens"])
 
-    tokens = docs.select(docs[text_col]).mapInArrow(sets, "node long, tokens array<long>")
+    tokens = blocks.mapInArrow(marked, "node long, tokens array<long>")
     tokens = stash(tokens.join(touched.distinct(), "node", "left_semi").dropDuplicates(["node"]), "line-sets")
+    drop_stash(blocks)
     both = (pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -271,6 +508,12 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     return stash(scored.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t - 1e-12), "line-links")
 
 
+def _nodes(lines: DataFrame) -> DataFrame:
+    """(node, lines, first): how many lines a word set has and which is first."""
+    return stash(lines.groupBy(F.col("key").alias("node")).agg(
+        F.count("*").alias("lines"), F.min(F.struct("id", "line", "th")).alias("first")), "line-nodes")
+
+
 def judge_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, n_lines, removed, n_links) of every row with words.
 
@@ -279,10 +522,10 @@ def judge_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     lines the other lines of similar but different word sets.  Order is (id,
     line number, text hash), null ids first.
     """
-    lines = stash(explode_lines(docs, id_col, text_col), "lines")
-    nodes = stash(lines.groupBy(F.col("key").alias("node")).agg(
-        F.count("*").alias("lines"), F.min(F.struct("id", "line", "th")).alias("first")), "line-nodes")
-    links = line_links(docs, threshold, text_col)
+    lines, blocks = split_lines(docs, threshold, id_col, text_col)
+    with _spent_shuffles(docs.sparkSession):
+        links = line_links(blocks, threshold)
+        nodes = _nodes(lines)
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     near = ends.join(nodes.select(F.col("node").alias("other"), "first", "lines"), "other").groupBy("node").agg(
