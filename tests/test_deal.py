@@ -5,7 +5,7 @@ import re
 import pytest
 
 from quire import session
-from quire.plans.compress import compress_round
+from quire.plans.compress import adaptive_compress, compress_round
 
 TEXT = "\n".join(f"Line {i} tells of rivers and hills. It ends soon." for i in range(40))
 
@@ -33,3 +33,11 @@ def test_splits_are_dealt_by_size(spark, books, monkeypatch):
     size = sum(len(r.content) for r in books.collect())
     assert dealt_to(many) == [-(-size // 2000)] and dealt_to(few)[0] < dealt_to(many)[0]
     assert rows(many) == rows(few)
+
+
+def test_rounds_are_dealt_by_size(spark, books, monkeypatch):
+    run = lambda: adaptive_compress(spark, books.drop("lang"), ["book"], 200, 150)
+    few, seen = rows(run()), []
+    counted = lambda texts, col: seen.append(col) or 40
+    monkeypatch.setattr("quire.plans.compress.text_tasks", counted)
+    assert rows(run()) == few and seen == ["content"] * len(seen) and len(seen) == max(r[1] for r in few)
