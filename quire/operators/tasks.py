@@ -14,7 +14,7 @@ from quire import fixed
 from quire.functions.text import parse_lines, word_tokens
 from quire.operators.chunks import target_size
 from quire.operators.extractive import extractive_abstracts
-from quire.session import written
+from quire.session import text_tasks, written
 
 # Function words left out of keywords (per language code; our own lists).
 STOP_WORDS = {
@@ -36,10 +36,10 @@ def stop_words_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, term string")
 
 
-def term_counts(books: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, term, tf) after one exchange on the first key (the book; the
-    explode happens after it, and later per-book windows reuse it)."""
-    base = books.repartition(keys[0])
+def term_counts(books: DataFrame, keys: list[str], text_col: str, tasks: int) -> DataFrame:
+    """(keys, term, tf) after one exchange on the first key (the book) to
+    ``tasks`` tasks; the explode happens after it."""
+    base = books.repartition(tasks, keys[0])
     t = base.select(*keys, F.explode_outer(word_tokens(text_col)).alias("term")).filter(F.col("term").isNotNull())
     return t.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
@@ -70,7 +70,8 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     short or numeric tokens removed, top ``top`` per book (ties by term).
     Returns ``book, rank, keyword, score``."""
     keys = [book_col, lang_col]
-    tf = term_counts(books.select(*keys, text_col), keys, text_col)
+    tasks = text_tasks(books, text_col)
+    tf = term_counts(books.select(*keys, text_col), keys, text_col, tasks)
     tf = tf.filter((F.length("term") >= MIN_KEYWORD_LEN) & ~F.col("term").rlike("^[0-9]+$"))
     stop = stop_words_df(spark).withColumnRenamed("lang", lang_col)
     tf = tf.join(F.broadcast(stop), [lang_col, "term"], "left_anti")   # fixed-size list
@@ -134,7 +135,8 @@ def categories(books: DataFrame, book_col: str, text_col: str, model: tuple[Data
     log of an unseen term is the same for all terms of a class, so a book needs
     the count of its known occurrences times that, and a correction only where
     (term, class) was seen: one join with the count table, one sum.  A term that
-    all classes know meets one row per class, whatever the number of books.
+    all classes know meets one row per class, whatever the number of books, and
+    rows of terms that stand in many books are dealt by book.
     """
     terms, classes = model
     fields = classes.orderBy("category").limit(MAX_CLASSES + 1).collect()
@@ -145,10 +147,23 @@ def categories(books: DataFrame, book_col: str, text_col: str, model: tuple[Data
                               F.lit(r.n_terms + r.n_vocabulary).alias("size")) for r in fields])
     if not fields:
         each = F.array().cast("array<struct<category:string,prior:double,size:bigint>>")
-    tf = term_counts(books.select(book_col, text_col), [book_col], text_col)
+    tasks = text_tasks(books, text_col)
+    tf = written(term_counts(books.select(book_col, text_col), [book_col], text_col, tasks), "term-counts")
     # all seen classes of a term with its counts, in one row per term
-    seen = terms.groupBy("term").agg(F.collect_list(F.struct("category", "n")).alias("seen"))
-    hit = tf.join(seen, "term")
+    seen = written(terms.groupBy("term").agg(F.collect_list(F.struct("category", "n")).alias("seen")), "seen-terms")
+    often = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > books.count() * FREQUENT_SHARE)
+    often = written(seen.join(often, "term", "left_semi").withColumnRenamed("seen", "__often"), "frequent-terms")
+    if (often.agg(F.sum(F.size("__often"))).first()[0] or 0) <= MAX_BROADCAST_TERMS:
+        tf = tf.join(F.broadcast(often), "term", "left")
+    else:
+        salted = often.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_SALTS - 1).cast("long"))))
+        at = ["term", "__salt"]
+        tf = tf.withColumn("__salt", F.pmod(F.xxhash64(book_col), F.lit(TERM_SALTS))).repartition(tasks, *at).join(
+            salted.repartition(tasks, *at), at, "left").drop("__salt")
+    by = F.when(F.col("__often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col(book_col).cast("string")))
+    hit = tf.withColumn("__by", by).repartition(tasks, "__by").join(
+        seen.withColumnRenamed("term", "__by").repartition(tasks, "__by"), "__by", "left")
+    hit = hit.withColumn("seen", F.coalesce("__often", "seen")).where(F.col("seen").isNotNull())
     per_book = hit.groupBy(book_col).agg(F.sum("tf").alias("known"))
     gains = (hit.select(book_col, "tf", F.explode("seen").alias("s")).groupBy(book_col, "s.category")
              .agg(F.sum(F.col("tf") * F.log(F.col("s.n") + 1)).alias("gain")))

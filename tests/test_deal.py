@@ -5,6 +5,7 @@ import re
 import pytest
 
 from quire import session
+from quire.operators import tasks as TK
 from quire.plans.compress import adaptive_compress, compress_round
 
 TEXT = "\n".join(f"Line {i} tells of rivers and hills. It ends soon." for i in range(40))
@@ -41,3 +42,17 @@ def test_rounds_are_dealt_by_size(spark, books, monkeypatch):
     counted = lambda texts, col: seen.append(col) or 40
     monkeypatch.setattr("quire.plans.compress.text_tasks", counted)
     assert rows(run()) == few and seen == ["content"] * len(seen) and len(seen) == max(r[1] for r in few)
+
+
+@pytest.mark.parametrize("most", [TK.MAX_BROADCAST_TERMS, 3])
+def test_frequent_terms_of_categories_are_dealt_by_book(spark, monkeypatch, most):
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    texts = [(i, " ".join(words[i % 7:i % 7 + 5] * 2 + ["everywhere", f"only{'xyz'[i % 3]}"]), "ab"[i % 2]) for i in range(400)]
+    books = spark.createDataFrame(texts, "book long, text string, class string")
+    model = TK.train_categories(books, "book", "text", "class")
+    plain = rows(TK.categories(books.select("book", "text"), "book", "text", model))
+    monkeypatch.setattr(TK, "MAX_BROADCAST_TERMS", most)
+    monkeypatch.setattr(TK, "text_tasks", lambda texts, col: 40)
+    many = TK.categories(books.select("book", "text"), "book", "text", model)
+    assert 40 in dealt_to(many) and "__by" in many._jdf.queryExecution().analyzed().toString()
+    assert rows(many) == plain
