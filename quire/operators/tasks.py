@@ -209,8 +209,8 @@ def summary_inputs(abstracts: DataFrame, keys: list[str]) -> DataFrame:
 
 def native_summaries(inputs: DataFrame, keys: list[str]) -> DataFrame:
     """G5 native: extractive digest of each input at a tenth of its size.
-    ``inputs`` come from a ``groupBy`` on the book (see :func:`summary_inputs`),
-    so they are already clustered by book and need no further exchange."""
+    ``inputs`` (see :func:`summary_inputs`) are made once and dealt by size."""
+    inputs = written(inputs, "summary-inputs")
     staged = inputs.withColumn("target_size", target_size("input"))
-    out = extractive_abstracts(staged, keys + ["kind"], chunk_col="input", out_col="summary", prepartitioned=True)
+    out = extractive_abstracts(staged, keys + ["kind"], chunk_col="input", out_col="summary", num_partitions=text_tasks(inputs, "input"))
     return out.drop("target_size")

@@ -44,6 +44,14 @@ def test_rounds_are_dealt_by_size(spark, books, monkeypatch):
     assert rows(run()) == few and seen == ["content"] * len(seen) and len(seen) == max(r[1] for r in few)
 
 
+def test_summaries_are_dealt_by_size(spark, books, monkeypatch):
+    inputs = books.select("book", "lang", "content").toDF("book", "kind", "input")
+    few = TK.native_summaries(inputs, ["book"])
+    monkeypatch.setattr("quire.operators.tasks.text_tasks", lambda texts, col: 40)
+    many = TK.native_summaries(inputs, ["book"])
+    assert dealt_to(many) == [40] and rows(many) == rows(few)
+
+
 @pytest.mark.parametrize("most", [TK.MAX_BROADCAST_TERMS, 3])
 def test_frequent_terms_of_categories_are_dealt_by_book(spark, monkeypatch, most):
     words = [f"word{chr(97 + k)}" for k in range(20)]
