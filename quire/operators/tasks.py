@@ -70,6 +70,7 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
     short or numeric tokens removed, top ``top`` per book (ties by term).
     Returns ``book, rank, keyword, score``."""
     keys = [book_col, lang_col]
+    # every exchange of these rows is dealt by the size of the texts
     tasks = text_tasks(books, text_col)
     tf = term_counts(books.select(*keys, text_col), keys, text_col, tasks)
     tf = tf.filter((F.length("term") >= MIN_KEYWORD_LEN) & ~F.col("term").rlike("^[0-9]+$"))
@@ -88,12 +89,14 @@ def keywords(spark: SparkSession, books: DataFrame, book_col: str, lang_col: str
         tf = tf.join(F.broadcast(often), [lang_col, "term"], "left")
     else:
         salted = often.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_SALTS - 1).cast("long"))))
-        tf = tf.withColumn("__salt", F.pmod(F.xxhash64(book_col), F.lit(TERM_SALTS))).join(
-            salted, [lang_col, "term", "__salt"], "left").drop("__salt")
+        at = [lang_col, "term", "__salt"]
+        tf = tf.withColumn("__salt", F.pmod(F.xxhash64(book_col), F.lit(TERM_SALTS))).repartition(tasks, *at).join(
+            salted.repartition(tasks, *at), at, "left").drop("__salt")
     by = F.when(F.col("__often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col(book_col).cast("string")))
-    s = tf.withColumn("__by", by).join(df.withColumnRenamed("term", "__by"), [lang_col, "__by"], "left")
+    at = [lang_col, "__by"]
+    s = tf.withColumn("__by", by).repartition(tasks, *at).join(df.withColumnRenamed("term", "__by").repartition(tasks, *at), at, "left")
     s = s.withColumn("df", F.coalesce("__often", "df")).join(per_lang, lang_col)
-    s = s.withColumn("score", F.col("tf") * F.log(F.col("n_books") / F.col("df")))
+    s = s.withColumn("score", F.col("tf") * F.log(F.col("n_books") / F.col("df"))).repartition(tasks, book_col)
     w = Window.partitionBy(book_col).orderBy(F.round("score", 9).desc(), F.col("term"))
     r = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return r.select(book_col, F.col("rank").cast("bigint").alias("rank"), F.col("term").alias("keyword"),

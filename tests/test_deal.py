@@ -52,6 +52,14 @@ def test_summaries_are_dealt_by_size(spark, books, monkeypatch):
     assert dealt_to(many) == [40] and rows(many) == rows(few)
 
 
+def test_keyword_rows_are_dealt_by_size(spark, books, monkeypatch):
+    run = lambda: TK.keywords(spark, books, "book", "lang", "content")
+    few = run()
+    monkeypatch.setattr(TK, "text_tasks", lambda texts, col: 40)
+    many = run()
+    assert dealt_to(many).count(40) >= 2 and rows(many) == rows(few)
+
+
 @pytest.mark.parametrize("most", [TK.MAX_BROADCAST_TERMS, 3])
 def test_frequent_terms_of_categories_are_dealt_by_book(spark, monkeypatch, most):
     words = [f"word{chr(97 + k)}" for k in range(20)]
