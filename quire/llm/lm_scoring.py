@@ -130,7 +130,7 @@ def _hash(kind: int, *values: np.ndarray) -> np.ndarray:
     for v in values:
         h = (h ^ (v.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(BUCKETS)).astype(np.int64)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)  # a power of two
 
 
 def class_features(ctx: list[np.ndarray]) -> list[np.ndarray]:
@@ -143,9 +143,25 @@ def member_features(ctx: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
     return [_hash(5, cls, p1), _hash(6, cls, p2), _hash(7, cls, far)]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _add_weights(z: np.ndarray, weights: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+    for f in feats:
+        z += weights.take(f, axis=0)
+    return z
+
+
+def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log softmax of one outcome of each row; ``z`` is spent."""
+    z -= z.max(axis=1, keepdims=True)
+    at = z[np.arange(len(z)), chosen]
+    return at - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _gradient(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Softmax less the outcome that was seen, in place."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), chosen] -= 1
     return z
 
 
@@ -158,19 +174,15 @@ def natural_scores(model: LanguageModel, ids: np.ndarray, owner: np.ndarray) ->
     """log P of each token, without the word's share of a tail class."""
     out = np.zeros(len(ids))
     ctx = model.contexts(ids, owner)
-    for lo in range(0, len(ids), BATCH * 4):
-        part = slice(lo, lo + BATCH * 4)
+    for lo in range(0, len(ids), BATCH):
+        part = slice(lo, lo + BATCH)
         sub, i = [c[part] for c in ctx], ids[part]
         cls = targets(i)
         z = np.repeat(model.class_prior[None], len(i), axis=0)
-        for f in class_features(sub):
-            z += model.weights[f]
-        logp = _log_softmax(z)[np.arange(len(i)), cls].astype(np.float64)
+        logp = _log_chosen(_add_weights(z, model.weights, class_features(sub)), cls).astype(np.float64)
         h = np.flatnonzero(cls < HEAD_CLASSES)
-        z = model.member_prior[cls[h]]
-        for f in member_features([c[h] for c in sub], cls[h]):
-            z += model.weights[f]
-        logp[h] += _log_softmax(z)[np.arange(len(h)), i[h] % WIDTH]
+        z = model.member_prior.take(cls[h], axis=0)
+        logp[h] += _log_chosen(_add_weights(z, model.weights, member_features([c[h] for c in sub], cls[h])), i[h] % WIDTH)
         out[part] = logp
     return out
 
@@ -178,10 +190,14 @@ def natural_scores(model: LanguageModel, ids: np.ndarray, owner: np.ndarray) ->
 def _step(weights: np.ndarray, feats: list[np.ndarray], grad: np.ndarray, scale: np.ndarray) -> None:
     """Adagrad step on the rows of the hashed features, in place."""
     for f in feats:
-        order = np.argsort(f, kind="stable")
-        rows, start = np.unique(f[order], return_index=True)
-        g = np.add.reduceat(grad[order], start, axis=0)
-        scale[rows] += (g * g).mean(axis=1)
+        short = f.astype(np.uint16)  # sorted by radix
+        order = np.argsort(short, kind="stable")
+        sorted_rows = short[order]
+        start = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+        rows = sorted_rows[start]
+        # two numbers at a time: half as many sums
+        g = np.add.reduceat(grad.take(order, axis=0).view(np.complex64), start, axis=0).view(np.float32)
+        scale[rows] += np.einsum("ij,ij->i", g, g) / np.float32(WIDTH)
         weights[rows] -= (RATE / np.sqrt(scale[rows]))[:, None] * g
 
 
@@ -194,21 +210,13 @@ def train_batch(model: LanguageModel, weights: np.ndarray, scale: np.ndarray, id
         cls = targets(i)
         feats = class_features(sub)
         z = np.repeat(model.class_prior[None], len(i), axis=0)
-        for f in feats:
-            z += weights[f]
-        g = np.exp(_log_softmax(z))
-        g[np.arange(len(i)), cls] -= 1
-        _step(weights, feats, g, scale)
+        _step(weights, feats, _gradient(_add_weights(z, weights, feats), cls), scale)
         h = np.flatnonzero(cls < HEAD_CLASSES)
         if not len(h):
             continue
         feats = member_features([c[h] for c in sub], cls[h])
-        z = model.member_prior[cls[h]]
-        for f in feats:
-            z += weights[f]
-        g = np.exp(_log_softmax(z))
-        g[np.arange(len(h)), i[h] % WIDTH] -= 1
-        _step(weights, feats, g, scale)
+        z = model.member_prior.take(cls[h], axis=0)
+        _step(weights, feats, _gradient(_add_weights(z, weights, feats), i[h] % WIDTH), scale)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -304,8 +312,6 @@ def score_texts(docs: DataFrame, model: LanguageModel, counts: DataFrame, id_col
     empty table gives no rows, other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-
         def flush(ids, texts):
             codes, owner = model.encode(texts)
             logp = natural_scores(model, codes, owner)
@@ -315,16 +321,23 @@ def score_texts(docs: DataFrame, model: LanguageModel, counts: DataFrame, id_col
             logp[middle] += np.log(c[middle] / model.middle_total)
             base = np.where(known, model.base_log10(c) if model.total else 0.0, 0.0)
             k = len(texts)
-            rare = []
-            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).tolist()
-            unknown = ~known
+            starts = np.cumsum([0] + [len(t) for t in texts])
+            at = np.flatnonzero(~known)
+            of = owner[at]
+            tokens, times, ends = [], [], [0]
+            where = np.searchsorted(of, np.arange(k + 1)).tolist()
+            at = (at - starts[of]).tolist()
             for i, ws in enumerate(texts):
-                at = np.flatnonzero(unknown[starts[i]:starts[i + 1]])
-                rare.append([{"token": t, "n": n} for t, n in Counter(ws[a] for a in at.tolist()).items()])
+                found = Counter([ws[a] for a in at[where[i]:where[i + 1]]])
+                tokens.extend(found)
+                times.extend(found.values())
+                ends.append(len(tokens))
+            rare = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "n"]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_pa), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array(np.bincount(owner, known, k).astype(np.int64)), pa.array(np.bincount(owner, base, k)),
-                 pa.array(np.bincount(owner, logp, k) / np.log(10)), pa.array(rare, rare_type)], names)
+                 pa.array(np.bincount(owner, logp, k) / np.log(10)), rare], names)
 
         for b in batches:
             ids, texts, size = [], [], 0
