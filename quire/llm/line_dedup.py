@@ -32,6 +32,14 @@ and token sets move for candidate pairs only (a fixed-size bitmap of the
 candidates, exact semi-join behind it, tells which).  The keys are dealt in
 ``DEALS`` parts, and shuffle files and tables go when they were read, so that
 the disk holds a part of the postings at a time.
+
+Near copies of one line would meet under nearly every key, and each pair of
+them would be a row.  So sets that agree in min-hashes are put in groups
+first; the join leaves pairs of one group out, and a group is compared in tiles
+of ``CHUNK`` by ``CHUNK`` sets that give a row for each set and tile: how many
+lines it links with there, and the earliest.  Any grouping gives the same
+result, since pairs are either of one group or not.  Tiles still compare all
+pairs of a group, as numbers in a matrix.
 """
 
 from __future__ import annotations
@@ -44,6 +52,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +67,11 @@ COUNTERS = 1 << 22
 KEYS = 1 << 24  # hashed keys of postings, half a byte each
 DEALS = 3  # parts of the keys, dealt and joined one after the other
 BITMAP_BYTES = 1 << 22
+ROUNDS = 4  # signatures of a set, by which it finds its group
+HASHES = 4  # min-hashes in a signature
+ADOPT = 4  # sets with one label and signature that others follow
+GROUP = 8  # sets in a group at least
+CHUNK = 512  # sets of a group on one side of a tile, about
 SPLITS = 16  # input splits behind one partial table, where there are many
 _BLOCK = 1 << 18
 _SEEN = 500_000
@@ -329,10 +343,27 @@ def size_class(n, t: float):
     return np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
 
 
+SIGNATURES = [f"sig{r}" for r in range(ROUNDS)]
+
+
+def signatures(x: Sets, give: np.ndarray) -> list[np.ndarray]:
+    """Signatures of some of the sets: near copies agree in one more often than not."""
+    n = x.n[give]
+    words, start = x.words[np.repeat(give, x.n)], np.cumsum(n) - n
+    out = []
+    for r in range(ROUNDS):
+        sig = np.zeros(len(n), np.uint64)
+        for i in range(r * HASHES + 1, (r + 1) * HASHES + 1):
+            if len(n):
+                sig = _mix(sig + np.minimum.reduceat(_mix(_mix(x.hashes + np.uint64(i)) + np.uint64(i))[words], start))
+        out.append(sig.view(np.int64))
+    return out
+
+
 def prefixes(blocks: DataFrame, rare: np.ndarray, t: float) -> DataFrame:
-    """(node, n, bits, skip, tokens), one row per set: the probing prefix as
-    32-bit hashes (sets are verified later), rarest first, without its first
-    ``skip`` tokens, which stand in this set alone."""
+    """(node, n, bits, skip, tokens, signatures), one row per set: the probing
+    prefix as 32-bit hashes (sets are verified later), rarest first, without its
+    first ``skip`` tokens, which stand in this set alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in Sets.read(b):
@@ -348,14 +379,36 @@ def prefixes(blocks: DataFrame, rare: np.ndarray, t: float) -> DataFrame:
                 skip = np.bincount(of[alone], minlength=len(n))
                 token = (x.hashes[word[~alone]] >> np.uint64(16)).astype(np.uint32)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(of[~alone], minlength=len(n))) * 4)).astype(np.int32)
+                give = np.diff(ends) > 0
                 rows = pa.RecordBatch.from_arrays(
                     [pa.array(x.key), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(skip.astype(np.int32)),
                      pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(token)])],
-                    ["node", "n", "bits", "skip", "tokens"])
-                yield rows.filter(pa.array(np.diff(ends) > 0))
+                    ["node", "n", "bits", "skip", "tokens"]).filter(pa.array(give))
+                yield pa.RecordBatch.from_arrays(rows.columns + [pa.array(v) for v in signatures(x, give)], rows.schema.names + SIGNATURES)
 
     # tasks that met the same set give the same row
-    return blocks.mapInArrow(run, "node long, n int, bits long, skip int, tokens binary").dropDuplicates(["node"])
+    schema = "node long, n int, bits long, skip int, tokens binary" + "".join(f", {c} long" for c in SIGNATURES)
+    return blocks.mapInArrow(run, schema).dropDuplicates(["node"])
+
+
+def near_groups(prefix: DataFrame) -> DataFrame:
+    """(node, cluster, parts) of the sets in groups, ``parts`` the chunks of the group.
+
+    The first signature is a set's label; for every further one, a set takes
+    the label most sets with that signature have, if these are ``ADOPT``."""
+    label = prefix.select("node", *SIGNATURES[1:], F.col(SIGNATURES[0]).alias("cluster"))
+    for r, sig in enumerate(SIGNATURES[1:]):
+        most = label.groupBy(sig, "cluster").agg(F.count("*").alias("c")).where(F.col("c") >= ADOPT).groupBy(sig).agg(
+            F.max(F.struct("c", "cluster"))["cluster"].alias("most"))
+        before, rest = label, SIGNATURES[r + 2:]
+        label = stash(label.join(most, sig, "left").select("node", *rest, F.coalesce("most", "cluster").alias("cluster")), "line-labels")
+        if r:
+            drop_stash(before)
+    # 0 stands for no group
+    sizes = label.where(F.col("cluster") != 0).groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") >= GROUP)
+    groups = stash(label.join(sizes, "cluster").select("node", "cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("parts")), "line-groups")
+    drop_stash(label)
+    return groups
 
 
 @dataclass
@@ -411,7 +464,7 @@ def _count(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def postings(prefix: DataFrame, counts: np.ndarray, t: float, deal: int) -> DataFrame:
-    """(key, node, n, pos, bits, role) of one part of the keys, dealt by key; ``role`` is the sum of 1
+    """(key, node, n, pos, bits, role, cluster) of one part of the keys, dealt by key; ``role`` is the sum of 1
     for a posting that probes and 2 for one that is entered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -428,25 +481,27 @@ def postings(prefix: DataFrame, counts: np.ndarray, t: float, deal: int) -> Data
             column = lambda i: b.column(i).take(pa.array(of))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate((e.key[own], e.next_key[further])).astype(np.uint32).view(np.int32)), column(0), column(1),
-                 pa.array(e.pos[at].astype(np.int32)), column(2), pa.array(role)],
-                ["key", "node", "n", "pos", "bits", "role"])
+                 pa.array(e.pos[at].astype(np.int32)), column(2), pa.array(role), column(5)],
+                ["key", "node", "n", "pos", "bits", "role", "cluster"])
 
-    made = prefix.mapInArrow(run, "key int, node long, n int, pos int, bits long, role int")
+    made = prefix.mapInArrow(run, "key int, node long, n int, pos int, bits long, role int, cluster long")
     return made.repartition("key")  # one deal serves both sides of the join
 
 
 def meetings(post: DataFrame, t: float) -> DataFrame:
     """(a, b, n1, n2), a the larger set: a row for every key under which two
-    sets meet that pass the length, positional and bitmap filters."""
-    side = lambda k: post.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "bits", "role")])
+    sets of different groups meet that pass the length, positional and bitmap
+    filters."""
+    side = lambda k: post.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "bits", "role", "cluster")])
     left, right = side(1), side(2)
     both = F.col("n1") + F.col("n2")
     need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)
     reach = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
     return left.join(right, "key").where(
-        # the roles are tested together, so that one deal serves both sides
-        (F.col("role1") % 2 + F.floor(F.col("role2") / 2) == 2)
+        # roles and groups are tested together, so that one deal serves both sides
+        ((F.col("cluster1") != F.col("cluster2")) | (F.col("cluster1") == 0))
+        & (F.col("role1") % 2 + F.floor(F.col("role2") / 2) == 2)
         & ((F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2"))))
         & (F.col("n2") >= F.ceil(t * F.col("n1") - 1e-9)) & (reach >= need) & (apart <= both - 2 * need)).select(
         F.col("node1").alias("a"), F.col("node2").alias("b"), "n1", "n2")
@@ -466,18 +521,105 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % (BITMAP_BYTES * 8)
 
 
-def line_links(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard): all links between different word sets of the blocks
-    that :func:`split_lines` made for this threshold; the blocks are deleted."""
+def _shared(row: np.ndarray, token: np.ndarray, m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens the sets ``left`` share with the sets ``right``, out of
+    (row, token) pairs of ``m`` sets, as a matrix of floats; a set's own count
+    leaves out what it alone holds.
+
+    What more than half of the sets hold is counted by those that lack it; few
+    pairs are left of near copies.  Tokens of few sets are counted pair by
+    pair, others as columns of a matrix."""
+    _, token, count = np.unique(token, return_inverse=True, return_counts=True)
+    core = count * 2 > m
+    held = np.zeros((m, core.sum()), bool)
+    inside = core[token]
+    held[row[inside], (np.cumsum(core) - 1)[token[inside]]] = True
+    lack, missing = np.nonzero(~held)
+    lacks = np.bincount(lack, minlength=m).astype(np.float32)
+    row = np.concatenate((row[~inside], lack))
+    token = np.concatenate((token[~inside], missing + len(count)))
+    _, token, count = np.unique(token, return_inverse=True, return_counts=True)
+    out = np.float32(core.sum()) - lacks[left][:, None] - lacks[right]
+
+    at = lambda rows: np.bincount(rows, np.arange(1, len(rows) + 1), m).astype(np.int64) - 1
+    many = count * 64 > m
+    columns = np.zeros((m, many.sum()), np.float32)
+    inside = many[token]
+    columns[row[inside], (np.cumsum(many) - 1)[token[inside]]] = 1
+    out += columns[left] @ columns[right].T
+
+    few = ~inside & (count > 1)[token]
+    i, j = row[few], row[few]
+    i, of_i = at(left)[i][at(left)[i] >= 0], token[few][at(left)[i] >= 0]
+    j, of_j = at(right)[j][at(right)[j] >= 0], token[few][at(right)[j] >= 0]
+    j = j[np.argsort(of_j, kind="stable")]
+    size = np.bincount(of_j, minlength=len(count))
+    c = size[of_i]  # each of the left meets all of the right with its token
+    begin = np.repeat((np.cumsum(size) - size)[of_i] - (np.cumsum(c) - c), c)
+    pairs = np.repeat(i, c) * len(right) + j[begin + np.arange(len(begin))]
+    out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+    return out
+
+
+TILE = ["cluster", "low", "high"]
+
+
+def group_links(members: DataFrame, t: float) -> DataFrame:
+    """(node, other, links) of the links between the sets of a group: a row for
+    each set and tile of its group with links, how many lines it links with and
+    which set's first line is the earliest of them.
+
+    ``members``: (node, tokens, cluster, parts, lines, id, line, th), the last
+    three of the set's first line."""
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    tiles = (members.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with")).drop("with", "parts"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        # in Spark's order, null ids first
+        tile = tile.take(pc.sort_indices(tile, [(c, "ascending") for c in ("id", "line", "th")], null_placement="at_start")).combine_chunks()
+        node, lines, part = (tile.column(c).to_numpy() for c in ("node", "lines", "part"))
+        tokens = tile.column("tokens").combine_chunks()
+        n = pc.list_value_length(tokens).to_numpy().astype(np.int64)
+        low, high = tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        shared = _shared(np.repeat(np.arange(len(n)), n), tokens.flatten().to_numpy(), len(n), left, right).astype(np.float64)
+        both = (n[left][:, None] + n[right]).astype(np.float64)
+        like = shared / (both - shared) >= t - 1e-12
+        if low == high:
+            np.fill_diagonal(like, False)
+        out = []
+        for like, a, b in [(like, left, right)] + [(like.T, right, left)] * (low != high):
+            if like.size:
+                hit = np.flatnonzero(like.any(axis=1))
+                links = like[hit].astype(np.float64) @ lines[b].astype(np.float64)
+                out.append((node[a[hit]], node[b[like[hit].argmax(axis=1)]], links.astype(np.int64)))
+        return pa.table([np.concatenate([np.zeros(0, np.int64)] + [x[i] for x in out]) for i in range(3)], ["node", "other", "links"])
+
+    return tiles.groupBy(*TILE).applyInArrow(compare, "node long, other long, links long")
+
+
+def line_links(blocks: DataFrame, lines: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All links between different word sets of the blocks that
+    :func:`split_lines` made for this threshold; the blocks are deleted.
+
+    Nodes: (node, lines, first), how many lines a word set has and which is
+    first.  Links: (node, other, links), a row for each side of a link between
+    sets of different groups, ``links`` null, and the rows of
+    :func:`group_links`."""
     t = threshold
-    prefix = stash(prefixes(blocks, rarity(blocks), t), "line-prefixes")
+    signed = stash(prefixes(blocks, rarity(blocks), t), "line-prefixes")
+    groups = near_groups(signed)
+    prefix = stash(signed.drop(*SIGNATURES).join(groups.drop("parts"), "node", "left").fillna(0, ["cluster"]), "line-prefixes")
+    drop_stash(signed)
     counts = occupancy(prefix, t)
     met = [stash(meetings(postings(prefix, counts, t, k), t), "line-meetings") for k in range(DEALS)]
     drop_stash(prefix)
     pairs = stash(candidate_pairs(met, t), "line-pairs")
     for m in met:
         drop_stash(m)
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    nodes = _nodes(lines)
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(BITMAP_BYTES, np.uint8)
@@ -505,7 +647,16 @@ def line_links(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = F.size(F.array_intersect("ta", "tb"))
     scored = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), shared.alias("s"))
     jaccard = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
-    return stash(scored.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t - 1e-12), "line-links")
+    links = scored.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= t - 1e-12)
+    links = stash(links, "line-links")
+    none = F.lit(None).cast("long").alias("links")
+    members = tokens.join(groups, "node").join(nodes.select("node", "lines", "first.*"), "node")
+    inside = stash(group_links(members, t), "line-links")
+    drop_stash(groups)
+    drop_stash(tokens)
+    drop_stash(pairs)
+    return nodes, (inside.union(links.select(F.col("a").alias("node"), F.col("b").alias("other"), none))
+                   .union(links.select(F.col("b").alias("node"), F.col("a").alias("other"), none)))
 
 
 def _nodes(lines: DataFrame) -> DataFrame:
@@ -524,12 +675,9 @@ def judge_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     lines, blocks = split_lines(docs, threshold, id_col, text_col)
     with _spent_shuffles(docs.sparkSession):
-        links = line_links(blocks, threshold)
-        nodes = _nodes(lines)
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    near = ends.join(nodes.select(F.col("node").alias("other"), "first", "lines"), "other").groupBy("node").agg(
-        F.min("first").alias("near_first"), F.sum("lines").alias("links"))
+        nodes, links = line_links(blocks, lines, threshold)
+    near = links.join(nodes.select(F.col("node").alias("other"), "first", "lines"), "other").groupBy("node").agg(
+        F.min("first").alias("near_first"), F.sum(F.coalesce("links", "lines")).alias("links"))
     marks = nodes.join(near, "node", "left").select(
         F.col("node").alias("key"), F.least("first", F.coalesce("near_first", "first")).alias("earliest"), F.coalesce("links", F.lit(0)).alias("links"))
     judged = lines.join(marks, "key").withColumn("gone", F.col("earliest") < F.struct("id", "line", "th"))
