@@ -6,8 +6,9 @@ Jaccard similarity of at least ``t`` must share a token among the first
 ``n - ceil(2 t / (1 + t) * n) + 1`` of the smaller set (prefix filter), their
 sizes must be within ``t`` of each other (length filter), and what lies before
 and behind a shared token must be enough to reach the overlap (positional
-filter).  Two more exact bounds thin out what is left: 64-bit maps of the sets
-may not differ in more bits than the sets may in tokens, and the larger the
+filter).  Two more exact bounds thin out what is left: 128 parities of the
+sets, each that of the tokens hashed to it, may not differ in more bits than the
+sets may in tokens, however large they are, and the larger the
 sets, the more tokens their prefixes must share.  Survivors are verified on
 their full sets.  A line goes if an earlier line, by (document, line number),
 links with it.
@@ -59,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import drop_stash, stash
+from quire.llm.common import broadcast_if_small, drop_stash, stash
 from quire.session import shared_dir
 
 THRESHOLD = 0.8
@@ -361,14 +362,16 @@ def signatures(x: Sets, give: np.ndarray) -> list[np.ndarray]:
 
 
 def prefixes(blocks: DataFrame, rare: np.ndarray, t: float) -> DataFrame:
-    """(node, n, bits, skip, tokens, signatures), one row per set: the probing
+    """(node, n, bits, skip, tokens, more, signatures), one row per set: the probing
     prefix as 32-bit hashes (sets are verified later), rarest first, without its
     first ``skip`` tokens, which stand in this set alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in Sets.read(b):
                 n, of = x.n, np.repeat(np.arange(len(x.n)), x.n)
-                bits = np.bitwise_or.reduceat((np.uint64(1) << (x.hashes >> np.uint64(58)))[x.words], x.start)
+                bit = np.uint64(1) << (x.hashes >> np.uint64(58))
+                high = x.hashes >> np.uint64(57) & np.uint64(1) == 1
+                bits, more = (np.bitwise_xor.reduceat(np.where(h, bit, np.uint64(0))[x.words], x.start).view(np.int64) for h in (~high, high))
                 common = rare[x.slots]
                 order = np.lexsort((x.hashes, common))  # rarest word first
                 place = np.empty(len(order), np.int64)
@@ -381,13 +384,13 @@ def prefixes(blocks: DataFrame, rare: np.ndarray, t: float) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.bincount(of[~alone], minlength=len(n))) * 4)).astype(np.int32)
                 give = np.diff(ends) > 0
                 rows = pa.RecordBatch.from_arrays(
-                    [pa.array(x.key), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(skip.astype(np.int32)),
-                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(token)])],
-                    ["node", "n", "bits", "skip", "tokens"]).filter(pa.array(give))
+                    [pa.array(x.key), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(skip.astype(np.int32)),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(token)]), pa.array(more)],
+                    ["node", "n", "bits", "skip", "tokens", "more"]).filter(pa.array(give))
                 yield pa.RecordBatch.from_arrays(rows.columns + [pa.array(v) for v in signatures(x, give)], rows.schema.names + SIGNATURES)
 
     # tasks that met the same set give the same row
-    schema = "node long, n int, bits long, skip int, tokens binary" + "".join(f", {c} long" for c in SIGNATURES)
+    schema = "node long, n int, bits long, skip int, tokens binary, more long" + "".join(f", {c} long" for c in SIGNATURES)
     return blocks.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
@@ -401,7 +404,9 @@ def near_groups(prefix: DataFrame) -> DataFrame:
         most = label.groupBy(sig, "cluster").agg(F.count("*").alias("c")).where(F.col("c") >= ADOPT).groupBy(sig).agg(
             F.max(F.struct("c", "cluster"))["cluster"].alias("most"))
         before, rest = label, SIGNATURES[r + 2:]
-        label = stash(label.join(most, sig, "left").select("node", *rest, F.coalesce("most", "cluster").alias("cluster")), "line-labels")
+        most = stash(most, "line-most")
+        label = stash(label.join(broadcast_if_small(most), sig, "left").select("node", *rest, F.coalesce("most", "cluster").alias("cluster")), "line-labels")
+        drop_stash(most)
         if r:
             drop_stash(before)
     # 0 stands for no group
@@ -464,7 +469,7 @@ def _count(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def postings(prefix: DataFrame, counts: np.ndarray, t: float, deal: int) -> DataFrame:
-    """(key, node, n, pos, bits, role, cluster) of one part of the keys, dealt by key; ``role`` is the sum of 1
+    """(key, node, n, pos, bits, more, role, cluster) of one part of the keys, dealt by key; ``role`` is the sum of 1
     for a posting that probes and 2 for one that is entered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -481,23 +486,23 @@ def postings(prefix: DataFrame, counts: np.ndarray, t: float, deal: int) -> Data
             column = lambda i: b.column(i).take(pa.array(of))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate((e.key[own], e.next_key[further])).astype(np.uint32).view(np.int32)), column(0), column(1),
-                 pa.array(e.pos[at].astype(np.int32)), column(2), pa.array(role), column(5)],
-                ["key", "node", "n", "pos", "bits", "role", "cluster"])
+                 pa.array(e.pos[at].astype(np.int32)), column(2), column(5), pa.array(role), column(6)],
+                ["key", "node", "n", "pos", "bits", "more", "role", "cluster"])
 
-    made = prefix.mapInArrow(run, "key int, node long, n int, pos int, bits long, role int, cluster long")
+    made = prefix.mapInArrow(run, "key int, node long, n int, pos int, bits long, more long, role int, cluster long")
     return made.repartition("key")  # one deal serves both sides of the join
 
 
 def meetings(post: DataFrame, t: float) -> DataFrame:
     """(a, b, n1, n2), a the larger set: a row for every key under which two
-    sets of different groups meet that pass the length, positional and bitmap
+    sets of different groups meet that pass the length, positional and parity
     filters."""
-    side = lambda k: post.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "bits", "role", "cluster")])
+    side = lambda k: post.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "bits", "more", "role", "cluster")])
     left, right = side(1), side(2)
     both = F.col("n1") + F.col("n2")
     need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)
     reach = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
+    apart = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more1").bitwiseXOR(F.col("more2")))
     return left.join(right, "key").where(
         # roles and groups are tested together, so that one deal serves both sides
         ((F.col("cluster1") != F.col("cluster2")) | (F.col("cluster1") == 0))
@@ -610,7 +615,7 @@ def line_links(blocks: DataFrame, lines: DataFrame, threshold: float = THRESHOLD
     t = threshold
     signed = stash(prefixes(blocks, rarity(blocks), t), "line-prefixes")
     groups = near_groups(signed)
-    prefix = stash(signed.drop(*SIGNATURES).join(groups.drop("parts"), "node", "left").fillna(0, ["cluster"]), "line-prefixes")
+    prefix = stash(signed.drop(*SIGNATURES).join(broadcast_if_small(groups.drop("parts")), "node", "left").fillna(0, ["cluster"]), "line-prefixes")
     drop_stash(signed)
     counts = occupancy(prefix, t)
     met = [stash(meetings(postings(prefix, counts, t, k), t), "line-meetings") for k in range(DEALS)]
